@@ -1,6 +1,7 @@
 """The operators' queries, one for each, over whole tables."""
 
 from orrery.llm.packing import op2_best_fit_packing
+from orrery.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
