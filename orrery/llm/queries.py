@@ -1,7 +1,9 @@
 """The operators' queries, one for each, over whole tables."""
 
+from orrery.llm.fingerprint import op6_document_fingerprints
 from orrery.llm.packing import op2_best_fit_packing
 from orrery.llm.toxicity import op1_toxicity
+from orrery.llm.url_filter import op5_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op5_url_filters, op6_document_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
