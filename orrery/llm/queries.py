@@ -2,8 +2,9 @@
 
 from orrery.llm.fingerprint import op6_document_fingerprints
 from orrery.llm.packing import op2_best_fit_packing
+from orrery.llm.pii import op9_pii
 from orrery.llm.toxicity import op1_toxicity
 from orrery.llm.url_filter import op5_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op5_url_filters, op6_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op5_url_filters, op6_document_fingerprints, op9_pii)}
 ORACLE_SQL: dict[str, str] = {}
