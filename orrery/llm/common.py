@@ -76,6 +76,11 @@ def fmix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def chain(h: np.ndarray) -> int:
+    """One hash of a sequence of hashes and its length."""
+    return xxhash.xxh64_intdigest(h.tobytes())
+
+
 def hash_strings(values: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hashes of strings; each distinct one is hashed once."""
     coded = values.dictionary_encode() if not pa.types.is_dictionary(values.type) else values
@@ -111,10 +116,7 @@ def shingle_hashes(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]
     long = np.repeat(n >= k, count)
     out[long] = rolled[start[long]]
     for i in np.flatnonzero((n > 0) & (n < k)):
-        v = np.uint64(n[i])
-        for x in h[offsets[i] : offsets[i + 1]]:
-            v = v * MIX + x
-        out[out_offsets[i]] = v
+        out[out_offsets[i]] = chain(h[offsets[i] : offsets[i + 1]])
     return fmix(out), out_offsets
 
 
