@@ -100,14 +100,19 @@ def with_hits(docs: DataFrame, terms: DataFrame, most: int = 2000) -> DataFrame:
 
 def disclosing_terms(based: DataFrame, docs: DataFrame, reach: int = 80, support: int = 3, probability: float = 0.5, bits: float = 6.0) -> DataFrame:
     """(term, disclosure): terms that give an entity away, with the highest P(entity | term)."""
-    near = based.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("doc"), "text", F.explode("base").alias("s"))
+    held = save(based.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("doc"), "text", "base"))
+    near = held.select("doc", "text", F.explode("base").alias("s"))
     before = F.substring("text", F.greatest(F.col("s.start") - reach, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(reach)))
     after = F.substring("text", F.col("s.end") + 1, F.lit(reach))
     sides = near.select("doc", entity(F.col("s")).alias("entity"), before.alias("l"), after.alias("r"))
     found = save(sides.select("doc", "entity", F.xxhash64("l").alias("lh"), F.xxhash64("r").alias("rh"), F.explode(F.array_union(terms_of(F.col("l")), terms_of(F.col("r")))).alias("term")))
     each = lambda c: F.count_distinct(c)
     pairs = save(found.groupBy("term", "entity").agg(each("doc").alias("both"), F.least(each("lh"), each("rh")).alias("sides")).where(F.col("sides") >= support))
-    holding = with_hits(docs, pairs.select("term").distinct()).select(F.explode("hits").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    # documents that hold entities bound the count from below: a term too frequent among them can't reach the probability
+    count = lambda rows, terms: with_hits(rows, terms).select(F.explode("hits").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    rare = count(held, pairs.select("term").distinct()).join(pairs, "term").where(F.col("both") >= probability * F.col("n_term"))
+    pairs = save(rare.drop("n_term"))
+    holding = count(docs, pairs.select("term").distinct())
     entities = found.groupBy("entity").agg(each("doc").alias("n_entity"))
     total = docs.count()
     p = F.col("both") / F.col("n_term")
