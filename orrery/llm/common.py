@@ -53,16 +53,18 @@ def release() -> None:
 
 
 def pieces(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
-    """Slices of a batch whose texts hold about so many bytes, so that memory does not follow the batch's size."""
+    """Parts of a batch whose texts hold about so many bytes, so that memory does not follow the batch's size. They are
+    copies: some Arrow string kernels misread views that do not begin at the start of their buffers."""
+    part = lambda a, b: batch.take(pa.array(np.arange(a, b)))
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i, n in enumerate(lengths):
         if held and held + n > chars:
-            yield batch.slice(begin, i - begin)
+            yield part(begin, i)
             begin, held = i, 0
         held += int(n)
     if begin < len(lengths):
-        yield batch.slice(begin)
+        yield part(begin, len(lengths))
 
 
 def fmix(h: np.ndarray) -> np.ndarray:
