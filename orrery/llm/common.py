@@ -147,12 +147,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+    return edges.union(edges.select(F.col("b").alias("a"), "b")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
 def small(df: DataFrame, most_bytes: int = 16_000_000) -> DataFrame:
     """A saved table, marked for broadcast where its rows are counted to hold at most so many bytes; else left to a shuffle join."""
     df = save(df)
-    widths = [F.coalesce(F.length(F.col(f.name).cast("string")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(16) for f in df.schema.fields]
+    width = {"string": F.length, "binary": F.length, "array": lambda c: F.size(c) * 8}
+    widths = [F.coalesce(width.get(f.dataType.typeName(), lambda c: F.lit(0))(F.col(f.name)), F.lit(0)) + 16 for f in df.schema.fields]
     held = df.agg(F.sum(sum(widths, F.lit(24)).cast("long"))).first()[0] or 0
     return F.broadcast(df) if held <= most_bytes else df

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import as_long, chain, hash_strings, pieces, save, table
+from orrery.llm.common import as_long, chain, hash_strings, pieces, save, small, table
 
 WORDS = 20
 LINES = "doc_id long, same long, lines array<long>, words array<int>, seeds array<long>"
@@ -140,13 +140,13 @@ def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["doc_id", "same", "gone"]), schema=pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("gone", pa.list_(pa.int32()))]), preserve_index=False)
 
     found = met.select("doc_id", "same", "lines", "words", "theirs").mapInArrow(align, "doc_id long, same long, gone array<int>")
-    return save(found.select("doc_id", "same", F.explode("gone").alias("line")).groupBy("doc_id", "same").agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    return found.select("doc_id", "same", F.explode("gone").alias("line")).groupBy("doc_id", "same").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def cleaned(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents with all their columns, ``text`` without repeated lines, plus ``gone`` (null: none). Where all lines
     that hold words are gone the text is empty."""
-    gone = repeated_lines(docs, words).select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), "gone")
+    gone = small(repeated_lines(docs, words).select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), "gone"))
 
     met = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (same_text("text") == F.col("_same")), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i))
