@@ -285,8 +285,8 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     hubs = best.withColumn("g", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("links"), "set"))).where(F.col("g") <= HUBS).select("set")
     spread = members.join(hubs, "set").select(*columns, "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("walks"))
     edges = save(every.union(spread).groupBy("cluster", "block").applyInArrow(across, "a long, b long"))
-    roots = components(edges)
-    merged = save(members.join(roots, F.col("component") == F.col("node"), "left").select(members["*"], F.coalesce(roots["component"], members["component"]).alias("root")).drop("component").withColumnRenamed("root", "component"))
+    roots = named_roots(edges)
+    merged = save(members.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"))
     counts = merged.groupBy("cluster", "component").count()
     main = counts.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     minor = merged.join(main, "cluster").where("component <> main")
@@ -297,14 +297,13 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
         asked_parts = minor.select("cluster", parts.alias("part")).distinct()
         asked = merged.join(asked_parts, "cluster").select(*columns, "blocks", "part", "block", F.lit(0).alias("walks"))
         more = asking.select(*columns, "part", "block", "walks").union(asked.select(*columns, "part", "block", "walks")).groupBy("cluster", "part", "block").applyInArrow(across, "a long, b long")
-        roots = components(save(edges.union(first_roots(merged, members)).union(more)))
-    final = first.join(roots.select(F.col("node"), F.col("component").alias("root")), F.col("component") == F.col("node"), "left")
+        roots = named_roots(edges.union(more))
+    final = first.join(roots, "component", "left")
     return final.select("set", F.coalesce("root", "component").alias("component"))
 
 
-def first_roots(merged: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges from the components before hubs were walked to those after."""
-    return merged.select("set", F.col("component").alias("b")).join(members.select("set", F.col("component").alias("a")), "set").select("a", "b").where("a <> b").distinct()
+def named_roots(edges: DataFrame) -> DataFrame:
+    return components(edges).select(F.col("node").alias("component"), F.col("component").alias("root"))
 
 
 def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, most_common: int = 1_000_000, common_from: int = 64) -> DataFrame:
