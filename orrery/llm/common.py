@@ -38,7 +38,7 @@ def save(df: DataFrame) -> DataFrame:
     """Cut lineage: write to a table in the shared folder and read it again. Lost executors lose none of it."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/orrery/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     _SAVED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -103,8 +103,9 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, offsets
 
 
-def shingle_hashes(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every k-word shingle in order, flat, with offsets. A text of fewer words gives its whole sequence as one."""
+def shingle_hashes(texts: pa.Array, k: int = 5, weigh=None) -> tuple[np.ndarray, ...]:
+    """Hashes of every k-word shingle in order, flat, with offsets. A text of fewer words gives its whole sequence as one.
+    ``weigh``: word hashes -> whole numbers; then a third array has their sum over each shingle."""
     flat, offsets = words_of(texts)
     h = hash_strings(flat)
     n = np.diff(offsets)
@@ -119,7 +120,10 @@ def shingle_hashes(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]
     out[long] = rolled[start[long]]
     for i in np.flatnonzero((n > 0) & (n < k)):
         out[out_offsets[i]] = chain(h[offsets[i] : offsets[i + 1]])
-    return fmix(out), out_offsets
+    if weigh is None:
+        return fmix(out), out_offsets
+    total = np.concatenate([[0], np.cumsum(weigh(h))])
+    return fmix(out), out_offsets, total[start + np.minimum(np.repeat(n, count), k)] - total[start]
 
 
 def as_long(h: np.ndarray) -> np.ndarray:
