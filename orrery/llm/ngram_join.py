@@ -3,11 +3,14 @@
 A document's set holds its distinct five-word shingles (words `[^\\x20\\x09-\\x0D]+` of the A-Z lower-cased text; fewer
 words give their whole sequence as one). Documents link where 100 * intersection >= 75 * union; the join is exact.
 
-1. Equal sets are one class from the start. Shingles that are common in some task are counted, and the commonest (at most
-   ``most_common``) go last in the global order; all others are ordered by hash.
+1. Equal sets are one class from the start. Words and shingles that are common in some task are counted over all
+   documents. The global order has shingles of rare words first, then those of ever commoner words (by the sum of the
+   logarithms of their counts), and the commonest shingles last; ties go by hash. At most ``most_common`` words and as
+   many shingles are told to the tasks; any such order gives the same links, a good one gives small clusters.
 2. Each set sends the beginning of its ordered shingles (what a linked set must share one of) to where equal shingles
    meet. Sets that meet, with sizes near enough, form clusters: every link lies within one. Nothing is emitted in pairs:
-   a shingle's sets are tied to the first of them. Common shingles meet in salted parts first.
+   a shingle's sets are tied to one before them. Common shingles meet in salted parts first. With a beginning made longer
+   by m - 1 shingles, linked sets meet for m of them at least; sets that meet others less often are left out.
 3. A cluster's sets are stored in a compressed trie, ordered by how many sets share a shingle, and each set walks it,
    sharing the overlap along common beginnings and leaving subtrees that cannot reach the threshold any more.
 4. Clusters beyond one block are joined within blocks; then with their hubs, the sets with most links; and then every set
@@ -25,10 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import as_long, components, pieces, save, shingle_hashes, small, table
+from orrery.llm.common import as_long, components, hash_strings, pieces, save, shingle_hashes, small, table, words_of
 
 PERCENT, WORDS = 75, 5
 BLOCK_SETS, BLOCK_SHINGLES, HUBS = 384, 500_000, 32
+SALTED = 16 * 9  # sixteenths of the logarithm of a count: shingles counted 512 times and more meet in salted parts
 
 
 def distinct_sets(texts: pa.Array, k: int):
@@ -36,91 +40,124 @@ def distinct_sets(texts: pa.Array, k: int):
     h, at = shingle_hashes(texts, k)
     for a, b in zip(at[:-1], at[1:], strict=True):
         s = np.unique(h[a:b])
-        yield s, xxhash.xxh64_intdigest(s.tobytes()) - 2**63
+        yield s, identity(s)
 
 
-def sets_and_common(docs: DataFrame, k: int, local: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, set) of every document, and (shingle, count) of shingles that some task holds ``local`` times."""
+def identity(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes()) - 2**63
+
+
+def often(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    values, counts = np.unique(h, return_counts=True)
+    return values[counts >= least], counts[counts >= least]
+
+
+def sets_and_common(docs: DataFrame, k: int, shingles_from: int = 3, words_from: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, set) of every document, and (kind, item, count) of the shingles (kind 1) and words (kind 2) that some
+    part of a task holds so often."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text", 16_000_000):
-                ns, ids, all_ = [], [], []
-                for s, i in distinct_sets(part.column("text"), k):
-                    ns.append(len(s)), ids.append(i), all_.append(s)
-                values, counts = np.unique(np.concatenate(all_), return_counts=True) if all_ else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                often = counts >= local
-                values, counts = values[often], counts[often]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(ns, np.int64)), pa.array(np.array(ids, np.int64)), pa.array(np.zeros(len(ns), bool))], names=["doc_id", "n", "id", "shingle"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(as_long(values)), pa.array(np.ones(len(values), bool))], names=["doc_id", "n", "id", "shingle"])
-
-    both = save(docs.mapInArrow(run, "doc_id long, n long, id long, shingle boolean"))
-    return both.where("not shingle").select("doc_id", "n", F.col("id").alias("set")), both.where("shingle").groupBy(F.col("id").alias("shingle")).agg(F.sum("n").alias("count"))
-
-
-def in_order(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
-    """A set in the global order, common shingles last, and how many are not common."""
-    if not len(common):
-        return s, len(s)
-    place = np.minimum(np.searchsorted(common, s), len(common) - 1)
-    is_common = common[place] == s
-    last = s[is_common]
-    return np.concatenate([s[~is_common], last[np.argsort(rank[place[is_common]], kind="stable")]]), len(s) - len(last)
-
-
-def meeting(docs: DataFrame, common: list, k: int, percent: int, salts: int = 64) -> DataFrame:
-    """Edges (a, b) of sets that share a shingle of their beginnings and may be near enough in size."""
-    held = np.array([r[0] for r in common], np.int64).view(np.uint64)
-    order = np.argsort(held)
-    sorted_common, rank = held[order], np.argsort(np.argsort(np.array([r[1] for r in common], np.int64), kind="stable"))[order] if len(held) else order
-    shared = docs.sparkSession.sparkContext.broadcast((sorted_common, rank))  # at most most_common entries
+                found = list(distinct_sets(part.column("text"), k))
+                rows = [(part.column("doc_id"), np.array([len(s) for s, _ in found], np.int64), np.array([i for _, i in found], np.int64), 0)]
+                for kind, (values, counts) in ((1, often(np.concatenate([s for s, _ in found]), shingles_from)), (2, often(hash_strings(words_of(part.column("text"))[0]), words_from))):
+                    rows.append((pa.nulls(len(values), pa.int64()), counts.astype(np.int64), as_long(values), kind))
+                for ids, n, items, kind in rows:
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(items), pa.array(np.full(len(n), kind, np.int32))], names=["doc_id", "n", "id", "kind"])
+
+    both = save(docs.mapInArrow(run, "doc_id long, n long, id long, kind int"))
+    return both.where("kind = 0").select("doc_id", "n", F.col("id").alias("set")), both.where("kind > 0").groupBy("kind", F.col("id").alias("item")).agg(F.sum("n").alias("count"))
+
+
+def lookup(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, and sixteenths of the logarithm of their counts."""
+    items = np.array([r["item"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(items)
+    return items[order], np.round(16 * np.log2(np.array([r["count"] for r in rows], float)))[order].astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+
+
+def weight(h: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Their numbers for the hashes that are known, 0 for the others."""
+    values, numbers = known
+    if not len(values):
+        return np.zeros(len(h), np.int64)
+    place = np.minimum(np.searchsorted(values, h), len(values) - 1)
+    return np.where(values[place] == h, numbers[place], 0)
+
+
+def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) of sets that share a shingle of their beginnings and may be near enough in size; and (set, n_met): for
+    how many shingles of its longer beginning each set met another."""
+    shared = docs.sparkSession.sparkContext.broadcast((lookup(words), lookup(shingles)))  # at most 2 x most_common entries
 
     def begin(batches):
-        common, rank = shared.value
+        by_word, by_shingle = shared.value
         seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch, "text"):
-                shingles, sets, ns, salt = [], [], [], []
-                for s, i in distinct_sets(part.column("text"), k):
+                out = []
+                h, at, score = shingle_hashes(part.column("text"), k, lambda w: weight(w, by_word))
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    s, first = np.unique(h[a:b], return_index=True)
+                    i = identity(s)
                     if not len(s) or i in seen:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(i)
-                    ordered, rare = in_order(s, common, rank)
+                    common = weight(s, by_shingle)
                     p = len(s) - (percent * len(s) + 99) // 100 + 1
-                    shingles.append(ordered[:p])
-                    sets.append(np.full(p, i, np.int64))
-                    ns.append(np.full(p, len(s), np.int32))
-                    salt.append(np.where(np.arange(p) < rare, 0, 1 + i % salts).astype(np.int32))
-                if shingles:
-                    yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(shingles))), pa.array(np.concatenate(salt)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(sets))], names=["shingle", "salt", "n", "set"])
+                    ordered = np.lexsort((s, score[a:b][first], common))[: p + more(len(s)) - 1]
+                    early = len(s) - (2 * percent * len(s) + 99 + percent) // (100 + percent) + 1
+                    place = np.arange(len(ordered))
+                    out.append((s[ordered], np.where(common[ordered] >= SALTED, 1 + i % salts, 0), np.full(len(place), len(s)), np.full(len(place), i), (place < p) * 1 + (place < early)))
+                if out:
+                    tokens, salt, n, ids, role = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(as_long(tokens)), pa.array(salt.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(ids), pa.array(role.astype(np.int8))], names=["shingle", "salt", "n", "set", "role"])
 
     def tie(batches):
-        last = None  # shingle, salt, n and first set of the run that is open
+        # a pair's first common shingle is among the early ones of the smaller set: so each set is tied to the last set
+        # before it, by size, that has the shingle early; those are tied among themselves in the same way
+        held, held_met = None, False
         for batch in batches:
             if not len(batch):
                 continue
-            token, salt, n, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "salt", "n", "set"))
-            n = n.astype(np.int64)
-            new = np.ones(len(ids), bool)
-            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | ((salt[1:] == 0) & (n[1:] * percent > n[:-1] * 100))
-            if last and last[0] == token[0] and last[1] == salt[0] and not (salt[0] == 0 and n[0] * percent > last[2] * 100):
-                new[0] = False
-            starts = np.flatnonzero(new)
-            run = np.cumsum(new) - 1
-            first = np.where(run >= 0, ids[starts[np.maximum(run, 0)]] if len(starts) else 0, last[3] if last else 0)
-            last = (token[-1], salt[-1], n[-1], first[-1])
-            tied = ids != first
-            pairs = np.unique(np.stack([ids[tied], first[tied]]), axis=1) if tied.any() else np.zeros((2, 0), np.int64)
-            led = new & (salt > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[0], token[led]])), pa.array(np.concatenate([pairs[1], ids[led]])), pa.array(np.concatenate([np.zeros(pairs.shape[1], bool), np.ones(int(led.sum()), bool)]))], names=["a", "b", "led"])
-
-    rows = docs.mapInArrow(begin, "shingle long, salt int, n int, set long")
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "salt", "n", "set", "role")]
+            token, salt, n, ids, role = (np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)) if held else rows
+            n, own = n.astype(np.int64), len(ids) - len(rows[0])  # the rows before ``own`` were told already
+            at = np.arange(len(ids))
+            before = np.concatenate([[-1], np.maximum.accumulate(np.where((role == 2) | (salt > 0), at, -1))[:-1]])
+            other = np.maximum(before, 0)
+            same = (before >= 0) & (token[other] == token) & (salt[other] == salt)
+            tied = same & (ids[other] != ids) & (role > 0) & ((salt > 0) | (n * percent <= n[other] * 100)) & (at >= own)
+            pairs = np.unique(np.stack([ids[tied], ids[other[tied]]]), axis=1)
+            led = (salt > 0) & ~same & (at >= own)
+            # who has met anyone near enough in size for this shingle
+            next_to = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (ids[1:] != ids[:-1]) & (n[1:] * percent <= n[:-1] * 100)
+            met = np.concatenate([next_to, [False]]) | np.concatenate([[False], next_to]) | (salt > 0)
+            told = met & (at >= own)
+            if own and met[own - 1] and not held_met:
+                told[own - 1] = True
+            values, counts = np.unique(ids[told], return_counts=True)
+            last = int(np.maximum.accumulate(np.where((role == 2) | (salt > 0), at, -1))[-1])
+            keep = [i for i in (last, len(ids) - 1) if i >= 0 and token[i] == token[-1] and salt[i] == salt[-1]]
+            keep = sorted(set(keep))
+            held, held_met = [x[keep] for x in (token, salt, n, ids, role)], bool(met[-1])
+            kinds = np.repeat(np.array([0, 1, 2], np.int8), [pairs.shape[1], int(led.sum()), len(values)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[0], token[led], values])), pa.array(np.concatenate([pairs[1], ids[led], counts])), pa.array(kinds)], names=["a", "b", "kind"])
+
+    rows = docs.mapInArrow(begin, "shingle long, salt int, n int, set long, role byte")
     met = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "set")
-    found = save(met.mapInArrow(tie, "a long, b long, led boolean").distinct())
-    leaders = found.where("led").select(F.col("a").alias("shingle"), F.col("b").alias("a"))
+    found = save(met.mapInArrow(tie, "a long, b long, kind byte").groupBy("kind", "a", F.when(F.col("kind") < 2, F.col("b")).alias("b")).agg(F.sum(F.when(F.col("kind") == 2, F.col("b"))).alias("n_met")))
+    leaders = found.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("a"))
     least = leaders.groupBy("shingle").agg(F.min("a").alias("b"))
-    return found.where("not led").select("a", "b").union(leaders.join(least, "shingle").select("a", "b"))
+    edges = found.where("kind = 0").select("a", "b").union(leaders.join(least, "shingle").select("a", "b"))
+    return edges, found.where("kind = 2").select(F.col("a").alias("set"), "n_met")
+
+
+def more(n: int) -> int:
+    """How many shingles, of as many as a set's beginning is made longer by (less one), two linked sets share there."""
+    return max(1, n // 20)
 
 
 class Trie:
@@ -306,17 +343,22 @@ def named_roots(edges: DataFrame) -> DataFrame:
     return components(edges).select(F.col("node").alias("component"), F.col("component").alias("root"))
 
 
-def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, most_common: int = 1_000_000, common_from: int = 64) -> DataFrame:
+def commonest(counted: DataFrame, kind: int, most: int, least: int) -> list:
+    return counted.where((F.col("kind") == kind) & (F.col("count") >= least)).orderBy(F.desc("count"), "item").limit(most).collect()
+
+
+def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, most_common: int = 500_000, common_from: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the least doc_id reachable by links."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sets, counted = sets_and_common(docs, k)
-    common = counted.where(F.col("count") >= common_from).orderBy(F.desc("count"), "shingle").limit(most_common).collect()
+    words, shingles = commonest(counted, 2, most_common, 0), commonest(counted, 1, most_common, common_from)
     known = docs.where("doc_id is not null")
-    clusters = save(components(meeting(known, common, k, percent)))
+    edges, met = meeting(known, words, shingles, k, percent)
+    clusters = save(components(edges))
     classes = sets.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    wanted = small(clusters.select(F.col("node").alias("set"), F.col("component").alias("cluster")).join(classes, "set").select("set", "cluster", F.col("least").alias("doc_id")))
+    wanted = small(clusters.select(F.col("node").alias("set"), F.col("component").alias("cluster")).join(classes, "set").join(met, "set").where(F.col("n_met") >= F.greatest(F.lit(1), F.floor(F.col("n") * percent / 2000))).select("set", "cluster", F.col("least").alias("doc_id")))
 
-    def shingles(batches):
+    def shingle_rows(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
                 found = list(distinct_sets(part.column("text"), k))
@@ -324,7 +366,7 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, most_common:
                 t = pa.table({"cluster": part.column("cluster"), "set": ids, "n": pa.array([len(s) for s, _ in found], pa.int64()), "shingles": pa.array([s.tobytes() for s, _ in found], pa.binary())})
                 yield from t.filter(pa.array([a == b for a, b in zip(ids.to_pylist(), part.column("set").to_pylist(), strict=True)], pa.bool_())).to_batches()
 
-    needed = known.join(wanted, "doc_id").select("cluster", "set", "text").mapInArrow(shingles, "cluster long, set long, n long, shingles binary")
+    needed = known.join(wanted, "doc_id").select("cluster", "set", "text").mapInArrow(shingle_rows, "cluster long, set long, n long, shingles binary")
     grouped = link_clusters(save(needed.dropDuplicates(["set"])), percent)
     labelled = classes.join(grouped, "set", "left").withColumn("key", F.coalesce("component", "set"))
     least = save(labelled.groupBy("key").agg(F.min("least").alias("component_id")))
