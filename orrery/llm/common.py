@@ -43,13 +43,20 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the working tables made so far; for callers that have written the results built on them."""
-    while _SAVED:
-        spark, path = _SAVED.pop()
+def saved() -> list[tuple[SparkSession, str]]:
+    """The working tables made so far."""
+    return list(_SAVED)
+
+
+def release(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete working tables; for callers that have written the results built on them."""
+    for entry in tables:
+        spark, path = entry
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if entry in _SAVED:
+            _SAVED.remove(entry)
 
 
 def pieces(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
