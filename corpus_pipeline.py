@@ -1,12 +1,77 @@
-"""Corpus pipeline: documents through toxicity, line dedup, near-duplicate join, decontamination and packing."""
+"""Corpus pipeline: documents through toxicity, line dedup, near duplicates, decontamination and packing.
+
+Every stage works on all rows that the stage before it kept, which are written and read again in between; all but the
+last return the columns of ``documents``. Documents found toxic go; repeated lines go, and with them documents that have
+nothing else; of each group of near duplicates the document with the least id stays; documents that hold a benchmark item
+go; what is left is packed.
+"""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.llm import common, decontaminate, line_dedup, ngram_join, packing, toxicity
+
+_made: list = []
+
+
+def stage(f):
+    """A stage that first deletes the working tables of the one before, whose rows have been written by then."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(_made)
+        before = common.saved()
+        out = f(spark, docs, sf_dir)
+        _made[:] = [x for x in common.saved() if x not in before]
+        return out
+
+    return run_stage
+
+
+@stage
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean_documents(docs, common.table(spark, sf_dir, "labels"))
+
+
+@stage
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = line_dedup.cleaned(docs).where("gone is null or text <> ''")
+    return kept.select(*(F.char_length("text").cast(kind).alias(c) if c == "n_chars" else F.col(c) for c, kind in docs.dtypes))
+
+
+@stage
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+@stage
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+@stage
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack),
+]
 
-STAGES: list = []
+#: SQL can express neither the fitted model nor the tokens; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = common.table(spark, sf_dir, "documents")
+    for _, f in STAGES[:-1]:
+        docs = common.save(f(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
