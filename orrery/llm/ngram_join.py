@@ -13,7 +13,7 @@ words give their whole sequence as one). Documents link where 100 * intersection
    by m - 1 shingles, linked sets meet for m of them at least; sets that meet others less often are left out.
 3. A cluster's sets are stored in a compressed trie, ordered by how many sets share a shingle, and each set walks it,
    sharing the overlap along common beginnings and leaving subtrees that cannot reach the threshold any more.
-4. Clusters beyond one block are joined within blocks; then with their hubs, the sets with most links; and then every set
+4. Clusters beyond one block first lose the sets that share too little with all others. Then they are joined within blocks; then with their hubs, the sets with most links; and then every set
    outside the largest component with every block. So a large group of near copies costs a walk for each set, not all pairs.
 
 Null text and texts without words have an empty set, link with nothing and are their own component. A null doc_id has a
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import as_long, components, hash_strings, pieces, save, shingle_hashes, small, table, words_of
 
 PERCENT, WORDS = 75, 5
-BLOCK_SETS, BLOCK_SHINGLES, HUBS = 384, 500_000, 32
+BLOCK_SETS, BLOCK_SHINGLES, HUBS = 384, 1_000_000, 32
 SALTED = 16 * 9  # sixteenths of the logarithm of a count: shingles counted 512 times and more meet in salted parts
 
 
@@ -291,9 +291,12 @@ def arrays(t: pa.Table) -> list[np.ndarray]:
 
 def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     """sets: (cluster, set, n, shingles) -> (set, component)."""
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("held"))
-    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("held") / BLOCK_SHINGLES))
-    placed = sets.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    sizes = save(sets.groupBy("cluster").agg(blocks.alias("blocks")))
+    if not sizes.where("blocks > 1").isEmpty():
+        sets = save(sets.join(hopeless(sets.join(small(sizes.where("blocks > 1").select("cluster")), "cluster"), percent), "set", "left_anti"))
+        sizes = sets.groupBy("cluster").agg(blocks.alias("blocks"))
+    placed = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
 
     def within(t: pa.Table) -> pa.Table:
         t = t.sort_by([("n", "ascending"), ("set", "ascending")])
@@ -339,6 +342,20 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     return final.select("set", F.coalesce("root", "component").alias("component"))
 
 
+def hopeless(sets: DataFrame, percent: int) -> DataFrame:
+    """(set) of the sets too many of whose shingles no other set of their cluster has."""
+
+    def spread(batches):
+        for batch in batches:
+            for c, i, x in zip(batch.column("cluster"), batch.column("set"), batch.column("shingles"), strict=True):
+                h = np.frombuffer(x.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), c.as_py())), pa.array(np.full(len(h), i.as_py())), pa.array(h)], names=["cluster", "set", "shingle"])
+
+    rows = sets.select("cluster", "set", "shingles").mapInArrow(spread, "cluster long, set long, shingle long")
+    alone = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("k"), F.min("set").alias("set")).where("k = 1").groupBy("set").agg(F.count("*").alias("alone"))
+    return sets.select("set", "n").join(alone, "set").where((F.col("n") - F.col("alone")) * 100 < percent * F.col("n")).select("set")
+
+
 def named_roots(edges: DataFrame) -> DataFrame:
     return components(edges).select(F.col("node").alias("component"), F.col("component").alias("root"))
 
