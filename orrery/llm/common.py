@@ -59,7 +59,7 @@ def release(tables: list[tuple[SparkSession, str]]) -> None:
             _SAVED.remove(entry)
 
 
-def pieces(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
+def pieces(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
     """Parts of a batch whose texts hold about so many bytes, so that memory does not follow the batch's size. They are
     copies: some Arrow string kernels misread views that do not begin at the start of their buffers."""
     part = lambda a, b: batch.take(pa.array(np.arange(a, b)))
@@ -68,10 +68,12 @@ def pieces(batch: pa.RecordBatch, column: str, chars: int = 4_000_000):
     for i, n in enumerate(lengths):
         if held and held + n > chars:
             yield part(begin, i)
+            pa.default_memory_pool().release_unused()
             begin, held = i, 0
         held += int(n)
     if begin < len(lengths):
         yield part(begin, len(lengths))
+        pa.default_memory_pool().release_unused()
 
 
 def fmix(h: np.ndarray) -> np.ndarray:

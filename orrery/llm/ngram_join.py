@@ -56,15 +56,27 @@ def sets_and_common(docs: DataFrame, k: int, shingles_from: int = 3, words_from:
     """(doc_id, n, set) of every document, and (kind, item, count) of the shingles (kind 1) and words (kind 2) that some
     part of a task holds so often."""
 
+    names = ["doc_id", "n", "id", "kind"]
+
+    def common_rows(kind, hashes, least):
+        values, counts = often(np.concatenate(hashes), least)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(as_long(values)), pa.array(np.full(len(values), kind, np.int32))], names=names)
+
     def run(batches):
+        shingles, words = [], []
         for batch in batches:
-            for part in pieces(batch, "text", 16_000_000):
+            for part in pieces(batch, "text"):
                 found = list(distinct_sets(part.column("text"), k))
-                rows = [(part.column("doc_id"), np.array([len(s) for s, _ in found], np.int64), np.array([i for _, i in found], np.int64), 0)]
-                for kind, (values, counts) in ((1, often(np.concatenate([s for s, _ in found]), shingles_from)), (2, often(hash_strings(words_of(part.column("text"))[0]), words_from))):
-                    rows.append((pa.nulls(len(values), pa.int64()), counts.astype(np.int64), as_long(values), kind))
-                for ids, n, items, kind in rows:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(items), pa.array(np.full(len(n), kind, np.int32))], names=["doc_id", "n", "id", "kind"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64()), pa.array(np.zeros(len(found), np.int32))], names=names)
+                shingles += [s for s, _ in found]
+                words.append(hash_strings(words_of(part.column("text"))[0]))
+                if sum(map(len, words)) > 3_000_000:
+                    yield common_rows(1, shingles, shingles_from)
+                    yield common_rows(2, words, words_from)
+                    shingles, words = [], []
+        if words:
+            yield common_rows(1, shingles, shingles_from)
+            yield common_rows(2, words, words_from)
 
     both = save(docs.mapInArrow(run, "doc_id long, n long, id long, kind int"))
     return both.where("kind = 0").select("doc_id", "n", F.col("id").alias("set")), both.where("kind > 0").groupBy("kind", F.col("id").alias("item")).agg(F.sum("n").alias("count"))
