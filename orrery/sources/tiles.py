@@ -1,0 +1,49 @@
+"""Images cut in tiles, stored compressed: tables (tile, origin, shape, kind, codec, data)."""
+
+from __future__ import annotations
+
+import gzip
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+TILES = "tile long, n int, codec string, data binary"
+
+
+def to_tiles(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """Pixels (x, y from 1, value) -> (tile, x0, y0, values): rows of a tile one after the other."""
+    tile = F.struct(F.expr(f"(y - 1) div {height}").alias("ty"), F.expr(f"(x - 1) div {width}").alias("tx"))
+    return pixels.groupBy(tile.alias("t")).agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "value"))), lambda p: p["value"]).alias("values")).select("t.tx", "t.ty", "values")
+
+
+def compress(arrays: DataFrame, codec: str, kind: str = ">i4") -> DataFrame:
+    """(tile, values) -> TILES. Codecs: GZIP_1, and GZIP_2 with bytes of one place together."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for tile, values in zip(pdf["tile"], pdf["values"], strict=True):
+                a = np.asarray(values).astype(kind)
+                raw = a.tobytes() if codec == "GZIP_1" else np.frombuffer(a.tobytes(), "u1").reshape(len(a), -1).T.tobytes()
+                out.append((tile, len(a), codec, gzip.compress(raw, mtime=0)))
+            yield pd.DataFrame(out, columns=["tile", "n", "codec", "data"])
+
+    if codec not in ("GZIP_1", "GZIP_2"):
+        raise ValueError(f"codec {codec!r} is not supported")
+    return arrays.select("tile", "values").mapInPandas(run, TILES)
+
+
+def decompress(tiles: DataFrame, kind: str = ">i4", element: str = "int") -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            values = []
+            for codec, n, data in zip(pdf["codec"], pdf["n"], pdf["data"], strict=True):
+                raw = gzip.decompress(data)
+                if codec == "GZIP_2":
+                    raw = np.frombuffer(raw, "u1").reshape(-1, n).T.tobytes()
+                values.append(np.frombuffer(raw, kind).tolist())
+            yield pd.DataFrame({"tile": pdf["tile"], "values": values})
+
+    return tiles.mapInPandas(run, f"tile long, values array<{element}>")
