@@ -306,9 +306,9 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     sizes = save(sets.groupBy("cluster").agg(blocks.alias("blocks")))
     if not sizes.where("blocks > 1").isEmpty():
-        sets = save(sets.join(hopeless(sets.join(small(sizes.where("blocks > 1").select("cluster")), "cluster"), percent), "set", "left_anti"))
-        sizes = sets.groupBy("cluster").agg(blocks.alias("blocks"))
-    placed = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
+        sets = sets.join(small(hopeless(sets.join(small(sizes.where("blocks > 1").select("cluster")), "cluster"), percent)), "set", "left_anti")
+        sizes = save(sets.groupBy("cluster").agg(blocks.alias("blocks")))
+    placed = sets.join(small(sizes), "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
 
     def within(t: pa.Table) -> pa.Table:
         t = t.sort_by([("n", "ascending"), ("set", "ascending")])
@@ -319,9 +319,9 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     first = save(placed.groupBy("cluster", "block").applyInArrow(within, "cluster long, set long, component long, links long, blocks long, block long"))
     large = first.where("blocks > 1")
     if large.isEmpty():
-        return first.select("set", "component")
+        return first.select("set", "component").distinct()
 
-    members = save(large.join(sets.select("set", "n", "shingles"), "set"))
+    members = save(sets.select("set", "n", "shingles").join(small(large), "set"))
 
     def across(t: pa.Table) -> pa.Table:
         t = t.sort_by([("walks", "descending"), ("n", "ascending"), ("set", "ascending")])
@@ -351,7 +351,7 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
         more = asking.select(*columns, "part", "block", "walks").union(asked.select(*columns, "part", "block", "walks")).groupBy("cluster", "part", "block").applyInArrow(across, "a long, b long")
         roots = named_roots(edges.union(more))
     final = first.join(roots, "component", "left")
-    return final.select("set", F.coalesce("root", "component").alias("component"))
+    return final.select("set", F.coalesce("root", "component").alias("component")).distinct()
 
 
 def hopeless(sets: DataFrame, percent: int) -> DataFrame:
@@ -396,7 +396,7 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, most_common:
                 yield from t.filter(pa.array([a == b for a, b in zip(ids.to_pylist(), part.column("set").to_pylist(), strict=True)], pa.bool_())).to_batches()
 
     needed = known.join(wanted, "doc_id").select("cluster", "set", "text").mapInArrow(shingle_rows, "cluster long, set long, n long, shingles binary")
-    grouped = link_clusters(save(needed.dropDuplicates(["set"])), percent)
+    grouped = link_clusters(save(needed), percent)
     labelled = classes.join(grouped, "set", "left").withColumn("key", F.coalesce("component", "set"))
     least = save(labelled.groupBy("key").agg(F.min("least").alias("component_id")))
     by_set = labelled.select("set", "key").join(least, "key").select(F.col("set").alias("_set"), "component_id")
