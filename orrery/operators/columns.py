@@ -105,8 +105,8 @@ def merge_by_position(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def append(a: DataFrame, b: DataFrame, by_name: bool = True) -> DataFrame:
     """Rows of both, with the names and types of the first; columns that the second lacks are 0, false or empty."""
-    names = b.columns if by_name else dict(zip(a.columns, b.columns, strict=False)).keys()
-    source = {c: resolve(b, c) for c in a.columns if c in names} if by_name else dict(zip(a.columns, b.columns, strict=False))
+    there = {c.lower() for c in b.columns}
+    source = {c: resolve(b, c) for c in a.columns if c.lower() in there} if by_name else dict(zip(a.columns, b.columns, strict=False))
     cols = [(F.col(source[f.name]).cast(f.dataType) if f.name in source else _blank(f.dataType)).alias(f.name) for f in a.schema.fields]
     return a.union(b.select(*cols))
 

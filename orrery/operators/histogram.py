@@ -42,14 +42,15 @@ class Bins:
 
 def resolve_axes(df: DataFrame, axes: list[Axis]) -> list[Bins]:
     """Limits and sizes of all axes; those that aren't given come from one pass over the data."""
+    for a in axes:
+        if not isinstance(df.schema[a.column].dataType, T.NumericType):
+            raise TypeError(f"{a.column} is not a numeric scalar column")
     wanted = [a.column for a in axes if a.low is None or a.high is None]
     known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     found = df.agg(*(x for c in dict.fromkeys(wanted) for x in (F.min(known(c)).alias(f"{c}_lo"), F.max(known(c)).alias(f"{c}_hi")))).first() if wanted else {}
     out = []
     for a in axes:
         kind = df.schema[a.column].dataType
-        if not isinstance(kind, T.NumericType):
-            raise TypeError(f"{a.column} is not a numeric scalar column")
         low = a.low if a.low is not None else found[f"{a.column}_lo"] or 0.0
         high = a.high if a.high is not None else found[f"{a.column}_hi"] or 0.0
         low, high = float(np.float32(low)), float(np.float32(high))

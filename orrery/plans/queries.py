@@ -1,8 +1,422 @@
 """Queries of the library's own operators over the driver's tables, and their SQL."""
 
+from __future__ import annotations
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.functions import numeric as N
+from orrery.functions import regions as R
+from orrery.functions import sky as K
+from orrery.functions import strings as S
+from orrery.functions import vectors as V
+from orrery.operators import columns as C
+from orrery.operators import diff as D
+from orrery.operators import groups as G
+from orrery.operators import histogram as H
+from orrery.operators import intervals as I
+from orrery.operators import rows as W
+from orrery.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- filters and calculated columns
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS rev FROM lineitem
+WHERE l_quantity BETWEEN 10 AND 20 AND l_discount > 0.05""")
+def filter_range_and(spark, d):
+    rows = table(spark, d, "lineitem").where(N.within("l_quantity", 10, 20) & (F.col("l_discount") > 0.05))
+    return C.edit_columns(rows, keep=["l_orderkey", "l_linenumber"], make={"rev": F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)})
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS rev FROM lineitem")
+def calc_column(spark, d):
+    rev = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)
+    return C.edit_columns(table(spark, d, "lineitem"), keep=["l_orderkey", "l_linenumber"], make={"rev": rev})
+
+
+@query("""SELECT c_custkey AS key, c_name AS name, c_acctbal * 2 AS twice FROM customer""")
+def edit_columns_rename(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return C.edit_columns(c, make={"twice": F.col("c_acctbal") * 2}, rename={"key": "c_custkey", "name": "C_NAME"})
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def edit_columns_delete(spark, d):
+    return C.edit_columns(table(spark, d, "customer"), delete=["c_acct*", "c_mkt???????"])
+
+
+@query("SELECT p_partkey, p_size, p_retailprice FROM part")
+def select_like(spark, d):
+    return C.select_like(table(spark, d, "part"), "p_partkey", "P_SIZE", "*price")
+
+
+@query("SELECT r_regionkey AS \"R_REGIONKEY\", r_name AS \"R_NAME\" FROM region")
+def fold_names_upper(spark, d):
+    return C.fold_names(table(spark, d, "region"), upper=True)
+
+
+@query("""SELECT o_orderkey, coalesce(o_totalprice > 150000 AND o_orderstatus <> nullif(o_orderpriority, '1-URGENT'), false) AS flag FROM orders""")
+def row_flags(spark, d):
+    o = table(spark, d, "orders")
+    cond = (F.col("o_totalprice") > 150000) & (F.col("o_orderstatus") != F.nullif("o_orderpriority", F.lit("1-URGENT")))
+    return W.flags(o, cond).select("o_orderkey", "flag")
+
+
+@query("""SELECT coalesce(min(_row), 0)::BIGINT AS first_row FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS _row, o_totalprice FROM orders) WHERE o_totalprice > 200000""")
+def first_match(spark, d):
+    return W.first_match(W.with_row(table(spark, d, "orders"), "o_orderkey"), F.col("o_totalprice") > 200000)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber <> 3 THEN trunc(l_orderkey / (l_linenumber - 3))::BIGINT END AS q,
+CASE WHEN l_linenumber <> 3 THEN l_orderkey % (l_linenumber - 3) END::BIGINT AS r FROM lineitem""")
+def int_div_mod(spark, d):
+    by = F.col("l_linenumber") - 3
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", N.int_div("l_orderkey", by).alias("q"), N.remainder(F.col("l_orderkey"), by.cast("long")).alias("r"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN x > 0 THEN round(ln(x), 6) END AS a, CASE WHEN x > 0 THEN round(log10(x), 6) END AS b, CASE WHEN x >= 0 THEN round(sqrt(x), 6) END AS c,
+CASE WHEN abs(x / 5000) <= 1 THEN round(asin(x / 5000), 6) END AS d, CASE WHEN abs(x / 5000) <= 1 THEN round(acos(x / 5000), 6) END AS e, floor(x + 0.5) AS f, floor(x) AS g, ceil(x) AS h
+FROM (SELECT s_suppkey, s_acctbal - 3000 AS x FROM supplier)""")
+def null_math(spark, d):
+    x = F.col("x")
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") - 3000).alias("x"))
+    return s.select("s_suppkey", F.round(N.natural_log(x), 6).alias("a"), F.round(N.decimal_log(x), 6).alias("b"), F.round(N.square_root(x), 6).alias("c"), F.round(N.arc_sine(x / 5000), 6).alias("d"), F.round(N.arc_cosine(x / 5000), 6).alias("e"), N.round_up_half(x).alias("f"), N.whole_floor(x).alias("g"), N.whole_ceil(x).alias("h"))
+
+
+@query("""SELECT event_id, round(sin(value), 6) AS s, round(cos(value), 6) AS c, round(atan2(value, 2), 6) AS t, round(exp(-value / 100), 6) AS e, round(pow(value, 0.5), 6) AS p, trunc(value)::BIGINT AS i FROM events""")
+def trigonometry(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", F.round(F.sin(v), 6).alias("s"), F.round(F.cos(v), 6).alias("c"), F.round(F.atan2(v, F.lit(2.0)), 6).alias("t"), F.round(F.exp(-v / 100), 6).alias("e"), F.round(N.power(v, 0.5), 6).alias("p"), N.to_int(v).alias("i"))
+
+
+@query("""SELECT p_partkey, abs(p_retailprice - p_size * 50) < 25 AS close_by, abs(p_retailprice - round(p_retailprice, 1)) < 1e-7 AS same FROM part""")
+def approx_near(spark, d):
+    return table(spark, d, "part").select("p_partkey", N.near("p_retailprice", F.col("p_size") * 50, 25).alias("close_by"), N.nearly_equal("p_retailprice", F.round("p_retailprice", 1)).alias("same"))
+
+
+@query("""SELECT c_custkey, CASE WHEN b IS NULL THEN NULL WHEN b > 0 THEN 'in' ELSE 'out' END AS side, coalesce(b, -1.0) AS known, b * CASE WHEN c_nationkey > 10 THEN 1 ELSE 0 END AS kept, least(b, 100.0) AS lo, greatest(b, 100.0) AS hi
+FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey = 7 THEN NULL ELSE c_acctbal END AS b FROM customer)""")
+def ternary_defnull(spark, d):
+    c = table(spark, d, "customer").withColumn("b", F.when(F.col("c_nationkey") != 7, F.col("c_acctbal")))
+    b = F.col("b")
+    return c.select("c_custkey", N.choose(b > 0, F.lit("in"), F.lit("out")).alias("side"), N.default_null(b, F.lit(-1.0)).alias("known"), (b * N.as_number(F.col("c_nationkey") > 10)).alias("kept"), N.lesser(b, F.lit(100.0)).alias("lo"), N.greater(b, F.lit(100.0)).alias("hi"))
+
+
+@query("""SELECT p_partkey, p_brand || p_type AS both, CASE WHEN p_size % 4 <> 0 THEN substr(p_name, (p_size % 4)::INT, 5) END AS mid, nullif(strpos(p_type, 'S'), 0)::INT AS at FROM part""")
+def string_functions(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.join("p_brand", "p_type").alias("both"), S.middle("p_name", F.col("p_size") % 4, F.lit(5)).alias("mid"), S.find("p_type", "S").alias("at"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN _row BETWEEN 100 AND 200 OR _row = 205 OR _row >= 1400 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS _row FROM orders)""")
+def calc_row_range(spark, d):
+    return W.calculate_on_rows(W.with_row(table(spark, d, "orders"), "o_orderkey"), "o_totalprice", F.col("o_totalprice") * 2, "100-200,205,1400-").select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT _row, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS _row FROM orders) WHERE NOT (_row BETWEEN 5 AND 50 OR _row >= 900)""")
+def delete_rows(spark, d):
+    return W.delete_rows(W.with_row(table(spark, d, "orders").select("o_orderkey"), "o_orderkey"), "5-50,900-").select("_row", "o_orderkey")
+
+
+@query("""SELECT _row, p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS _row FROM part) WHERE _row - 1 >= 10 AND _row - 1 < 500 AND (_row - 11) % 7 = 0""")
+def slice_rows(spark, d):
+    return W.take_rows(W.with_row(table(spark, d, "part").select("p_partkey"), "p_partkey"), 10, 500, 7).select("_row", "p_partkey")
+
+
+@query("""SELECT place AS _place, p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS _row FROM part) JOIN (VALUES (0, 9), (1, 3), (2, 9)) AS t(place, r) ON _row = r""")
+def pick_rows(spark, d):
+    return W.pick_rows(W.with_row(table(spark, d, "part").select("p_partkey"), "p_partkey"), [9, 3, 9]).select("_place", "p_partkey")
+
+
+# --- row order
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS _row FROM events")
+def row_number(spark, d):
+    return W.with_row(table(spark, d, "events").select("event_id"), "event_id").select("event_id", "_row")
+
+
+@query("""SELECT event_id, lead(value, 3) OVER (ORDER BY event_id) AS ahead, lag(event_type, 2) OVER (ORDER BY event_id) AS back FROM events""")
+def row_offset(spark, d):
+    e = W.with_row(table(spark, d, "events").select("event_id", "value", "event_type"), "event_id")
+    return W.offset(W.offset(e, "value", 3, "ahead"), "event_type", -2, "back").select("event_id", "ahead", "back")
+
+
+@query("""SELECT event_id, sum(coalesce(n, 0)) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM (SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN user_id END AS n FROM events)""")
+def accumulate(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("n"))
+    return W.accumulate(e, "n", "total", ("event_id",)).select("event_id", "total")
+
+
+@query("""SELECT event_id, CASE WHEN row_number() OVER (ORDER BY event_id) = 1 THEN n ELSE n - lag(n) OVER (ORDER BY event_id) END AS step FROM (SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN user_id END AS n FROM events)""")
+def row_difference(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("n"))
+    return W.difference(W.with_row(e, "event_id"), "n", "step").select("event_id", "step")
+
+
+# --- histograms
+
+
+@query("""SELECT g.b::BIGINT AS bin1, coalesce(n, 0)::BIGINT AS value FROM range(1, 51) g(b) LEFT JOIN (SELECT (l_quantity::BIGINT) AS b, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 GROUP BY 1) USING (b)""")
+def hist_1d(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_quantity").cast("int").alias("q"))
+    return H.histogram(rows, [H.Axis("q", 1, 50, 1)])
+
+
+@query("""SELECT x::BIGINT AS bin1, y::BIGINT AS bin2, coalesce(n, 0)::BIGINT AS value FROM (SELECT x, y FROM range(1, 26) a(x), range(1, 8) b(y)) LEFT JOIN (SELECT floor(l_quantity / 2)::BIGINT + 1 AS x, l_linenumber::BIGINT AS y, count(*) AS n FROM lineitem WHERE l_quantity < 50 GROUP BY 1, 2) USING (x, y)""")
+def hist_2d(spark, d):
+    return H.histogram(table(spark, d, "lineitem"), [H.Axis("l_quantity", 0, 50, 2), H.Axis("l_linenumber", 1, 7, 1)])
+
+
+@query("""SELECT x::BIGINT AS bin1, round(coalesce(n, 0), 2) AS value FROM range(1, 8) a(x) LEFT JOIN (SELECT l_linenumber::BIGINT AS x, sum(l_quantity) AS n FROM lineitem GROUP BY 1) USING (x)""")
+def hist_weighted(spark, d):
+    return H.histogram(table(spark, d, "lineitem"), [H.Axis("l_linenumber", 1, 7, 1)], weight="l_quantity").withColumn("value", F.round("value", 2))
+
+
+@query("""SELECT x::BIGINT AS bin1, round(coalesce(n, 0), 4) AS value FROM range(1, 8) a(x) LEFT JOIN (SELECT l_linenumber::BIGINT AS x, sum(1 / l_quantity) AS n FROM lineitem GROUP BY 1) USING (x)""")
+def hist_reciprocal(spark, d):
+    return H.histogram(table(spark, d, "lineitem"), [H.Axis("l_linenumber", 1, 7, 1)], weight="l_quantity", reciprocal=True).withColumn("value", F.round("value", 4))
+
+
+@query("""SELECT x::BIGINT AS bin1, coalesce(n, 0)::BIGINT AS value FROM range(1, 8) a(x) LEFT JOIN (SELECT l_linenumber::BIGINT AS x, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_tax > 0.04 GROUP BY 1) USING (x)""")
+def hist_filtered(spark, d):
+    return H.histogram(table(spark, d, "lineitem"), [H.Axis("l_linenumber", 1, 7, 1)], condition=(F.col("l_returnflag") == "R") & (F.col("l_tax") > 0.04))
+
+
+@query("""SELECT x::BIGINT AS bin1, y::BIGINT AS bin2, z::BIGINT AS bin3, coalesce(n, 0)::BIGINT AS value FROM (SELECT x, y, z FROM range(1, 6) a(x), range(1, 26) b(y), range(1, 11) c(z))
+LEFT JOIN (SELECT floor((p_size - 0.5) / 10)::BIGINT + 1 AS x, (p_partkey % 25) + 1 AS y, (p_partkey % 10) + 1 AS z, count(*) AS n FROM part GROUP BY 1, 2, 3) USING (x, y, z)""")
+def hist_3d(spark, d):
+    p = table(spark, d, "part").select("p_size", (F.col("p_partkey") % 25).alias("a"), (F.col("p_partkey") % 10).alias("b"))
+    return H.histogram(p, [H.Axis("p_size", 1, 50, 10), H.Axis("a", 0, 24, 1), H.Axis("b", 0, 9, 1)])
+
+
+@query("SELECT min(l_quantity) AS l_quantity_min, max(l_quantity) AS l_quantity_max, min(l_partkey) AS l_partkey_min, max(l_partkey) AS l_partkey_max FROM lineitem")
+def col_minmax(spark, d):
+    return C.extremes(table(spark, d, "lineitem"), "l_quantity", "l_partkey")
+
+
+# --- vectors
+
+
+@query("""SELECT vec_id, round(list_sum(v), 4) AS s, round(list_avg(v), 5) AS m, round(list_stddev_samp(v), 5) AS sd, list_sort(v)[32] AS med, list_min(v) AS lo, list_max(v) AS hi, len(v)::BIGINT AS n, len(list_filter(v, lambda x: x IS NOT NULL))::BIGINT AS ok FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)""")
+def vec_reductions(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return e.select("vec_id", F.round(V.vec_sum("v"), 4).alias("s"), F.round(V.vec_mean("v"), 5).alias("m"), F.round(V.vec_std("v"), 5).alias("sd"), V.vec_median("v").alias("med"), V.vec_min("v").alias("lo"), V.vec_max("v").alias("hi"), V.n_elements("v").alias("n"), V.n_valid("v").alias("ok"))
+
+
+@query("""SELECT vec_id, len(k)::BIGINT AS ok, round(list_sum(k), 4) AS s, list_sort(k)[((len(k) + 1) // 2)::INT] AS med FROM (SELECT vec_id, list_filter(embedding::DOUBLE[], lambda x: x > 0) AS k FROM embeddings)""")
+def vec_nulls(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x > 0, x)).alias("v"))
+    return e.select("vec_id", V.n_valid("v").alias("ok"), F.round(V.vec_sum("v"), 4).alias("s"), V.vec_median("v").alias("med"))
+
+
+@query("SELECT vec_id, v[1] AS a, v[11] AS b, list_sum(v[17:32]) AS c FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
+def vec_index(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return e.select("vec_id", V.element("v", 1).alias("a"), V.element("v", 3, 2, shape=(8, 8)).alias("b"), V.vec_sum(V.plane("v", (4, 4, 4), 2)).alias("c"))
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * 2 + 1)), 4) AS a, round(list_dot_product(v, v), 4) AS b FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)""")
+def vec_arithmetic(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return e.select("vec_id", F.round(V.vec_sum(V.scaled("v", 2, 1)), 4).alias("a"), F.round(V.vec_sum(V.both("v", "v", lambda x, y: x * y)), 4).alias("b"))
+
+
+@query("""SELECT vec_id, n_good, round(mean, 6) AS mean, round(sqrt(list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) / n_good), 6) AS sigma FROM (SELECT vec_id, embedding::DOUBLE[] AS v, len(embedding)::INT AS n_good, list_avg(embedding::DOUBLE[]) AS mean FROM embeddings)""")
+def image_stats(spark, d):
+    e = G.image_stats(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding")
+    return e.select("vec_id", "n_good", F.round("mean", 6).alias("mean"), F.round("sigma", 6).alias("sigma"))
+
+
+@query("""WITH s AS (SELECT vec_id, list_transform(range(1, 64), lambda i: abs(v[i] - v[i + 1])) AS d1, list_transform(range(1, 61), lambda i: abs(2 * v[i + 2] - v[i] - v[i + 4])) AS d3 FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))
+SELECT vec_id, round(list_sort(d1)[32] * 1.482602 / sqrt(2), 5) AS noise1, round(list_sort(d3)[30] * 1.482602 / sqrt(6), 5) AS noise3 FROM s""")
+def image_noise(spark, d):
+    e = G.image_stats(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding")
+    return e.select("vec_id", F.round("noise1", 5).alias("noise1"), F.round("noise3", 5).alias("noise3"))
+
+
+# --- geometry
+
+
+@query("""SELECT p_partkey, pow(x - 25, 2) + pow(y - 1200, 2) <= 250 * 250 AS circle, abs((x - 25) * cos(radians(30)) + (y - 1200) * sin(radians(30))) <= 150 AND abs((y - 1200) * cos(radians(30)) - (x - 25) * sin(radians(30))) <= 80 AS box,
+pow(((x - 25) * cos(radians(30)) + (y - 1200) * sin(radians(30))) / 200, 2) + pow(((y - 1200) * cos(radians(30)) - (x - 25) * sin(radians(30))) / 90, 2) <= 1.0 AS ellipse FROM (SELECT p_partkey, p_size AS x, p_retailprice AS y FROM part)""")
+def circle_box_ellipse(spark, d):
+    x, y = F.col("p_size"), F.col("p_retailprice")
+    return table(spark, d, "part").select("p_partkey", N.in_circle(25, 1200, 250, x, y).alias("circle"), N.in_box(25, 1200, 300, 160, 30, x, y).alias("box"), N.in_ellipse(25, 1200, 200, 90, 30, x, y).alias("ellipse"))
+
+
+@query("""SELECT p_partkey FROM (SELECT p_partkey, p_size AS x, p_retailprice / 40 AS y FROM part) WHERE (pow(x - 25, 2) + pow(y - 30, 2) <= 400 AND NOT (abs(x - 25) <= 5 AND abs(y - 30) <= 4)) OR (pow(x - 5, 2) + pow(y - 25, 2) BETWEEN 4 AND 36)""")
+def region_combined(spark, d):
+    p = table(spark, d, "part").withColumns({"x": F.col("p_size"), "y": F.col("p_retailprice") / 40})
+    parts = [R.read_region_lines(["circle(25, 30, 20)  # main", "-box(25,30,10,8,0)"]), [("+", "annulus", (5, 25, 2, 6))]]
+    return p.where(R.any_region(parts, "x", "y")).select("p_partkey")
+
+
+@query("""SELECT p_partkey, abs(x - 25) / 15 + abs(y - 30) / 10 <= 1 AS diamond, x BETWEEN 10 AND 30 AND y BETWEEN 25 AND 33 AS rect,
+(x = 25 AND y = 30) OR (CASE WHEN degrees(atan2(y - 30, x - 25)) < 0 THEN degrees(atan2(y - 30, x - 25)) + 360 ELSE degrees(atan2(y - 30, x - 25)) END) BETWEEN 30 AND 120 AS sector
+FROM (SELECT p_partkey, p_size AS x, p_retailprice / 40 AS y FROM part)""")
+def region_shapes(spark, d):
+    x, y = F.col("p_size"), F.col("p_retailprice") / 40
+    return table(spark, d, "part").select("p_partkey", R.diamond(x, y, 25, 30, 30, 20).alias("diamond"), R.rectangle(x, y, 10, 25, 30, 33).alias("rect"), R.sector(x, y, 25, 30, 30, 120).alias("sector"))
+
+
+@query("""SELECT p_partkey FROM (SELECT p_partkey, p_size AS x, p_retailprice / 40 AS y FROM part) WHERE y >= 24.003 AND y <= 34.003 AND x >= 10.5 AND x <= 40.5 AND (x - 10.5) / 30 >= (y - 24.003) / 10""")
+def region_polygon(spark, d):
+    p = table(spark, d, "part").withColumns({"x": F.col("p_size"), "y": F.col("p_retailprice") / 40})
+    return p.where(R.polygon("x", "y", 10.5, 24.003, 40.5, 24.003, 40.5, 34.003)).select("p_partkey")
+
+
+@query("""SELECT vec_id, round(degrees(2 * asin(sqrt(least(1.0, pow(sin((d2 - d1) / 2), 2) + cos(d1) * cos(d2) * pow(sin((r2 - r1) / 2), 2))))), 4) AS sep
+FROM (SELECT vec_id, radians(v[1] * 90) AS r1, radians(v[2] * 45) AS d1, radians(v[3] * 90) AS r2, radians(v[4] * 45) AS d2 FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))""")
+def angsep(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return e.select("vec_id", F.round(N.separation(F.col("v")[0] * 90, F.col("v")[1] * 45, F.col("v")[2] * 90, F.col("v")[3] * 45), 4).alias("sep"))
+
+
+@query("""SELECT p_partkey, round(degrees(atan2(l, cos(d0) - m * sin(d0))) + 150, 6) AS ra, round(degrees(asin((m * cos(d0) + sin(d0)) / sqrt(1 + l * l + m * m))), 6) AS dec
+FROM (SELECT p_partkey, radians((p_size - 25) * -0.01) AS l, radians((p_retailprice - 1000) * 0.001) AS m, radians(20) AS d0 FROM part)""")
+def sky_position(spark, d):
+    ra, dec = K.sky_of(K.Wcs(150, 20, 25, 1000, -0.01, 0.001), "p_size", "p_retailprice")
+    return table(spark, d, "part").select("p_partkey", F.round(ra, 6).alias("ra"), F.round(dec, 6).alias("dec"))
+
+
+@query("SELECT p_partkey, round(p_size::DOUBLE, 4) AS x, round(p_retailprice, 4) AS y FROM part")
+def sky_round_trip(spark, d):
+    w = K.Wcs(150, 20, 25, 1000, -0.01, 0.001, 30, "-SIN")
+    ra, dec = K.sky_of(w, "p_size", "p_retailprice")
+    x, y = K.pixel_of(w, "ra", "dec")
+    return table(spark, d, "part").select("p_partkey", ra.alias("ra"), dec.alias("dec")).select("p_partkey", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+
+
+# --- joins and unions
+
+
+@query("""SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM (SELECT epoch(o_orderdate) AS a, epoch(o_orderdate) + 900 AS b FROM orders WHERE o_orderkey % 50 = 0) g WHERE epoch(e.ts) BETWEEN g.a AND g.b)
+OR EXISTS (SELECT 1 FROM (SELECT epoch(ts) AS a, epoch(ts) + 600 AS b FROM events WHERE event_id % 100 = 0) g WHERE epoch(e.ts) BETWEEN g.a AND g.b)""")
+def interval_semi_join(spark, d):
+    o = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderdate").cast("timestamp").cast("double").alias("start"))
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    g = o.select("start", (F.col("start") + 900).alias("stop")).union(e.where("event_id % 100 = 0").select(F.col("t").alias("start"), (F.col("t") + 600).alias("stop")))
+    return I.in_intervals(e, "t", g).select("event_id")
+
+
+@query("""SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (SELECT epoch(ts) AS a, epoch(ts) + 3600 AS b FROM events WHERE event_id % 40 = 0) g WHERE epoch(e.ts) + 60 BETWEEN g.a AND g.b)""")
+def interval_anti_join(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    g = e.where("event_id % 40 = 0").select(F.col("t").alias("start"), (F.col("t") + 3600).alias("stop"))
+    return I.in_intervals(e, "t", g, shift=60.0, keep=False).select("event_id")
+
+
+@query("""SELECT e.event_id, g.gid FROM events e JOIN (SELECT event_id AS gid, epoch(ts) AS a, epoch(ts) + 1800 AS b FROM events WHERE event_id % 100 = 0) g ON epoch(e.ts) BETWEEN g.a AND g.b""")
+def interval_join(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    g = e.where("event_id % 100 = 0").select(F.col("event_id").alias("gid"), F.col("t").alias("start"), (F.col("t") + 1800).alias("stop"))
+    return I.with_interval(e, "t", g).select("event_id", "gid")
+
+
+@query("""SELECT a._row, coalesce(n_name, '') AS n_name, coalesce(n_nationkey, 0)::INT AS n_nationkey, coalesce(r_name, '') AS r_name, coalesce(r_regionkey, 0)::INT AS r_regionkey FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS _row FROM nation) a FULL JOIN (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS _row FROM region) b ON a._row = b._row""")
+def zip_merge(spark, d):
+    a = W.with_row(table(spark, d, "nation").select("n_name", "n_nationkey"), "n_nationkey")
+    b = W.with_row(table(spark, d, "region").select("r_name", "r_regionkey"), "r_regionkey")
+    return C.merge_by_position(a, b)
+
+
+@query("""SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance FROM supplier UNION ALL SELECT c_custkey, c_name, 0.0 FROM customer""")
+def append_rows(spark, d):
+    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return C.append(a, table(spark, d, "customer").select(F.col("c_custkey").alias("KEY"), F.col("c_name").alias("name")))
+
+
+@query("""SELECT o_orderstatus AS group_id, o_custkey AS member FROM orders UNION SELECT o_orderpriority, o_custkey FROM orders""")
+def merge_groups(spark, d):
+    o = table(spark, d, "orders")
+    side = lambda c: o.select(F.col(c).alias("group_id"), F.col("o_custkey").alias("member"))
+    return G.merge_groups(side("o_orderstatus"), side("o_orderpriority"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS g, o_custkey // 3 AS m FROM orders), r AS (SELECT g, m FROM e UNION SELECT r.g, e.m FROM r JOIN e ON r.m = e.g) SELECT g::BIGINT AS group_id, m::BIGINT AS member FROM r""")
+def all_members(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("group_id"), N.int_div("o_custkey", 3).alias("member"))
+    return G.all_members(o)
+
+
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS g, o_custkey // 3 AS m FROM orders) SELECT DISTINCT a.g::BIGINT AS group_id, coalesce(b.m, a.m)::BIGINT AS member FROM e a LEFT JOIN e b ON a.m = b.g""")
+def compact_groups(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("group_id"), N.int_div("o_custkey", 3).alias("member")).dropDuplicates()
+    return G.compact_groups(o)
+
+
+@query("""SELECT n_nationkey AS group_id, c_custkey AS member, c_name FROM nation JOIN customer ON c_nationkey = n_nationkey""")
+def members_of(spark, d):
+    c = table(spark, d, "customer")
+    return G.members_of(c.select(F.col("c_nationkey").alias("group_id"), F.col("c_custkey").alias("member")), c.select("c_custkey", "c_name"), "c_custkey").select("group_id", "member", "c_name")
+
+
+# --- reports
+
+
+@query("""SELECT p_partkey, 'p_retailprice' AS column_name, a AS value_a, b AS value_b FROM (SELECT p_partkey, p_retailprice AS a, CASE WHEN p_partkey % 97 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS b FROM part) WHERE a <> b
+UNION ALL SELECT p_partkey, 'p_size', p_size, p_size + 2 FROM part WHERE p_partkey % 89 = 0""")
+def table_diff(spark, d):
+    p = table(spark, d, "part")
+    q = p.withColumns({"p_retailprice": F.when(F.col("p_partkey") % 97 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice")), "p_size": F.when(F.col("p_partkey") % 89 == 0, F.col("p_size") + 2).otherwise(F.col("p_size"))})
+    return D.table_diff(p, q, "p_partkey").withColumns({c: F.col(c).cast("double") for c in ("value_a", "value_b")})
+
+
+@query("""SELECT sum(n)::BIGINT AS cells_differ, count(*) FILTER (n > 0) AS rows_differ, round(sum(n) / (count(*) * 4.0), 8) AS ratio FROM (SELECT (abs(s_acctbal - (s_acctbal + s_suppkey % 7)) > abs(s_acctbal + s_suppkey % 7) * 0.001)::INT AS n FROM supplier)""")
+def diff_summary(spark, d):
+    s = table(spark, d, "supplier")
+    t = s.withColumn("s_acctbal", F.col("s_acctbal") + F.col("s_suppkey") % 7).withColumn("extra", F.lit(1))
+    return D.diff_summary(s.withColumn("extra", F.lit(1)), t, "s_suppkey", tolerance=0.001).withColumn("ratio", F.round("ratio", 8))
+
+
+@query("""SELECT CASE WHEN s = 0 THEN 0 WHEN s % 4294967295 = 0 THEN 4294967295 ELSE s % 4294967295 END::BIGINT AS datasum FROM (SELECT sum((l_partkey * 1000003) % 4294967296)::HUGEINT AS s FROM lineitem)""")
+def folded_checksum(spark, d):
+    return table(spark, d, "lineitem").agg(G.folded_sum((F.col("l_partkey") * 1000003) % 4294967296).alias("datasum"))
+
+
+@query("""WITH w AS (SELECT ts, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view FROM events GROUP BY ts)
+SELECT ts, last_value(click IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS click, last_value(view IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS view FROM w""")
+def housekeeping(spark, d):
+    return G.housekeeping(table(spark, d, "events"), "ts", "event_type", "value", ["click", "view"])
+
+
+@query("""SELECT s_suppkey, (s_acctbal * 0.5 + 10) AS phys FROM supplier""")
+def physical_values(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", C.physical(F.col("s_acctbal"), 0.5, 10.0).alias("phys"))
+
+
+@query("""SELECT s_suppkey, round_even((s_acctbal - 10) / 0.5, 0)::BIGINT AS raw FROM supplier""")
+def stored_values(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", C.stored(F.col("s_acctbal"), 0.5, 10.0, "long").alias("raw"))
+
+
+@query("""SELECT s_suppkey, round_even((s_acctbal - (hi + lo) / 2) / ((hi - lo) / 65534), 0)::BIGINT AS s_acctbal_stored FROM supplier, (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier)""")
+def rescaled_values(spark, d):
+    return C.rescale(table(spark, d, "supplier"), "s_acctbal", 16).select("s_suppkey", "s_acctbal_stored")
+
+
+@query("""SELECT p_partkey, lpad(bin(p_size), 8, '0') AS bits, length(replace(bin(p_size), '0', ''))::BIGINT AS ones, substr(lpad(bin(p_size), 8, '0'), 6, 1) AS one_bit, p_size % 4 = 2 AS fits, lpad(bin(p_size & 21), 8, '0') AS both, lpad(bin(p_size | 21), 8, '0') AS any_of, p_size < 21 AS less FROM part""")
+def bit_strings(spark, d):
+    b, m = S.bits_of("p_size", 8), F.lit("00010101")
+    return table(spark, d, "part").select("p_partkey", b.alias("bits"), S.bits_count(b).alias("ones"), S.bit(b, 6).alias("one_bit"), S.bits_equal(b, F.lit("xxxxxx10")).alias("fits"), S.bits_and(b, m).alias("both"), S.bits_or(b, m).alias("any_of"), S.bits_less(b, m).alias("less"))
+
+
+@query(None)
+def random_numbers(spark, d):
+    return table(spark, d, "region").select("r_regionkey", N.uniform(1).alias("u"), N.normal(2).alias("n"), N.poisson(F.lit(4.0), 3).alias("p"))
