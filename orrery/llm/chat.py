@@ -68,22 +68,22 @@ def read_back(text: str) -> list[tuple[str, str]]:
     return [(unescape_role(role), unescape(body)) for role, body in TURN.findall(text)]
 
 
-def cut(turns: list[tuple[str, str, int]], done: int, system: tuple | None, budget: int, history: int, last: bool):
+def cut(turns: list[tuple[str, str, int]], done: int, system: tuple | None, budget: int, history: int, last: bool, later: bool):
     """Windows of the turns from ``done`` on, by prefix sums: (history begin, begin, end). Without ``last`` a span that
-    could still grow is left for later."""
+    could still grow is left for later. ``later``: the conversation has windows already."""
     total = np.concatenate([[0], np.cumsum([n for *_, n in turns])])
     i = done
     while i < len(turns):
         h = min(int(np.searchsorted(total, total[i] - history, "left")), i)
-        own = system is not None and turns[0] is system and h == 0
-        fixed = int(total[i] - total[h]) + (system[2] if system is not None and i and not own else 0)
+        repeat = system[2] if system is not None and (later or i > done) else 0
+        fixed = int(total[i] - total[h]) + (repeat if h or turns[0] is not system else 0)
         if fixed > budget // 2 and h < i:
-            h, fixed = i, system[2] if system is not None and i else 0
+            h, fixed = i, repeat
         j = max(i + 1, int(np.searchsorted(total, total[i] + budget - fixed, "right")) - 1)
         if j >= len(turns) and not last:
             return
         yield h, i, min(j, len(turns))
-        i = j
+        i, later = j, True
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -98,8 +98,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
 
         def emit(last):
             nonlocal done, number, turns
-            for h, i, j in cut(turns, done, system, budget, history, last):
-                again = [system] if system is not None and i and turns[h] is not system and (h or turns[0] is not system) else []
+            for h, i, j in cut(turns, done, system, budget, history, last, number > 0):
+                again = [system] if system is not None and number and turns[h] is not system else []
                 shown = [*again, *turns[h:j]]
                 repeated = len(again) + i - h
                 text, mask = render([t[:2] for t in shown], repeated)

@@ -4,16 +4,20 @@ A document is its sequence of line hashes. A seed is the shortest run of consecu
 one long line, or several short ones; runs of that length are rare by themselves. For each seed the earliest document
 (least doc_id) that holds it is its owner, and every later document with that seed is aligned with the owner: so a seed
 in n documents gives n - 1 pairs, not n * n, and none is left out however common it is. A pair's line sequences are
-aligned with patience diff (lines unique in both, their longest increasing run, grown over equal neighbours), and aligned
-blocks of at least ``words`` words are deleted from the later document. The first document of each text keeps it.
+aligned with patience diff (lines unique in both, their increasing run of most words, grown over equal neighbours), and
+aligned blocks of at least ``words`` words are deleted from the later document. What is left is aligned again, for blocks
+that stand in another order, and at last shared seeds whose lines aren't unique are aligned with their place in the owner.
+The first document of each text keeps it.
 
-Null or empty texts have no lines and stay as they are. Rows that repeat a doc_id are one document of that id, of which
-the first text by hash counts for others; each row is cleaned by its own lines. A text all of whose lines go becomes
+Null or empty texts have no lines and stay as they are. Rows that repeat a doc_id are no later than each other; each is
+cleaned by its own lines. A text all of whose lines go becomes
 empty. An empty table gives no rows. Line ends are \\n; lines are compared after white space at their ends is removed.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -60,24 +64,31 @@ def line_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", same_text("text").alias("same")).where("doc_id is not null").mapInArrow(run, LINES)
 
 
-def longest_run(values: list[int]) -> list[int]:
-    """Places of a longest increasing subsequence, by patience sorting."""
-    tops: list[int] = []
-    heads: list[int] = []
+def heaviest_run(values: list[int], weights: list[int]) -> list[int]:
+    """Places of the increasing subsequence of most weight, by patience sorting."""
+    tops: list[int] = []  # last values of the best runs, ascending as their weights are
+    held: list[tuple[int, int]] = []  # weight, place
     back = [-1] * len(values)
-    for i, v in enumerate(values):
-        k = int(np.searchsorted(tops, v))
-        back[i] = heads[k - 1] if k else -1
-        tops[k : k + 1], heads[k : k + 1] = [v], [i]
-    out, i = [], heads[-1] if heads else -1
+    for i, (v, w) in enumerate(zip(values, weights, strict=True)):
+        k = bisect_left(tops, v)
+        total = w + (held[k - 1][0] if k else 0)
+        back[i] = held[k - 1][1] if k else -1
+        end = k
+        while end < len(tops) and held[end][0] <= total:
+            end += 1
+        if k == len(tops) or tops[k] != v or end > k:
+            tops[k:end], held[k:end] = [v], [(total, i)]
+    out, i = [], held[-1][1] if held else -1
     while i >= 0:
         out.append(i)
         i = back[i]
     return out[::-1]
 
 
-def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
-    """Aligned blocks (start in a, start in b, lines) of two sequences of line hashes, by patience diff."""
+def patience(a: np.ndarray, b: np.ndarray, words: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Aligned blocks (start in a, start in b, lines) of two sequences of line hashes, by patience diff.
+    ``words``: of each line of a; by default lines weigh the same."""
+    words = np.ones(len(a), np.int64) if words is None else words + 1
     blocks, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -99,7 +110,7 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
             continue
         order = np.argsort(x)
         x, y = x[order], y[order]
-        keep = longest_run(y.tolist())
+        keep = heaviest_run(y.tolist(), words[x].tolist())
         ends_a, ends_b = a0, b0
         for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
             if i < ends_a or j < ends_b:
@@ -117,29 +128,50 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return blocks
 
 
+def lines_gone(a: np.ndarray, held: np.ndarray, seeds: np.ndarray, theirs: np.ndarray, their_seeds: np.ndarray, words: int) -> np.ndarray:
+    """Places of the lines of a that stand in aligned blocks of so many words."""
+    gone = np.zeros(len(a), bool)
+    left = a.copy()
+    while True:
+        found = [slice(s, s + n) for s, _, n in patience(left, theirs, held) if held[s : s + n].sum() >= words]
+        found = [x for x in found if not gone[x].any()]
+        if not found:
+            break
+        for x in found:
+            gone[x] = True
+        # a deleted line equals nothing any more
+        left = np.where(gone, np.iinfo(np.int64).min + np.arange(len(a)), a)
+    places = {int(s): k for k, s in reversed(list(enumerate(their_seeds.tolist()))) if s}
+    for i in np.flatnonzero(~gone & (seeds != 0)):
+        k = places.get(int(seeds[i]))
+        n = 0
+        while k is not None and i + n < len(a) and k + n < len(theirs) and a[i + n] == theirs[k + n]:
+            n += 1
+        if held[i : i + n].sum() >= words:
+            gone[i : i + n] = True
+    return np.flatnonzero(gone)
+
+
 def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, same, gone): of each document that repeats an earlier one, the places of the lines to delete."""
     rows = save(line_rows(docs, words))
     of = rows.select("doc_id", F.explode(F.array_distinct(F.filter("seeds", lambda s: s != 0))).alias("seed"))
     owners = of.groupBy("seed").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
     pairs = of.join(owners, "seed").where("owner < doc_id").select("doc_id", "owner").distinct()
-    first = rows.groupBy("doc_id").agg(F.min_by(F.struct("lines", "words"), "same").alias("l"))
-    earlier = first.select(F.col("doc_id").alias("owner"), F.col("l.lines").alias("theirs"))
-    met = pairs.join(earlier, "owner").join(rows.select("doc_id", "same", "lines", "words"), "doc_id")
+    earlier = rows.select(F.col("doc_id").alias("owner"), F.col("lines").alias("theirs"), F.col("seeds").alias("their_seeds"))
+    met = pairs.join(earlier, "owner").join(rows, "doc_id")
 
     def align(batches):
         for batch in batches:
             out = []
-            for doc, same, mine, held, theirs in zip(*(batch.column(c) for c in ("doc_id", "same", "lines", "words", "theirs")), strict=True):
-                a, w = mine.values.to_numpy(zero_copy_only=False), held.values.to_numpy(zero_copy_only=False)
-                blocks = patience(a, theirs.values.to_numpy(zero_copy_only=False))
-                gone = [range(s, s + n) for s, _, n in blocks if w[s : s + n].sum() >= words]
-                if gone:
-                    out.append((doc.as_py(), same.as_py(), [i for r in gone for i in r]))
+            for doc, same, *cells in zip(*(batch.column(c) for c in ("doc_id", "same", "lines", "words", "seeds", "theirs", "their_seeds")), strict=True):
+                gone = lines_gone(*(c.values.to_numpy(zero_copy_only=False) for c in cells), words)
+                if len(gone):
+                    out.append((doc.as_py(), same.as_py(), gone.tolist()))
             if out:
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["doc_id", "same", "gone"]), schema=pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("gone", pa.list_(pa.int32()))]), preserve_index=False)
 
-    found = met.select("doc_id", "same", "lines", "words", "theirs").mapInArrow(align, "doc_id long, same long, gone array<int>")
+    found = met.select("doc_id", "same", "lines", "words", "seeds", "theirs", "their_seeds").mapInArrow(align, "doc_id long, same long, gone array<int>")
     return found.select("doc_id", "same", F.explode("gone").alias("line")).groupBy("doc_id", "same").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 

@@ -111,9 +111,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_features:
     best = held.where(F.col("a") + F.col("b") < n).withColumn("chi", chi).where(F.col("chi") >= evidence).orderBy(F.desc("chi"), "feature", "word").limit(most_features).toPandas()
     names = list(best["feature"])
     at = {x: i for i, x in enumerate(names)}
-    cells = found.join(F.broadcast(docs.sparkSession.createDataFrame(best[["feature"]].drop_duplicates(), "feature string")), "feature").select("doc_id", "feature", "v").toPandas()
+    numbered = docs.sparkSession.createDataFrame(list(at.items()), "feature string, at int")  # at most most_features rows
+    cells = found.join(F.broadcast(numbered), "feature").select("doc_id", "at", F.col("v").cast("float").alias("v")).toPandas()
     ids = {d: i for i, d in enumerate(docs_y["doc_id"])}
-    rows, cols = cells["doc_id"].map(ids).to_numpy(np.int64), cells["feature"].map(at).to_numpy(np.int64)
+    rows, cols = cells["doc_id"].map(ids).to_numpy(np.int64), cells["at"].to_numpy(np.int64)
     values = cells["v"].to_numpy(float)
     y = docs_y["y"].clip(lower=0).to_numpy(np.int64)
     if not graded:
