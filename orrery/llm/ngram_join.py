@@ -28,10 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import as_long, components, hash_strings, pieces, save, shingle_hashes, small, table, words_of
+from orrery.llm.common import as_long, components, fmix, hash_strings, pieces, save, shingle_hashes, small, table, words_of
 
 PERCENT, WORDS = 75, 5
 BLOCK_SETS, BLOCK_SHINGLES, HUBS = 384, 1_000_000, 32
+LONGER = 20  # a set's beginning is longer by this part of it than one shared shingle needs
 SALTED = 16 * 9  # sixteenths of the logarithm of a count: shingles counted 512 times and more meet in salted parts
 
 
@@ -169,7 +170,7 @@ def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int,
 
 def more(n: int) -> int:
     """How many shingles, of as many as a set's beginning is made longer by (less one), two linked sets share there."""
-    return max(1, n // 20)
+    return max(1, n // LONGER)
 
 
 class Trie:
@@ -334,19 +335,20 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     every = members.select(*columns, "blocks", "block", F.lit(0).alias("walks"))
     top = Window.partitionBy("cluster", "block").orderBy(F.desc("links"), "set")
     best = members.select("cluster", "block", "blocks", "set", "links").withColumn("r", F.row_number().over(top)).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.lit(HUBS) / F.col("blocks"))))
-    hubs = best.withColumn("g", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("links"), "set"))).where(F.col("g") <= HUBS).select("set")
+    hubs = small(best.withColumn("g", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("links"), "set"))).where(F.col("g") <= HUBS).select("set"))
     spread = members.join(hubs, "set").select(*columns, "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("walks"))
     edges = save(every.union(spread).groupBy("cluster", "block").applyInArrow(across, "a long, b long"))
     roots = named_roots(edges)
-    merged = save(members.join(roots, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"))
+    merged = save(members.join(small(roots), "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root"))
     counts = merged.groupBy("cluster", "component").count()
     main = counts.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    main = small(main)
     minor = merged.join(main, "cluster").where("component <> main")
     if not minor.isEmpty():
         # every set outside the largest component walks over every block, with those of its own part
         parts = F.pmod(F.xxhash64("set", F.lit(1)), F.col("blocks"))
         asking = minor.select(*columns, "blocks", parts.alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("walks", F.lit(1))
-        asked_parts = minor.select("cluster", parts.alias("part")).distinct()
+        asked_parts = small(minor.select("cluster", parts.alias("part")).distinct())
         asked = merged.join(asked_parts, "cluster").select(*columns, "blocks", "part", "block", F.lit(0).alias("walks"))
         more = asking.select(*columns, "part", "block", "walks").union(asked.select(*columns, "part", "block", "walks")).groupBy("cluster", "part", "block").applyInArrow(across, "a long, b long")
         roots = named_roots(edges.union(more))
@@ -354,17 +356,20 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     return final.select("set", F.coalesce("root", "component").alias("component")).distinct()
 
 
-def hopeless(sets: DataFrame, percent: int) -> DataFrame:
-    """(set) of the sets too many of whose shingles no other set of their cluster has."""
+def hopeless(sets: DataFrame, percent: int, part: float = 0.45) -> DataFrame:
+    """(set) of sets too many of whose shingles no other set of their cluster has. Only shingles in a ``part`` of the hash
+    range are looked at: those alone are too many already for sets that share little, and no other set is named."""
+    least = np.uint64(int((1 - part) * 2**64))
 
     def spread(batches):
         for batch in batches:
             for c, i, x in zip(batch.column("cluster"), batch.column("set"), batch.column("shingles"), strict=True):
-                h = np.frombuffer(x.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), c.as_py())), pa.array(np.full(len(h), i.as_py())), pa.array(h)], names=["cluster", "set", "shingle"])
+                h = np.frombuffer(x.as_py(), np.uint64)
+                h = fmix(h[h >= least] ^ np.uint64(c.as_py() % 2**64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i.as_py(), np.int64)), pa.array(as_long(h))], names=["set", "shingle"])
 
-    rows = sets.select("cluster", "set", "shingles").mapInArrow(spread, "cluster long, set long, shingle long")
-    alone = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("k"), F.min("set").alias("set")).where("k = 1").groupBy("set").agg(F.count("*").alias("alone"))
+    rows = sets.select("cluster", "set", "shingles").mapInArrow(spread, "set long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("set").alias("set")).where("k = 1").groupBy("set").agg(F.count("*").alias("alone"))
     return sets.select("set", "n").join(alone, "set").where((F.col("n") - F.col("alone")) * 100 < percent * F.col("n")).select("set")
 
 
@@ -385,7 +390,7 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, most_common:
     edges, met = meeting(known, words, shingles, k, percent)
     clusters = save(components(edges))
     classes = sets.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    wanted = small(clusters.select(F.col("node").alias("set"), F.col("component").alias("cluster")).join(classes, "set").join(met, "set").where(F.col("n_met") >= F.greatest(F.lit(1), F.floor(F.col("n") * percent / 2000))).select("set", "cluster", F.col("least").alias("doc_id")))
+    wanted = small(clusters.select(F.col("node").alias("set"), F.col("component").alias("cluster")).join(classes, "set").join(met, "set").where(F.col("n_met") >= F.greatest(F.lit(1), F.floor(F.col("n") * percent / (100 * LONGER)))).select("set", "cluster", F.col("least").alias("doc_id")))
 
     def shingle_rows(batches):
         for batch in batches:
