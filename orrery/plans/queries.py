@@ -15,7 +15,9 @@ from orrery.functions import vectors as V
 from orrery.operators import columns as C
 from orrery.operators import diff as D
 from orrery.operators import groups as G
+from orrery.operators import headers as A
 from orrery.operators import histogram as H
+from orrery.operators import images as P
 from orrery.operators import intervals as I
 from orrery.operators import rows as W
 from orrery.plans.tables import table
@@ -420,3 +422,32 @@ def bit_strings(spark, d):
 @query(None)
 def random_numbers(spark, d):
     return table(spark, d, "region").select("r_regionkey", N.uniform(1).alias("u"), N.normal(2).alias("n"), N.poisson(F.lit(4.0), 3).alias("p"))
+
+
+# --- images and headers
+
+
+@query("""SELECT vec_id, ((i - 1) % 8 + 1)::INT AS i1, ((i - 1) // 8 + 1)::INT AS i2, v[i] AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) r(i)""")
+def cell_to_pixels(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return P.pixels_of_cell(e, "v", (8, 8), "vec_id")
+
+
+@query("""SELECT vec_id, (i1 - 2) // 3 + 1 AS i1, 8 - i2 + 1 AS i2, value FROM (SELECT vec_id, (i - 1) % 8 + 1 AS i1, (i - 1) // 8 + 1 AS i2, v[i] AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) r(i)) WHERE i1 BETWEEN 2 AND 8 AND (i1 - 2) % 3 = 0""")
+def image_section(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return P.section(P.pixels_of_cell(e, "v", (8, 8), "vec_id"), "2:8:3,-*", (8, 8))
+
+
+@query("""SELECT a.i AS i1, a.vec_id AS i2, round(a.value * 2 - b.value, 6) AS value FROM (SELECT vec_id, i, v[i] AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) r(i)) a
+JOIN (SELECT vec_id - 1 AS vec_id, i, v[i] AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) r(i)) b USING (vec_id, i)""")
+def pixel_expression(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i2"), F.col("embedding").cast("array<double>").alias("v"))
+    a = P.pixels_of_cell(e, "v", (64,), "i2")
+    return P.combine({"a": a, "b": a.withColumn("i2", F.col("i2") - 1)}, F.round(F.col("a") * 2 - F.col("b"), 6))
+
+
+@query("""SELECT 0 AS hdu, upper(p_type) AS keyword, count(*)::BIGINT AS n_cards FROM part WHERE p_type LIKE '%A_D%' GROUP BY 2""")
+def header_counts(spark, d):
+    cards = table(spark, d, "part").select(F.lit(0).alias("hdu"), F.col("p_partkey").cast("int").alias("place"), F.col("p_type").alias("keyword"), F.lit(0).alias("n"), F.col("p_name").alias("value"), F.lit("").alias("comment"))
+    return A.counts(A.select_cards(cards, "*A?D*"))

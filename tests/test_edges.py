@@ -118,3 +118,27 @@ def test_checksum_words(spark):
     words = df.select(F.explode(G.words_of(F.col("b"))).alias("w"))
     assert [r.w for r in words.collect()] == [2**32 - 1, 2, 2**24]
     assert words.agg(G.folded_sum(F.col("w"))).first()[0] == 2 + 2**24
+
+
+def test_headers(spark):
+    from orrery.operators import headers as A
+
+    h = spark.createDataFrame([(0, 0, "SIMPLE", 0, "True", ""), (0, 1, "BITPIX", 0, "7", ""), (0, 2, "NAXIS", 0, "0", ""), (0, 3, "OBJECT", 0, "x", "what"), (0, 4, "bad key", 0, None, "")], "hdu int, place int, keyword string, n int, value string, comment string")
+    value = lambda t, k: [r.value for r in t.where(A.is_keyword(k)).orderBy("place").collect()]
+    assert value(A.set_card(h, 0, "object", "y"), "OBJECT") == ["y"] and value(A.set_card(h, 0, "NEW", 5), "NEW") == ["5"]
+    long = A.append_card(h, 0, "HISTORY", "a" * 100)
+    assert value(long, "HISTORY") == ["a" * 72, "a" * 28] and A.counts(long).where("keyword = 'HISTORY'").first().n_cards == 2
+    assert value(A.rename_keyword(h, 0, "OBJECT", "TARGET"), "TARGET") == ["x"]
+    with pytest.raises(ValueError):
+        A.rename_keyword(h, 0, "OBJECT", "NAXIS")
+    assert sorted(r.place for r in A.delete_cards(h, 0, "?A*").collect()) == [0, 1, 2]
+    assert {(r.keyword, r.check) for r in A.verify(h).collect()} == {("BITPIX", "BITPIX value")}
+
+
+def test_image_sections():
+    from orrery.operators import images as P
+
+    assert P.parse_section("2:8:3, -*, *:2", (8, 5, 9)) == [(2, 8, 3), (5, 1, 1), (1, 9, 2)]
+    for bad in ("1:9", "a", "0:3", "1,2"):
+        with pytest.raises(ValueError):
+            P.parse_section(bad, (8,))
