@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,9 @@ from orrery.operators import histogram as H
 from orrery.operators import images as P
 from orrery.operators import intervals as I
 from orrery.operators import rows as W
-from orrery.plans.tables import table
+from orrery.plans.tables import table, work_dir
+from orrery.sources import fits, text, tiles
+from orrery.streaming.append import QuotaWriter, filtered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -451,3 +454,53 @@ def pixel_expression(spark, d):
 def header_counts(spark, d):
     cards = table(spark, d, "part").select(F.lit(0).alias("hdu"), F.col("p_partkey").cast("int").alias("place"), F.col("p_type").alias("keyword"), F.lit(0).alias("n"), F.col("p_name").alias("value"), F.lit("").alias("comment"))
     return A.counts(A.select_cards(cards, "*A?D*"))
+
+
+# --- sources, sinks and streams; files go to the shared working folder
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def fits_round_trip(spark, d):
+    fits.register(spark)
+    path = f"{work_dir(spark)}/orrery/{uuid.uuid4().hex}"
+    table(spark, d, "supplier").repartition(3).write.format("fits").option("path", path).mode("append").save()
+    return spark.read.format("fits").option("path", path).option("ext", "TABLE").load()
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS first_value, len(embedding)::INT AS n FROM embeddings")
+def fits_vectors(spark, d):
+    fits.register(spark)
+    path = f"{work_dir(spark)}/orrery/{uuid.uuid4().hex}"
+    table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).write.format("fits").option("path", path).mode("append").save()
+    return spark.read.format("fits").option("path", path).load().select("vec_id", F.round(F.col("v")[0], 6).alias("first_value"), F.size("v").alias("n"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def text_round_trip(spark, d):
+    path = f"{work_dir(spark)}/orrery/{uuid.uuid4().hex}"
+    text.dump(table(spark, d, "nation"), f"{path}/data", f"{path}/columns")
+    return text.load(spark, f"{path}/data", f"{path}/columns")
+
+
+@query("SELECT vec_id AS tile, list_sum(list_transform(embedding::DOUBLE[], lambda x: trunc(x * 1000)))::BIGINT AS total FROM embeddings")
+def tile_round_trip(spark, d):
+    arrays = table(spark, d, "embeddings").select(F.col("vec_id").alias("tile"), F.transform("embedding", lambda x: (x.cast("double") * 1000).cast("int")).alias("values"))
+    back = tiles.decompress(tiles.compress(arrays, "GZIP_2"))
+    return back.select("tile", V.vec_sum("values", "long").alias("total"))
+
+
+@query("SELECT event_id, user_id, round(value * 2, 6) AS twice FROM events WHERE event_type = 'click' AND value > 10")
+def stream_filter(spark, d):
+    """The events as a stream, through the quota writer; the result is what it wrote."""
+    path = f"{work_dir(spark)}/orrery/{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/event[s].parquet")
+    chosen = filtered(stream, (F.col("event_type") == "click") & (F.col("value") > 10), twice=F.round(F.col("value") * 2, 6)).select("event_id", "user_id", "twice")
+    q = chosen.writeStream.foreachBatch(QuotaWriter(f"{path}/out", events.count(), chosen.schema)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(chosen.schema).parquet(f"{path}/out").select("event_id", "user_id", "twice")
+
+
+def _is_folder(spark, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
