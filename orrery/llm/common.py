@@ -19,7 +19,14 @@ _LOCAL: dict[str, str] = {}
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bounded(spark: SparkSession, batch: str = "4m") -> None:
+    """Arrow batches between executors and their Python workers hold so many bytes at most, on both sides; by default they
+    are sixteen times as large, whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
