@@ -23,6 +23,7 @@ def stage(f):
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.bounded(spark)
         common.release(_made)
         before = common.saved()
         out = f(spark, docs, sf_dir)
