@@ -311,27 +311,25 @@ def sky_round_trip(spark, d):
 # --- joins and unions
 
 
-@query("""SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM (SELECT epoch(o_orderdate) AS a, epoch(o_orderdate) + 900 AS b FROM orders WHERE o_orderkey % 50 = 0) g WHERE epoch(e.ts) BETWEEN g.a AND g.b)
-OR EXISTS (SELECT 1 FROM (SELECT epoch(ts) AS a, epoch(ts) + 600 AS b FROM events WHERE event_id % 100 = 0) g WHERE epoch(e.ts) BETWEEN g.a AND g.b)""")
+@query("""SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM (SELECT epoch(ts) - 60 AS a, epoch(ts) + 300 AS b FROM events WHERE event_type = 'purchase') g WHERE epoch(e.ts) BETWEEN g.a AND g.b)""")
 def interval_semi_join(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderdate").cast("timestamp").cast("double").alias("start"))
-    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    g = o.select("start", (F.col("start") + 900).alias("stop")).union(e.where("event_id % 100 = 0").select(F.col("t").alias("start"), (F.col("t") + 600).alias("stop")))
+    e = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    g = e.where("event_type = 'purchase'").select((F.col("t") - 60).alias("start"), (F.col("t") + 300).alias("stop"))
     return I.in_intervals(e, "t", g).select("event_id")
 
 
-@query("""SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (SELECT epoch(ts) AS a, epoch(ts) + 3600 AS b FROM events WHERE event_id % 40 = 0) g WHERE epoch(e.ts) + 60 BETWEEN g.a AND g.b)""")
+@query("""SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (SELECT epoch(ts) AS a, epoch(ts) + 600 AS b FROM events WHERE event_type = 'error') g WHERE epoch(e.ts) + 60 BETWEEN g.a AND g.b)""")
 def interval_anti_join(spark, d):
-    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    g = e.where("event_id % 40 = 0").select(F.col("t").alias("start"), (F.col("t") + 3600).alias("stop"))
+    e = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    g = e.where("event_type = 'error'").select(F.col("t").alias("start"), (F.col("t") + 600).alias("stop"))
     return I.in_intervals(e, "t", g, shift=60.0, keep=False).select("event_id")
 
 
-@query("""SELECT e.event_id, g.gid FROM events e JOIN (SELECT event_id AS gid, epoch(ts) AS a, epoch(ts) + 1800 AS b FROM events WHERE event_id % 100 = 0) g ON epoch(e.ts) BETWEEN g.a AND g.b""")
+@query("""SELECT e.event_id, g.gid FROM events e JOIN (SELECT event_id AS gid, epoch(ts) AS a, epoch(ts) + 600 AS b FROM events WHERE event_type = 'purchase') g ON epoch(e.ts) BETWEEN g.a AND g.b""")
 def interval_join(spark, d):
-    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    g = e.where("event_id % 100 = 0").select(F.col("event_id").alias("gid"), F.col("t").alias("start"), (F.col("t") + 1800).alias("stop"))
-    return I.with_interval(e, "t", g).select("event_id", "gid")
+    e = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    g = e.where("event_type = 'purchase'").select(F.col("event_id").alias("gid"), F.col("t").alias("start"), (F.col("t") + 600).alias("stop"))
+    return I.with_interval(e.select("event_id", "t"), "t", g).select("event_id", "gid")
 
 
 @query("""SELECT a._row, coalesce(n_name, '') AS n_name, coalesce(n_nationkey, 0)::INT AS n_nationkey, coalesce(r_name, '') AS r_name, coalesce(r_regionkey, 0)::INT AS r_regionkey FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS _row FROM nation) a FULL JOIN (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS _row FROM region) b ON a._row = b._row""")
