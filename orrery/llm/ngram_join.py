@@ -356,16 +356,13 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     return final.select("set", F.coalesce("root", "component").alias("component")).distinct()
 
 
-def hopeless(sets: DataFrame, percent: int, part: float = 0.45) -> DataFrame:
-    """(set) of sets too many of whose shingles no other set of their cluster has. Only shingles in a ``part`` of the hash
-    range are looked at: those alone are too many already for sets that share little, and no other set is named."""
-    least = np.uint64(int((1 - part) * 2**64))
+def hopeless(sets: DataFrame, percent: int) -> DataFrame:
+    """(set) of sets too many of whose shingles no other set of their cluster has."""
 
     def spread(batches):
         for batch in batches:
             for c, i, x in zip(batch.column("cluster"), batch.column("set"), batch.column("shingles"), strict=True):
-                h = np.frombuffer(x.as_py(), np.uint64)
-                h = fmix(h[h >= least] ^ np.uint64(c.as_py() % 2**64))
+                h = fmix(np.frombuffer(x.as_py(), np.uint64) ^ np.uint64(c.as_py() % 2**64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i.as_py(), np.int64)), pa.array(as_long(h))], names=["set", "shingle"])
 
     rows = sets.select("cluster", "set", "shingles").mapInArrow(spread, "set long, shingle long")
