@@ -33,6 +33,7 @@ from orrery.llm.common import as_long, components, fmix, hash_strings, pieces, s
 PERCENT, WORDS = 75, 5
 BLOCK_SETS, BLOCK_SHINGLES, HUBS = 384, 1_000_000, 32
 LONGER = 20  # a set's beginning is longer by this part of it than one shared shingle needs
+CLOSE = 90  # sets whose sizes are to each other as this to 100, or nearer, are of nearly one size
 SALTED = 16 * 9  # sixteenths of the logarithm of a count: shingles counted 512 times and more meet in salted parts
 
 
@@ -100,8 +101,8 @@ def weight(h: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int, salts: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) of sets that share a shingle of their beginnings and may be near enough in size; and (set, n_met): for
-    how many shingles of its longer beginning each set met another."""
+    """Edges (a, b) of sets that share a shingle of their beginnings and may be near enough in size; and (set, n_close,
+    n_far): for how many shingles of its longer beginning each set met one of nearly its size, and one of another."""
     shared = docs.sparkSession.sparkContext.broadcast((lookup(words), lookup(shingles)))  # at most 2 x most_common entries
 
     def begin(batches):
@@ -131,7 +132,7 @@ def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int,
     def tie(batches):
         # a pair's first common shingle is among the early ones of the smaller set: so each set is tied to the last set
         # before it, by size, that has the shingle early; those are tied among themselves in the same way
-        held, held_met = None, False
+        held = None
         for batch in batches:
             if not len(batch):
                 continue
@@ -145,27 +146,49 @@ def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int,
             tied = same & (ids[other] != ids) & (role > 0) & ((salt > 0) | (n * percent <= n[other] * 100)) & (at >= own)
             pairs = np.unique(np.stack([ids[tied], ids[other[tied]]]), axis=1)
             led = (salt > 0) & ~same & (at >= own)
-            # who has met anyone near enough in size for this shingle
-            next_to = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (ids[1:] != ids[:-1]) & (n[1:] * percent <= n[:-1] * 100)
-            met = np.concatenate([next_to, [False]]) | np.concatenate([[False], next_to]) | (salt > 0)
-            told = met & (at >= own)
-            if own and met[own - 1] and not held_met:
-                told[own - 1] = True
-            values, counts = np.unique(ids[told], return_counts=True)
+            close, far = meets(*(x[own:] for x in (token, salt, n, ids)), percent, own > 0)
+            values, at_value = np.unique(ids[own:], return_inverse=True)
+            counts = np.bincount(at_value, close, len(values)).astype(np.int64) + (np.bincount(at_value, far, len(values)).astype(np.int64) << 32)
+            values, counts = values[counts > 0], counts[counts > 0]
             last = int(np.maximum.accumulate(np.where((role == 2) | (salt > 0), at, -1))[-1])
             keep = [i for i in (last, len(ids) - 1) if i >= 0 and token[i] == token[-1] and salt[i] == salt[-1]]
             keep = sorted(set(keep))
-            held, held_met = [x[keep] for x in (token, salt, n, ids, role)], bool(met[-1])
+            held = [x[keep] for x in (token, salt, n, ids, role)]
             kinds = np.repeat(np.array([0, 1, 2], np.int8), [pairs.shape[1], int(led.sum()), len(values)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[0], token[led], values])), pa.array(np.concatenate([pairs[1], ids[led], counts])), pa.array(kinds)], names=["a", "b", "kind"])
 
     rows = docs.mapInArrow(begin, "shingle long, salt int, n int, set long, role byte")
     met = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "set")
     found = save(met.mapInArrow(tie, "a long, b long, kind byte").groupBy("kind", "a", F.when(F.col("kind") < 2, F.col("b")).alias("b")).agg(F.sum(F.when(F.col("kind") == 2, F.col("b"))).alias("n_met")))
+    n_close, n_far = F.col("n_met") % 2**32, F.expr(f"n_met div {2**32}")
     leaders = found.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("a"))
     least = leaders.groupBy("shingle").agg(F.min("a").alias("b"))
     edges = found.where("kind = 0").select("a", "b").union(leaders.join(least, "shingle").select("a", "b"))
-    return edges, found.where("kind = 2").select(F.col("a").alias("set"), "n_met")
+    return edges, found.where("kind = 2").select(F.col("a").alias("set"), n_close.alias("n_close"), n_far.alias("n_far"))
+
+
+def meets(token, salt, n, ids, percent: int, goes_on: bool, reach: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of runs of one shingle, by size: whether another set there is of nearly its size, and whether one is
+    farther away but may link. Runs of more rows, salted ones, and those that go beyond the batch count as both."""
+    close, far = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+    for d in range(1, min(reach, len(ids) - 1) + 1):
+        same = (token[d:] == token[:-d]) & (salt[d:] == salt[:-d]) & (ids[d:] != ids[:-d]) & (n[d:] * percent <= n[:-d] * 100)
+        nearly = n[d:] * CLOSE <= n[:-d] * 100
+        for flags, new in ((close, same & nearly), (far, same & ~nearly)):
+            flags[d:] |= new
+            flags[:-d] |= new
+    starts = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
+    run = np.cumsum(starts) - 1
+    both = (np.bincount(run) > reach)[run] | (salt > 0) | (run == run[-1]) | ((run == 0) & goes_on)
+    return close | both, far | both
+
+
+def meets_enough(percent: int):
+    """Whether a set may link: two linked sets of nearly one size share so many shingles of their longer beginnings, and
+    others so many."""
+    share = 1 / LONGER - percent / 100 + percent * (1 + CLOSE / 100) / (100 + percent)
+    near = F.col("n_close") >= F.greatest(F.lit(1), F.floor(F.col("n") * share - 2))
+    return near | (F.col("n_far") >= F.greatest(F.lit(1), F.floor(F.col("n") * percent / (100 * LONGER))))
 
 
 def more(n: int) -> int:
@@ -387,7 +410,7 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, most_common:
     edges, met = meeting(known, words, shingles, k, percent)
     clusters = save(components(edges))
     classes = sets.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    wanted = small(clusters.select(F.col("node").alias("set"), F.col("component").alias("cluster")).join(classes, "set").join(met, "set").where(F.col("n_met") >= F.greatest(F.lit(1), F.floor(F.col("n") * percent / (100 * LONGER)))).select("set", "cluster", F.col("least").alias("doc_id")))
+    wanted = small(clusters.select(F.col("node").alias("set"), F.col("component").alias("cluster")).join(classes, "set").join(met, "set").where(meets_enough(percent)).select("set", "cluster", F.col("least").alias("doc_id")))
 
     def shingle_rows(batches):
         for batch in batches:
