@@ -79,11 +79,11 @@ def stored(x: Column, scale: float = 1.0, zero: float = 0.0, whole: str | None =
 
 def rescale(df: DataFrame, column: str, bits: int) -> DataFrame:
     """Adds <column>_stored, scale and zero so that least and greatest value span whole numbers of so many bits."""
-    ends = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    zero = F.col("_lo") if bits == 8 else (F.col("_hi") + F.col("_lo")) / 2
-    scale = (F.col("_hi") - F.col("_lo")) / (255 if bits == 8 else 2**bits - 2)
-    both = df.join(F.broadcast(ends)).withColumns({"zero": zero, "scale": F.when(scale != 0, scale).otherwise(1.0)})
-    return both.withColumn(f"{column}_stored", F.bround((F.col(column) - F.col("zero")) / F.col("scale")).cast("long")).drop("_lo", "_hi")
+    lo, hi = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    zero = None if lo is None else lo if bits == 8 else (hi + lo) / 2
+    scale = None if lo is None else ((hi - lo) / (255 if bits == 8 else 2**bits - 2)) or 1.0
+    both = df.withColumns({"zero": F.lit(zero).cast("double"), "scale": F.lit(scale).cast("double")})
+    return both.withColumn(f"{column}_stored", F.bround((F.col(column) - F.col("zero")) / F.col("scale")).cast("long"))
 
 
 def _blank(t: T.DataType) -> Column:
