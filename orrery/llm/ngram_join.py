@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from orrery.llm.common import as_long, components, fmix, hash_strings, pieces, save, shingle_hashes, small, table, words_of
 
 PERCENT, WORDS = 75, 5
-BLOCK_SETS, BLOCK_SHINGLES, HUBS = 384, 1_000_000, 32
+BLOCK_SETS, BLOCK_SHINGLES, HUBS = 1024, 2_000_000, 32
 LONGER = 20  # a set's beginning is longer by this part of it than one shared shingle needs
 CLOSE = 90  # sets whose sizes are to each other as this to 100, or nearer, are of nearly one size
 SALTED = 16 * 9  # sixteenths of the logarithm of a count: shingles counted 512 times and more meet in salted parts
@@ -201,7 +201,7 @@ class Trie:
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int]):
         self.tokens, self.kids, self.ends, self.rest, self.least, self.most, self.last = [], [], [], [], [], [], []
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
         self.sizes = sizes
         self.root = self._grow(sets, sizes, order)
 
@@ -368,12 +368,19 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     main = small(main)
     minor = merged.join(main, "cluster").where("component <> main")
     if not minor.isEmpty():
-        # every set outside the largest component walks over every block, with those of its own part
-        parts = F.pmod(F.xxhash64("set", F.lit(1)), F.col("blocks"))
-        asking = minor.select(*columns, "blocks", parts.alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("walks", F.lit(1))
-        asked_parts = small(minor.select("cluster", parts.alias("part")).distinct())
-        asked = merged.join(asked_parts, "cluster").select(*columns, "blocks", "part", "block", F.lit(0).alias("walks"))
-        more = asking.select(*columns, "part", "block", "walks").union(asked.select(*columns, "part", "block", "walks")).groupBy("cluster", "part", "block").applyInArrow(across, "a long, b long")
+        # every set outside the largest component walks over the blocks of that one, and pairs of parts of such sets meet once
+        is_minor = F.col("component") != F.col("main")
+        split = lambda mine: F.greatest(F.lit(1), F.ceil(F.count_if(mine) / BLOCK_SETS), F.ceil(F.sum(F.when(mine, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("long")
+        both = merged.join(main, "cluster")
+        parts = small(both.groupBy("cluster").agg(split(is_minor).alias("minors"), split(~is_minor).alias("mains")))
+        dealt = both.join(parts, "cluster").withColumn("at", F.pmod(F.xxhash64("set", F.lit(1)), F.when(is_minor, F.col("minors")).otherwise(F.col("mains"))))
+        upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+        of_minors = lambda f: dealt.where(is_minor).select(*columns, "at", f)
+        pairs = of_minors(F.explode(upto("minors")).alias("to")).withColumns({"a": F.least("at", "to"), "b": F.greatest("at", "to"), "walks": (F.col("at") <= F.col("to")).cast("int")})
+        asking = of_minors(F.explode(upto("mains")).alias("to")).withColumns({"a": F.col("at"), "b": -1 - F.col("to"), "walks": F.lit(1)})
+        asked = dealt.where(~is_minor).select(*columns, "at", F.explode(upto("minors")).alias("to")).withColumns({"a": F.col("to"), "b": -1 - F.col("at"), "walks": F.lit(0)})
+        met_again = pairs.union(asking).union(asked).drop("at", "to").withColumnsRenamed({"a": "part", "b": "block"})
+        more = met_again.groupBy("cluster", "part", "block").applyInArrow(across, "a long, b long")
         roots = named_roots(edges.union(more))
     final = first.join(roots, "component", "left")
     return final.select("set", F.coalesce("root", "component").alias("component")).distinct()
