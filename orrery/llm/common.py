@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of the shuffle files of what has been saved: Spark deletes them once nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved() -> list[tuple[SparkSession, str]]:
     """The working tables made so far."""
     return list(_SAVED)

@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import as_long, components, fmix, hash_strings, pieces, save, shingle_hashes, small, table, words_of
+from orrery.llm.common import as_long, components, fmix, hash_strings, pieces, save, settle, shingle_hashes, small, table, words_of
 
 PERCENT, WORDS = 75, 5
-BLOCK_SETS, BLOCK_SHINGLES, HUBS = 1024, 2_000_000, 32
+BLOCK_SETS, BLOCK_SHINGLES, HUBS = 2048, 4_000_000, 32
 LONGER = 20  # a set's beginning is longer by this part of it than one shared shingle needs
 CLOSE = 90  # sets whose sizes are to each other as this to 100, or nearer, are of nearly one size
 SALTED = 16 * 9  # sixteenths of the logarithm of a count: shingles counted 512 times and more meet in salted parts
@@ -345,6 +345,7 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     if large.isEmpty():
         return first.select("set", "component").distinct()
 
+    settle(sets.sparkSession)
     members = save(sets.select("set", "n", "shingles").join(small(large), "set"))
 
     def across(t: pa.Table) -> pa.Table:
@@ -417,7 +418,10 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, most_common:
     edges, met = meeting(known, words, shingles, k, percent)
     clusters = save(components(edges))
     classes = sets.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    wanted = small(clusters.select(F.col("node").alias("set"), F.col("component").alias("cluster")).join(classes, "set").join(met, "set").where(meets_enough(percent)).select("set", "cluster", F.col("least").alias("doc_id")))
+    settle(docs.sparkSession)
+    able = save(clusters.select(F.col("node").alias("set"), F.col("component").alias("cluster")).join(classes, "set").join(met, "set").where(meets_enough(percent)).select("set", "cluster", F.col("least").alias("doc_id")))
+    several = able.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1").select("cluster")
+    wanted = small(able.join(several, "cluster").select("set", "cluster", "doc_id"))
 
     def shingle_rows(batches):
         for batch in batches:
