@@ -33,7 +33,7 @@ from orrery.llm.common import as_long, components, fmix, hash_strings, pieces, s
 PERCENT, WORDS = 75, 5
 BLOCK_SETS, BLOCK_SHINGLES, HUBS = 2048, 4_000_000, 32
 LONGER = 20  # a set's beginning is longer by this part of it than one shared shingle needs
-CLOSE = 90  # sets whose sizes are to each other as this to 100, or nearer, are of nearly one size
+BANDS = (91, 82)  # sizes that are to each other as so many to 100, or nearer, are in the first, second or else third band
 SALTED = 16 * 9  # sixteenths of the logarithm of a count: shingles counted 512 times and more meet in salted parts
 
 
@@ -101,8 +101,8 @@ def weight(h: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int, salts: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) of sets that share a shingle of their beginnings and may be near enough in size; and (set, n_close,
-    n_far): for how many shingles of its longer beginning each set met one of nearly its size, and one of another."""
+    """Edges (a, b) of sets that share a shingle of their beginnings and may be near enough in size; and (set, n_met0,
+    n_met1, n_met2): for how many shingles of its longer beginning each set met one in each band of sizes."""
     shared = docs.sparkSession.sparkContext.broadcast((lookup(words), lookup(shingles)))  # at most 2 x most_common entries
 
     def begin(batches):
@@ -146,9 +146,9 @@ def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int,
             tied = same & (ids[other] != ids) & (role > 0) & ((salt > 0) | (n * percent <= n[other] * 100)) & (at >= own)
             pairs = np.unique(np.stack([ids[tied], ids[other[tied]]]), axis=1)
             led = (salt > 0) & ~same & (at >= own)
-            close, far = meets(*(x[own:] for x in (token, salt, n, ids)), percent, own > 0)
             values, at_value = np.unique(ids[own:], return_inverse=True)
-            counts = np.bincount(at_value, close, len(values)).astype(np.int64) + (np.bincount(at_value, far, len(values)).astype(np.int64) << 32)
+            told = meets(*(x[own:] for x in (token, salt, n, ids)), percent, own > 0)
+            counts = sum(np.bincount(at_value, flags, len(values)).astype(np.int64) << (21 * k) for k, flags in enumerate(told))
             values, counts = values[counts > 0], counts[counts > 0]
             last = int(np.maximum.accumulate(np.where((role == 2) | (salt > 0), at, -1))[-1])
             keep = [i for i in (last, len(ids) - 1) if i >= 0 and token[i] == token[-1] and salt[i] == salt[-1]]
@@ -160,35 +160,38 @@ def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int,
     rows = docs.mapInArrow(begin, "shingle long, salt int, n int, set long, role byte")
     met = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "set")
     found = save(met.mapInArrow(tie, "a long, b long, kind byte").groupBy("kind", "a", F.when(F.col("kind") < 2, F.col("b")).alias("b")).agg(F.sum(F.when(F.col("kind") == 2, F.col("b"))).alias("n_met")))
-    n_close, n_far = F.col("n_met") % 2**32, F.expr(f"n_met div {2**32}")
+    n_met = [(F.expr(f"n_met div {2 ** (21 * k)}") % 2**21).alias(f"n_met{k}") for k in range(3)]
     leaders = found.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("a"))
     least = leaders.groupBy("shingle").agg(F.min("a").alias("b"))
     edges = found.where("kind = 0").select("a", "b").union(leaders.join(least, "shingle").select("a", "b"))
-    return edges, found.where("kind = 2").select(F.col("a").alias("set"), n_close.alias("n_close"), n_far.alias("n_far"))
+    return edges, found.where("kind = 2").select(F.col("a").alias("set"), *n_met)
 
 
-def meets(token, salt, n, ids, percent: int, goes_on: bool, reach: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of runs of one shingle, by size: whether another set there is of nearly its size, and whether one is
-    farther away but may link. Runs of more rows, salted ones, and those that go beyond the batch count as both."""
-    close, far = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+def meets(token, salt, n, ids, percent: int, goes_on: bool, reach: int = 8) -> list[np.ndarray]:
+    """For each row of runs of one shingle, by size: whether another set is there whose size is in the first, second and
+    third band. Runs of more rows, salted ones, and those that go beyond the batch count for all."""
+    told = [np.zeros(len(ids), bool) for _ in range(3)]
     for d in range(1, min(reach, len(ids) - 1) + 1):
         same = (token[d:] == token[:-d]) & (salt[d:] == salt[:-d]) & (ids[d:] != ids[:-d]) & (n[d:] * percent <= n[:-d] * 100)
-        nearly = n[d:] * CLOSE <= n[:-d] * 100
-        for flags, new in ((close, same & nearly), (far, same & ~nearly)):
+        first, second = (n[d:] * edge <= n[:-d] * 100 for edge in BANDS)
+        for flags, new in zip(told, (same & first, same & second & ~first, same & ~second), strict=True):
             flags[d:] |= new
             flags[:-d] |= new
     starts = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
     run = np.cumsum(starts) - 1
-    both = (np.bincount(run) > reach)[run] | (salt > 0) | (run == run[-1]) | ((run == 0) & goes_on)
-    return close | both, far | both
+    every = (np.bincount(run) > reach)[run] | (salt > 0) | (run == run[-1]) | ((run == 0) & goes_on)
+    return [flags | every for flags in told]
 
 
 def meets_enough(percent: int):
-    """Whether a set may link: two linked sets of nearly one size share so many shingles of their longer beginnings, and
-    others so many."""
-    share = 1 / LONGER - percent / 100 + percent * (1 + CLOSE / 100) / (100 + percent)
-    near = F.col("n_close") >= F.greatest(F.lit(1), F.floor(F.col("n") * share - 2))
-    return near | (F.col("n_far") >= F.greatest(F.lit(1), F.floor(F.col("n") * percent / (100 * LONGER))))
+    """Whether a set may link: with a partner in a band it shares, within the longer beginnings of both, at least
+    more(n) - ceil(percent n / 100) + overlap shingles, n the larger size, and the overlap that a link needs grows with
+    the smaller size; so each band has its own least number."""
+    enough = F.lit(False)
+    for k, ratio in enumerate((*BANDS, percent)):
+        share = 1 / LONGER - percent / 100 + percent * (1 + ratio / 100) / (100 + percent)
+        enough = enough | (F.col(f"n_met{k}") >= F.greatest(F.lit(1), F.floor(F.col("n") * share - 2)))
+    return enough
 
 
 def more(n: int) -> int:
