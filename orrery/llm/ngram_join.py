@@ -129,37 +129,9 @@ def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int,
                     tokens, salt, n, ids, role = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(as_long(tokens)), pa.array(salt.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(ids), pa.array(role.astype(np.int8))], names=["shingle", "salt", "n", "set", "role"])
 
-    def tie(batches):
-        # a pair's first common shingle is among the early ones of the smaller set: so each set is tied to the last set
-        # before it, by size, that has the shingle early; those are tied among themselves in the same way
-        held = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "salt", "n", "set", "role")]
-            token, salt, n, ids, role = (np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)) if held else rows
-            n, own = n.astype(np.int64), len(ids) - len(rows[0])  # the rows before ``own`` were told already
-            at = np.arange(len(ids))
-            before = np.concatenate([[-1], np.maximum.accumulate(np.where((role == 2) | (salt > 0), at, -1))[:-1]])
-            other = np.maximum(before, 0)
-            same = (before >= 0) & (token[other] == token) & (salt[other] == salt)
-            tied = same & (ids[other] != ids) & (role > 0) & ((salt > 0) | (n * percent <= n[other] * 100)) & (at >= own)
-            pairs = np.unique(np.stack([ids[tied], ids[other[tied]]]), axis=1)
-            led = (salt > 0) & ~same & (at >= own)
-            values, at_value = np.unique(ids[own:], return_inverse=True)
-            told = meets(*(x[own:] for x in (token, salt, n, ids)), percent, own > 0)
-            counts = sum(np.bincount(at_value, flags, len(values)).astype(np.int64) << (21 * k) for k, flags in enumerate(told))
-            values, counts = values[counts > 0], counts[counts > 0]
-            last = int(np.maximum.accumulate(np.where((role == 2) | (salt > 0), at, -1))[-1])
-            keep = [i for i in (last, len(ids) - 1) if i >= 0 and token[i] == token[-1] and salt[i] == salt[-1]]
-            keep = sorted(set(keep))
-            held = [x[keep] for x in (token, salt, n, ids, role)]
-            kinds = np.repeat(np.array([0, 1, 2], np.int8), [pairs.shape[1], int(led.sum()), len(values)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[0], token[led], values])), pa.array(np.concatenate([pairs[1], ids[led], counts])), pa.array(kinds)], names=["a", "b", "kind"])
-
     rows = docs.mapInArrow(begin, "shingle long, salt int, n int, set long, role byte")
     met = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "set")
-    found = save(met.mapInArrow(tie, "a long, b long, kind byte").groupBy("kind", "a", F.when(F.col("kind") < 2, F.col("b")).alias("b")).agg(F.sum(F.when(F.col("kind") == 2, F.col("b"))).alias("n_met")))
+    found = save(met.mapInArrow(lambda batches: tie(batches, percent), "a long, b long, kind byte").groupBy("kind", "a", F.when(F.col("kind") < 2, F.col("b")).alias("b")).agg(F.sum(F.when(F.col("kind") == 2, F.col("b"))).alias("n_met")))
     n_met = [(F.expr(f"n_met div {2 ** (21 * k)}") % 2**21).alias(f"n_met{k}") for k in range(3)]
     leaders = found.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("a"))
     least = leaders.groupBy("shingle").agg(F.min("a").alias("b"))
@@ -167,6 +139,38 @@ def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int,
     return edges, found.where("kind = 2").select(F.col("a").alias("set"), *n_met)
 
 
+def tie(batches, percent: int):
+    """Rows (shingle, salt, n, set, role) in that order -> pairs of sets (kind 0), first sets of salted parts (kind 1), and
+    for how many shingles each set meets one in each band, in 21 bits a band (kind 2)."""
+    # a pair's first common shingle is among the early ones of the smaller set: so each set is tied to the last set
+    # before it, by size, that has the shingle early; those are tied among themselves in the same way
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "salt", "n", "set", "role")]
+        token, salt, n, ids, role = (np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)) if held else rows
+        n, own = n.astype(np.int64), len(ids) - len(rows[0])  # the rows before ``own`` were told already
+        at = np.arange(len(ids))
+        ties = (role == 2) | ((salt > 0) & (role > 0))
+        before = np.concatenate([[-1], np.maximum.accumulate(np.where(ties, at, -1))[:-1]])
+        other = np.maximum(before, 0)
+        same = (before >= 0) & (token[other] == token) & (salt[other] == salt)
+        tied = same & (ids[other] != ids) & (role > 0) & ((salt > 0) | (n * percent <= n[other] * 100)) & (at >= own)
+        pairs = np.unique(np.stack([ids[tied], ids[other[tied]]]), axis=1)
+        led = (salt > 0) & (role > 0) & ~same & (at >= own)
+        values, at_value = np.unique(ids[own:], return_inverse=True)
+        told = meets(*(x[own:] for x in (token, salt, n, ids)), percent, own > 0)
+        counts = sum(np.bincount(at_value, flags, len(values)).astype(np.int64) << (21 * k) for k, flags in enumerate(told))
+        values, counts = values[counts > 0], counts[counts > 0]
+        last = int(np.maximum.accumulate(np.where(ties, at, -1))[-1])
+        keep = [i for i in (last, len(ids) - 1) if i >= 0 and token[i] == token[-1] and salt[i] == salt[-1]]
+        keep = sorted(set(keep))
+        held = [x[keep] for x in (token, salt, n, ids, role)]
+        kinds = np.repeat(np.array([0, 1, 2], np.int8), [pairs.shape[1], int(led.sum()), len(values)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[0], token[led], values])), pa.array(np.concatenate([pairs[1], ids[led], counts])), pa.array(kinds)], names=["a", "b", "kind"])
+
+
 def meets(token, salt, n, ids, percent: int, goes_on: bool, reach: int = 8) -> list[np.ndarray]:
     """For each row of runs of one shingle, by size: whether another set is there whose size is in the first, second and
     third band. Runs of more rows, salted ones, and those that go beyond the batch count for all."""

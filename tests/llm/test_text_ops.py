@@ -99,6 +99,17 @@ def test_salted_shingles_meet(spark, monkeypatch):
     assert Counter(map(tuple, ngram_join.linked(df, common_from=1).collect())) == by_force(rows)
 
 
+def test_ties_pass_by_sets_that_only_count():
+    import pyarrow as pa
+
+    roles = [0, 1, 0, 2, 0, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 6), pa.array([1] * 6, pa.int32()), pa.array(range(40, 46), pa.int32()), pa.array(range(6)), pa.array(roles, pa.int8())], names=["shingle", "salt", "n", "set", "role"])
+    for cut in range(7):
+        found = pa.Table.from_batches(ngram_join.tie(iter([batch.slice(0, cut), batch.slice(cut)]), 75)).to_pylist()
+        assert {(r["a"], r["b"]) for r in found if r["kind"] == 0} == {(3, 1), (5, 3)}
+        assert {(r["a"], r["b"]) for r in found if r["kind"] == 1} == {(7, 1)}
+
+
 def test_packing(spark, docs, empty):
     got = packing.pack(docs).toPandas()
     encode = packing.encoder(*packing.default_files())
