@@ -127,10 +127,10 @@ def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int,
                     out.append((s[ordered], np.where(common[ordered] >= SALTED, 1 + i % salts, 0), np.full(len(place), len(s)), np.full(len(place), i), (place < p) * 1 + (place < early)))
                 if out:
                     tokens, salt, n, ids, role = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(as_long(tokens)), pa.array(salt.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(ids), pa.array(role.astype(np.int8))], names=["shingle", "salt", "n", "set", "role"])
+                    yield pa.RecordBatch.from_arrays([pa.array(as_long(tokens)), pa.array(place_of(salt, n, role)), pa.array(ids)], names=["shingle", "place", "set"])
 
-    rows = docs.mapInArrow(begin, "shingle long, salt int, n int, set long, role byte")
-    met = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "set")
+    rows = docs.mapInArrow(begin, "shingle long, place long, set long")
+    met = rows.repartition("shingle", F.shiftright("place", 40)).sortWithinPartitions("shingle", "place", "set")
     found = save(met.mapInArrow(lambda batches: tie(batches, percent), "a long, b long, kind byte").groupBy("kind", "a", F.when(F.col("kind") < 2, F.col("b")).alias("b")).agg(F.sum(F.when(F.col("kind") == 2, F.col("b"))).alias("n_met")))
     n_met = [(F.expr(f"n_met div {2 ** (21 * k)}") % 2**21).alias(f"n_met{k}") for k in range(3)]
     leaders = found.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("a"))
@@ -139,8 +139,13 @@ def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int,
     return edges, found.where("kind = 2").select(F.col("a").alias("set"), *n_met)
 
 
+def place_of(salt, n, role) -> np.ndarray:
+    """Salt, size and role as one long, in that order: rows that shuffle are a third smaller than with three columns."""
+    return salt.astype(np.int64) << 40 | n.astype(np.int64) << 8 | role.astype(np.int64)
+
+
 def tie(batches, percent: int):
-    """Rows (shingle, salt, n, set, role) in that order -> pairs of sets (kind 0), first sets of salted parts (kind 1), and
+    """Rows (shingle, place, set) in that order -> pairs of sets (kind 0), first sets of salted parts (kind 1), and
     for how many shingles each set meets one in each band, in 21 bits a band (kind 2)."""
     # a pair's first common shingle is among the early ones of the smaller set: so each set is tied to the last set
     # before it, by size, that has the shingle early; those are tied among themselves in the same way
@@ -148,9 +153,10 @@ def tie(batches, percent: int):
     for batch in batches:
         if not len(batch):
             continue
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "salt", "n", "set", "role")]
-        token, salt, n, ids, role = (np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)) if held else rows
-        n, own = n.astype(np.int64), len(ids) - len(rows[0])  # the rows before ``own`` were told already
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "place", "set")]
+        token, place, ids = (np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)) if held else rows
+        salt, n, role = place >> 40, place >> 8 & 0xFFFFFFFF, place & 0xFF
+        own = len(ids) - len(rows[0])  # the rows before ``own`` were told already
         at = np.arange(len(ids))
         ties = (role == 2) | ((salt > 0) & (role > 0))
         before = np.concatenate([[-1], np.maximum.accumulate(np.where(ties, at, -1))[:-1]])
@@ -166,7 +172,7 @@ def tie(batches, percent: int):
         last = int(np.maximum.accumulate(np.where(ties, at, -1))[-1])
         keep = [i for i in (last, len(ids) - 1) if i >= 0 and token[i] == token[-1] and salt[i] == salt[-1]]
         keep = sorted(set(keep))
-        held = [x[keep] for x in (token, salt, n, ids, role)]
+        held = [x[keep] for x in (token, place, ids)]
         kinds = np.repeat(np.array([0, 1, 2], np.int8), [pairs.shape[1], int(led.sum()), len(values)])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[0], token[led], values])), pa.array(np.concatenate([pairs[1], ids[led], counts])), pa.array(kinds)], names=["a", "b", "kind"])
 

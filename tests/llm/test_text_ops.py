@@ -102,8 +102,8 @@ def test_salted_shingles_meet(spark, monkeypatch):
 def test_ties_pass_by_sets_that_only_count():
     import pyarrow as pa
 
-    roles = [0, 1, 0, 2, 0, 1]
-    batch = pa.RecordBatch.from_arrays([pa.array([7] * 6), pa.array([1] * 6, pa.int32()), pa.array(range(40, 46), pa.int32()), pa.array(range(6)), pa.array(roles, pa.int8())], names=["shingle", "salt", "n", "set", "role"])
+    places = ngram_join.place_of(np.ones(6), np.arange(40, 46), np.array([0, 1, 0, 2, 0, 1]))
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 6), pa.array(places), pa.array(range(6))], names=["shingle", "place", "set"])
     for cut in range(7):
         found = pa.Table.from_batches(ngram_join.tie(iter([batch.slice(0, cut), batch.slice(cut)]), 75)).to_pylist()
         assert {(r["a"], r["b"]) for r in found if r["kind"] == 0} == {(3, 1), (5, 3)}
