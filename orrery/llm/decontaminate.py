@@ -8,7 +8,7 @@ numbers or names were changed throughout is caught, and one that only resembles
 
 An alignment counts where its windows cover at least ``share`` of the item's words. Items of fewer words than a window
 have one window of all their words; items without words match nothing. Windows with fewer than ``literal`` literal words
-say too little and are left out, unless the item has no others. Null or empty texts match nothing, repeated rows are
+say too little to find an alignment, unless the item has no others; along one that others found, all windows count. Null or empty texts match nothing, repeated rows are
 compared each, empty tables give no rows, other columns are ignored. Equal items are reported each.
 """
 
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import MIX, as_long, chain, fmix, pieces, save, small, table
+from orrery.llm.common import MIX, as_long, fmix, pieces, save, small, table
 
 WINDOW, SHARE, LITERAL = 8, 0.6, 5
 OUTER = ".,;:!?\"'()[]{}<>«»“”…¿¡*#$%&|_-"
@@ -33,7 +33,9 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,/:]*")
 WITH_UNIT = re.compile(r"([+-]?[$€£]?\d[\d.,/:]*)([a-z%]+)")
 NUM, UNIT, NAME = (np.uint64(xxhash.xxh64_intdigest(f"\x00{k}")) for k in ("num", "unit", "name"))
 EMPTY = np.uint64(xxhash.xxh64_intdigest(""))
-HITS = "doc_id long, pos int, n_words int, window long, slots array<long>"
+HITS = "doc_id long, key long, pos int, window long"
+ITEMS = "item_id long, item_words int, poor int, shape array<long>, slots array<long>, pos array<int>, window array<long>"
+SPANS = "doc_id long, item long, begin int, its_shape array<long>, its_slots array<long>"
 
 
 def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,72 +72,155 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return shape, value, literal, at
 
 
-def window_rows(texts: pa.Array, size: int) -> tuple[np.ndarray, ...]:
-    """Of all windows, flat: text, first word (flat), hash, literal words; then values, literal flags, offsets and lengths."""
-    shape, value, literal, at = templates(texts)
-    n = np.diff(at)
-    count = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
-    of = np.repeat(np.arange(len(n)), count)
+def rolled(shape: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of ``width`` words, flat: text, first word (flat), hash."""
+    count = np.maximum(np.diff(at) - width + 1, 0)
+    of = np.repeat(np.arange(len(count)), count)
     start = np.repeat(at[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    rolled = np.zeros(max(0, len(shape) - size + 1), np.uint64)
-    for j in range(size):
-        rolled = rolled * MIX + fmix(shape[j : len(shape) - size + 1 + j] + np.uint64(j + 1)) if len(rolled) else rolled
-    h, literals = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
-    long = n[of] >= size
-    h[long] = rolled[start[long]]
-    sums = np.concatenate([[0], np.cumsum(literal)])
-    literals[long] = sums[start[long] + size] - sums[start[long]]
-    for i in np.flatnonzero(~long):
-        h[i], literals[i] = chain(shape[start[i] : start[i] + n[of[i]]]), literal[start[i] : start[i] + n[of[i]]].sum()
-    return of, start, fmix(h), literals, value, literal, at, n
-
-
-def windows(df: DataFrame, id_column: str, size: int, literal_words: int, wanted: np.ndarray | None = None, short: bool = True) -> DataFrame:
-    """HITS rows: each window with its place, and the values of its slots in order (hashes; 0 where the word is literal).
-    ``wanted``: sorted hashes; only windows with one of them are given out. ``short``: as of benchmark items, one window
-    of all words where there are fewer than ``size``, and windows short of literals where there are no others."""
+    h = np.zeros(max(0, len(shape) - width + 1), np.uint64)
+    for j in range(width):
+        h = h * MIX + fmix(shape[j : len(shape) - width + 1 + j] + np.uint64(j + 1)) if len(h) else h
+    return of, start, fmix(h[start])
+
+
+def spread(flags: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of ``n`` words lie in a window whose flag is set."""
+    ends = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(flags)
+    np.add.at(ends, at, 1)
+    np.add.at(ends, at + width, -1)
+    return np.cumsum(ends[:-1]) > 0
+
+
+def lists(values: list[np.ndarray], kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values), kind))
+
+
+def item_rows(benchmark: DataFrame, size: int, literal_words: int) -> DataFrame:
+    """ITEMS rows, one for each item that has words: its words' templates and slots (hashes; 0 where the word is literal),
+    the windows that find it, and how many of its words lie in others."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 200_000):
+                shape, value, literal, at = templates(part.column("text"))
+                rows = []
+                for i in np.flatnonzero(np.diff(at)):
+                    s, own = shape[at[i] : at[i + 1]], literal[at[i] : at[i + 1]]
+                    width = min(size, len(s))
+                    sums = np.concatenate([[0], np.cumsum(own)])
+                    rich = sums[width:] - sums[:-width] >= literal_words
+                    if not rich.any():
+                        rich[:] = True
+                    h = as_long(rolled(s, np.array([0, len(s)]), width)[2])
+                    rows.append((i, len(s), int(spread(~rich, width, len(s)).sum()), as_long(s), np.where(own, 0, as_long(value[at[i] : at[i + 1]])), np.flatnonzero(rich), h[rich]))
+                if rows:
+                    of, n, poor, shapes, slots, pos, found = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([part.column("item_id").take(pa.array(of)), pa.array(n, pa.int32()), pa.array(poor, pa.int32()), lists(shapes, pa.int64()), lists(slots, pa.int64()), lists(pos, pa.int32()), lists(found, pa.int64())], names=["item_id", "item_words", "poor", "shape", "slots", "pos", "window"])
+
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, ITEMS)
+    return rows.withColumn("item", F.xxhash64("item_id", "shape", "slots")).dropDuplicates(["item"])
+
+
+def windows(docs: DataFrame, size: int, short: list[int], wanted: np.ndarray | None = None) -> DataFrame:
+    """HITS rows: each window with its place. ``short``: lengths of the items that have fewer words than ``size``; texts of
+    so many words give one window of all of them. ``wanted``: sorted hashes; only windows with one of them are given out."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
-                of, start, h, literals, value, literal, at, n = window_rows(part.column("text"), size)
-                keep = literals >= literal_words
-                if short:
-                    some = np.zeros(len(n), bool)
-                    some[of[keep]] = True
-                    keep |= ~some[of]
-                if wanted is not None:
-                    place = np.searchsorted(wanted, h)
-                    keep = len(wanted) > 0 and wanted[np.minimum(place, len(wanted) - 1)] == h
-                kept = np.flatnonzero(np.broadcast_to(keep, h.shape))
-                for k in range(0, len(kept), 50_000):
-                    i = kept[k : k + 50_000]
-                    width = np.minimum(n[of[i]], size)
-                    ends = np.concatenate([[0], np.cumsum(width)])
-                    cells = np.repeat(start[i], width) + np.arange(ends[-1]) - np.repeat(ends[:-1], width)
-                    slots = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.where(literal[cells], 0, as_long(value[cells]))))
-                    yield pa.RecordBatch.from_arrays([part.column(id_column).take(pa.array(of[i])), pa.array((start[i] - at[of[i]]).astype(np.int32)), pa.array(n[of[i]].astype(np.int32)), pa.array(as_long(h[i])), slots], names=["doc_id", "pos", "n_words", "window", "slots"])
-
-    return df.select(F.col(id_column).cast("long"), "text").mapInArrow(run, HITS)
+                shape, _, _, at = templates(part.column("text"))
+                n = np.diff(at)
+                for width in [*short, size]:
+                    of, start, h = rolled(shape, at, width)
+                    kept = np.flatnonzero(n[of] == width) if width < size else np.arange(len(h))
+                    if wanted is not None:
+                        place = np.searchsorted(wanted, h[kept])
+                        kept = kept[wanted[np.minimum(place, len(wanted) - 1)] == h[kept]] if len(wanted) else kept[:0]
+                    for k in range(0, len(kept), 50_000):
+                        i = kept[k : k + 50_000]
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of[i])), part.column("key").take(pa.array(of[i])), pa.array((start[i] - at[of[i]]).astype(np.int32)), pa.array(as_long(h[i]))], names=["doc_id", "key", "pos", "window"])
+
+    return docs.mapInArrow(run, HITS)
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, item, diagonal, item_words), the last three lists -> SPANS rows: a document's words beside an item's,
+    from the item's word ``begin`` on."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                shape, value, literal, at = templates(part.column("text"))
+                slot = np.where(literal, 0, as_long(value))
+                held, rows = 0, []
+
+                def told(rows):
+                    ids, item, begin, a, b = zip(*rows, strict=True)
+                    cut = lambda x: lists([x[p:q] for p, q in zip(a, b, strict=True)], pa.int64())
+                    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(item, pa.int64()), pa.array(begin, pa.int32()), cut(as_long(shape)), cut(slot)], names=["doc_id", "item", "begin", "its_shape", "its_slots"])
+
+                for i, (doc, *places) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "item", "diagonal", "item_words")), strict=True)):
+                    for item, diagonal, words in zip(*places, strict=True):
+                        a, b = at[i] + max(0, diagonal), min(at[i] + diagonal + words, at[i + 1])
+                        rows.append((doc, item, max(0, -diagonal), a, b))
+                        held += b - a
+                        if held > 100_000:
+                            yield told(rows)
+                            held, rows = 0, []
+                if rows:
+                    yield told(rows)
+
+    return docs.mapInArrow(run, SPANS)
+
+
+def agreed(shape: np.ndarray, slots: np.ndarray, its_shape: np.ndarray, its_slots: np.ndarray, width: int) -> tuple[int, int, bool, bool]:
+    """Of an item's words and those beside them: windows that are the same, words in them, whether their slots agree, and
+    whether some value is another one."""
+    sums = np.concatenate([[0], np.cumsum(shape == its_shape)])
+    same = sums[width:] - sums[:-width] == width if len(shape) >= width else np.zeros(0, bool)
+    covered = spread(same, width, len(shape))
+    a, b = slots[covered], its_slots[covered]
+    pairs = np.unique(np.stack([a, b])[:, a != 0], axis=1)
+    agree = len(np.unique(pairs[0])) == len(np.unique(pairs[1])) == pairs.shape[1]
+    return int(same.sum()), int(covered.sum()), agree, bool((a != b).any())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE, literal: int = LITERAL, most_sent: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, n_windows, share, changed): documents that hold an item, possibly with other numbers, units or
     names. Where the benchmark has at most ``most_sent`` windows, their hashes go to the tasks (8 bytes each) and windows
     without a partner are dropped before the shuffle; beyond, all windows are shuffled."""
-    items = save(windows(benchmark, "item_id", size, literal).withColumnsRenamed({"doc_id": "item_id", "pos": "item_pos", "n_words": "item_words", "slots": "item_slots"}))
-    n_items = items.count()
-    wanted = np.unique(items.select("window").distinct().toPandas()["window"].to_numpy(np.int64).view(np.uint64)) if n_items <= most_sent else None
-    found = windows(docs, "doc_id", size, literal, wanted, short=True)
-    pairs = save(found.select("doc_id", "pos", "window", "slots").join(items, "window").withColumn("diagonal", F.col("pos") - F.col("item_pos")))
-    by = ["doc_id", "item_id", "diagonal"]
-    slots = pairs.select(*by, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*by, F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).where("a <> 0 or b <> 0").distinct()
-    clash = slots.groupBy(*by, "a").agg(F.count("*").alias("n")).where("n > 1").select(*by).union(slots.groupBy(*by, "b").agg(F.count("*").alias("n")).where("n > 1").select(*by)).distinct()
-    changed = slots.groupBy(*by).agg(F.max(F.col("a") != F.col("b")).alias("changed"))
+    items = save(item_rows(benchmark, size, literal))
+    seeds = save(items.select("item", "item_words", "poor", F.explode(F.arrays_zip("pos", "window")).alias("w")).select("item", "item_words", "poor", F.col("w.pos").alias("item_pos"), F.col("w.window").alias("window")))
+    wanted = np.unique(seeds.select("window").distinct().toPandas()["window"].to_numpy(np.int64).view(np.uint64)) if seeds.count() <= most_sent else None
+    short = sorted(r[0] for r in items.where(F.col("item_words") < size).select("item_words").distinct().collect())
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
+    pairs = windows(docs, size, short, wanted).join(seeds, "window").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     reach = F.flatten(F.collect_set(F.sequence(F.col("item_pos"), F.col("item_pos") + F.least(F.col("item_words"), F.lit(size)) - 1)))
-    lines = pairs.groupBy(*by).agg(F.count("*").alias("n_windows"), F.size(F.array_distinct(reach)).alias("covered"), F.max("item_words").alias("item_words"))
-    good = lines.join(clash, by, "left_anti").withColumn("share", F.col("covered") / F.col("item_words")).where(F.col("share") >= share).join(changed, by, "left")
-    return good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.round(F.max("share"), 6).alias("share"), F.min(F.coalesce("changed", F.lit(False))).alias("changed"))
+    lines = pairs.groupBy("doc_id", "key", "item", "diagonal").agg(F.size(F.array_distinct(reach)).alias("covered"), F.max("item_words").alias("item_words"), F.max("poor").alias("poor"))
+    # words in other windows may be found as well once the whole item is compared along the diagonal
+    maybe = lines.where(F.col("covered") + F.col("poor") >= F.lit(share) * F.col("item_words"))
+    by_text = maybe.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("item", "diagonal", "item_words")).alias("c"))
+    by_text = small(by_text.select("_id", "_key", "c.item", "c.diagonal", "c.item_words"))
+    needed = docs.join(by_text, docs["doc_id"].eqNullSafe(by_text["_id"]) & docs["key"].eqNullSafe(by_text["_key"]))
+    beside = spans(needed.select("doc_id", "text", "item", "diagonal", "item_words")).join(items.select("item", "item_id", "item_words", "shape", "slots"), "item")
+
+    def compare(batches):
+        names = ["doc_id", "item_id", "n_windows", "share", "agree", "changed"]
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            rows = []
+            for i in range(len(batch)):
+                shape, slots, its_shape, its_slots = (columns[c][i].values.to_numpy(zero_copy_only=False) for c in ("shape", "slots", "its_shape", "its_slots"))
+                n, at = columns["item_words"][i].as_py(), columns["begin"][i].as_py()
+                end = at + len(its_shape)
+                found, covered, agree, changed = agreed(shape[at:end], slots[at:end], its_shape, its_slots, min(size, n))
+                rows.append((found, covered / n, agree, changed))
+            found = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.bool_(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([columns["doc_id"], columns["item_id"], *found], names=names)
+
+    good = beside.mapInArrow(compare, "doc_id long, item_id long, n_windows long, share double, agree boolean, changed boolean").where((F.col("share") >= share) & F.col("agree"))
+    return good.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.round(F.max("share"), 6).alias("share"), F.min("changed").alias("changed"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -183,6 +183,18 @@ def test_decontamination(spark, docs, empty):
     assert (102, 1) not in got  # 12 -> 40 and 5 -> 40: one value for two of the item's
 
 
+def test_decontamination_of_items_that_are_mostly_numbers(spark):
+    numbers = " ".join(str(i * 7 + 3) for i in range(30))
+    item = f"Find the median of the following list of numbers: {numbers}"
+    other = " ".join(str(i * 11 + 1000) for i in range(30))
+    mixed = numbers.replace("24 ", "17 ", 1)
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    rows = [(1, f"{prose(40)}. {item} {prose(30)}"), (2, item.replace(numbers, other)), (3, f"{prose(9)} {item[:60]} {prose(40)}"), (4, item.replace(numbers, mixed)), (None, item), (1, prose(60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r.doc_id, r.share, r.changed) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(1, 1.0, False), (2, 1.0, True), (None, 1.0, False)}
+
+
 def test_fingerprints(spark, docs, empty):
     rows = sorted([(i, t or "") for i, t, *_ in corpus()], key=lambda r: -r[0])
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
