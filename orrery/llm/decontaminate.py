@@ -7,7 +7,8 @@ must agree: one value of the item goes with one value of the document and the ot
 numbers or names were changed throughout is caught, and one that only resembles it is not.
 
 An alignment counts where its windows cover at least ``share`` of the item's words. Items of fewer words than a window
-have one window of all their words; items without words match nothing. Windows with fewer than ``literal`` literal words
+have one window of all their words and are found anywhere in a text; such an item without a literal word must be there
+with its own values, or be all of the text. Items without words match nothing. Windows with fewer than ``literal`` literal words
 say too little to find an alignment, unless the item has no others; along one that others found, all windows count. Null or empty texts match nothing, repeated rows are
 compared each, empty tables give no rows, other columns are ignored. Equal items are reported each.
 """
@@ -35,7 +36,7 @@ NUM, UNIT, NAME = (np.uint64(xxhash.xxh64_intdigest(f"\x00{k}")) for k in ("num"
 EMPTY = np.uint64(xxhash.xxh64_intdigest(""))
 HITS = "doc_id long, key long, pos int, window long"
 ITEMS = "item_id long, item_words int, poor int, shape array<long>, slots array<long>, pos array<int>, window array<long>"
-SPANS = "doc_id long, item long, begin int, its_shape array<long>, its_slots array<long>"
+SPANS = "doc_id long, item long, begin int, its_words int, its_shape array<long>, its_slots array<long>"
 
 
 def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,20 +124,18 @@ def item_rows(benchmark: DataFrame, size: int, literal_words: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, size: int, short: list[int], wanted: np.ndarray | None = None) -> DataFrame:
-    """HITS rows: each window with its place. ``short``: lengths of the items that have fewer words than ``size``; texts of
-    so many words give one window of all of them. ``wanted``: sorted hashes; only windows with one of them are given out."""
+    """HITS rows: each window with its place. ``short``: lengths of the items that have fewer words than ``size``;
+    every text gives windows of those lengths too. ``wanted``: sorted hashes; only windows with one of them are given out."""
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
                 shape, _, _, at = templates(part.column("text"))
-                n = np.diff(at)
                 for width in [*short, size]:
                     of, start, h = rolled(shape, at, width)
-                    kept = np.flatnonzero(n[of] == width) if width < size else np.arange(len(h))
+                    kept = np.arange(len(h))
                     if wanted is not None:
-                        place = np.searchsorted(wanted, h[kept])
-                        kept = kept[wanted[np.minimum(place, len(wanted) - 1)] == h[kept]] if len(wanted) else kept[:0]
+                        kept = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h) if len(wanted) else kept[:0]
                     for k in range(0, len(kept), 50_000):
                         i = kept[k : k + 50_000]
                         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of[i])), part.column("key").take(pa.array(of[i])), pa.array((start[i] - at[of[i]]).astype(np.int32)), pa.array(as_long(h[i]))], names=["doc_id", "key", "pos", "window"])
@@ -156,14 +155,14 @@ def spans(docs: DataFrame) -> DataFrame:
                 held, rows = 0, []
 
                 def told(rows):
-                    ids, item, begin, a, b = zip(*rows, strict=True)
+                    ids, item, begin, n, a, b = zip(*rows, strict=True)
                     cut = lambda x: lists([x[p:q] for p, q in zip(a, b, strict=True)], pa.int64())
-                    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(item, pa.int64()), pa.array(begin, pa.int32()), cut(as_long(shape)), cut(slot)], names=["doc_id", "item", "begin", "its_shape", "its_slots"])
+                    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(item, pa.int64()), pa.array(begin, pa.int32()), pa.array(n, pa.int32()), cut(as_long(shape)), cut(slot)], names=["doc_id", "item", "begin", "its_words", "its_shape", "its_slots"])
 
                 for i, (doc, *places) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "item", "diagonal", "item_words")), strict=True)):
                     for item, diagonal, words in zip(*places, strict=True):
                         a, b = at[i] + max(0, diagonal), min(at[i] + diagonal + words, at[i + 1])
-                        rows.append((doc, item, max(0, -diagonal), a, b))
+                        rows.append((doc, item, max(0, -diagonal), at[i + 1] - at[i], a, b))
                         held += b - a
                         if held > 100_000:
                             yield told(rows)
@@ -215,7 +214,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
                 n, at = columns["item_words"][i].as_py(), columns["begin"][i].as_py()
                 end = at + len(its_shape)
                 found, covered, agree, changed = agreed(shape[at:end], slots[at:end], its_shape, its_slots, min(size, n))
-                rows.append((found, covered / n, agree, changed))
+                # a short item of slots only is held by any text with a number or name, unless the values count
+                said = n >= size or not changed or (slots == 0).any() or columns["its_words"][i].as_py() == n
+                rows.append((found, covered / n, agree and bool(said), changed))
             found = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.bool_(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([columns["doc_id"], columns["item_id"], *found], names=names)
 

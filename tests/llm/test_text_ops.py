@@ -195,6 +195,15 @@ def test_decontamination_of_items_that_are_mostly_numbers(spark):
     assert got == {(1, 1.0, False), (2, 1.0, True), (None, 1.0, False)}
 
 
+@pytest.mark.parametrize("most_sent", [2_000_000, 0])
+def test_decontamination_of_short_items(spark, most_sent):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "short item only"), (3, "42"), (4, "Yes")], "item_id long, text string")
+    rows = [(1, prose(30) + ". What is the capital of Spain? " + prose(30)), (2, "we have a short item only"), (3, "page 17 of 20"), (4, "page 42 of 50"), (5, "17"), (6, "capital of France"), (7, prose(20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r.doc_id, r.item_id, r.changed) for r in decontaminate.contaminated(df, bench, most_sent=most_sent).collect()}
+    assert got == {(1, 1, True), (2, 2, False), (4, 3, False), (5, 3, True)}
+
+
 def test_fingerprints(spark, docs, empty):
     rows = sorted([(i, t or "") for i, t, *_ in corpus()], key=lambda r: -r[0])
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
