@@ -204,6 +204,14 @@ def test_decontamination_of_short_items(spark, most_sent):
     assert got == {(1, 1, True), (2, 2, False), (4, 3, False), (5, 3, True)}
 
 
+@pytest.mark.parametrize("most_sent", [2_000_000, 0])
+def test_decontamination_of_items_without_literal_windows(spark, most_sent):
+    item = "Add 3 5 8 13 21 34 55 89 144 233 377 610"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"{prose(40)}. {item} {prose(30)}"), (2, prose(50))], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.share) for r in decontaminate.contaminated(df, bench, most_sent=most_sent).collect()} == {(1, 1, 1.0)}
+
+
 def test_fingerprints(spark, docs, empty):
     rows = sorted([(i, t or "") for i, t, *_ in corpus()], key=lambda r: -r[0])
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
