@@ -131,12 +131,18 @@ def meeting(docs: DataFrame, words: list, shingles: list, k: int, percent: int,
 
     rows = docs.mapInArrow(begin, "shingle long, place long, set long")
     met = rows.repartition("shingle", F.shiftright("place", 40)).sortWithinPartitions("shingle", "place", "set")
-    found = save(met.mapInArrow(lambda batches: tie(batches, percent), "a long, b long, kind byte").groupBy("kind", "a", F.when(F.col("kind") < 2, F.col("b")).alias("b")).agg(F.sum(F.when(F.col("kind") == 2, F.col("b"))).alias("n_met")))
-    n_met = [(F.expr(f"n_met div {2 ** (21 * k)}") % 2**21).alias(f"n_met{k}") for k in range(3)]
+    found = save(met_counts(met.mapInArrow(lambda batches: tie(batches, percent), "a long, b long, kind byte")))
     leaders = found.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("a"))
     least = leaders.groupBy("shingle").agg(F.min("a").alias("b"))
     edges = found.where("kind = 0").select("a", "b").union(leaders.join(least, "shingle").select("a", "b"))
-    return edges, found.where("kind = 2").select(F.col("a").alias("set"), *n_met)
+    return edges, found.where("kind = 2").select(F.col("a").alias("set"), "n_met0", "n_met1", "n_met2")
+
+
+def met_counts(tied: DataFrame) -> DataFrame:
+    """Distinct ties, and each set's counts summed over all batches, a column a band: a batch's own counts fit into 21 bits,
+    their sums may not."""
+    n_met = [F.sum(F.when(F.col("kind") == 2, F.shiftright("b", 21 * k).bitwiseAND(F.lit(2**21 - 1)))).alias(f"n_met{k}") for k in range(3)]
+    return tied.groupBy("kind", "a", F.when(F.col("kind") < 2, F.col("b")).alias("b")).agg(*n_met)
 
 
 def place_of(salt, n, role) -> np.ndarray:
@@ -146,7 +152,8 @@ def place_of(salt, n, role) -> np.ndarray:
 
 def tie(batches, percent: int):
     """Rows (shingle, place, set) in that order -> pairs of sets (kind 0), first sets of salted parts (kind 1), and
-    for how many shingles each set meets one in each band, in 21 bits a band (kind 2)."""
+    for how many shingles each set meets one in each band, in 21 bits a band (kind 2). A set that several tasks sent counts
+    once."""
     # a pair's first common shingle is among the early ones of the smaller set: so each set is tied to the last set
     # before it, by size, that has the shingle early; those are tied among themselves in the same way
     held = None
@@ -155,8 +162,13 @@ def tie(batches, percent: int):
             continue
         rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "place", "set")]
         token, place, ids = (np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)) if held else rows
-        salt, n, role = place >> 40, place >> 8 & 0xFFFFFFFF, place & 0xFF
         own = len(ids) - len(rows[0])  # the rows before ``own`` were told already
+        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (place[1:] != place[:-1]) | (ids[1:] != ids[:-1])])
+        fresh[:own] = True
+        if not fresh[own:].any():
+            continue
+        token, place, ids = token[fresh], place[fresh], ids[fresh]
+        salt, n, role = place >> 40, place >> 8 & 0xFFFFFFFF, place & 0xFF
         at = np.arange(len(ids))
         ties = (role == 2) | ((salt > 0) & (role > 0))
         before = np.concatenate([[-1], np.maximum.accumulate(np.where(ties, at, -1))[:-1]])

@@ -110,6 +110,20 @@ def test_ties_pass_by_sets_that_only_count():
         assert {(r["a"], r["b"]) for r in found if r["kind"] == 1} == {(7, 1)}
 
 
+def test_a_set_that_many_tasks_sent_counts_once(spark):
+    import pyarrow as pa
+
+    places = ngram_join.place_of(np.ones(30), np.full(30, 40), np.full(30, 3))
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 30), pa.array(places), pa.array([1] * 12 + [2] * 18)], names=["shingle", "place", "set"])
+    for cut in (0, 5, 12, 20):
+        found = pa.Table.from_batches(ngram_join.tie(iter([batch.slice(0, cut), batch.slice(cut)]), 75)).to_pylist()
+        assert {r["a"]: r["b"] for r in found if r["kind"] == 2} == {k: 1 + 2**21 + 2**42 for k in (1, 2)}
+        assert sum(r["kind"] == 2 for r in found) == 2
+    full = [(5, sum((2**21 - 1) << (21 * k) for k in range(3)), 2)] * 4
+    got = ngram_join.met_counts(spark.createDataFrame(full, "a long, b long, kind byte")).first()
+    assert (got.n_met0, got.n_met1, got.n_met2) == (4 * (2**21 - 1),) * 3
+
+
 def test_packing(spark, docs, empty):
     got = packing.pack(docs).toPandas()
     encode = packing.encoder(*packing.default_files())
