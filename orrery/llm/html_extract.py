@@ -42,6 +42,7 @@ NOISE_TAGS = frozenset("nav header footer aside form head button menu dialog inp
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner banners cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login sidebar aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations search form skip".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements of a path that are kept as they are; those below are one label, with a hash of theirs.
 DEPTH = 32
 SLOTS = "host string, path string, blocks long, chars long, linked long, first long, last long, page string"
 
@@ -77,16 +78,29 @@ class Parser:
     def blocks(self, page: str) -> list[tuple[tuple[str, ...], str, int]]:
         """(path, text, characters inside links) of each block that holds text, in page order."""
         out: list[tuple[tuple[str, ...], str, int]] = []
-        open_: list[tuple[str, str]] = []
+        open_: list[tuple[str, str, tuple[bool, bool, int]]] = []
         parts: list[str] = []
         links = linked = 0
 
+        def push(tag, label):
+            """Opens an element; beside its label stand whether it lies in noise and in main text, and a hash of the labels
+            below DEPTH, of which neighbours of one kind count once."""
+            _, before, (noise, main, deep) = open_[-1] if open_ else ("", "", (False, False, 0))
+            noise |= label.endswith("!") and not (main and label == "header!")
+            if len(open_) >= DEPTH and (label != before or len(open_) == DEPTH):
+                deep = xxhash.xxh64_intdigest(label, deep)
+            open_.append((tag, label, (noise, main or label.endswith("*"), deep)))
+
         def flush():
             nonlocal linked
             if parts:
                 text = " ".join(entities.unescape("".join(parts)).split())
                 if text:
-                    out.append((tuple(x for _, x in open_[:DEPTH]), text, min(linked, len(text))))
+                    path = tuple(x for _, x, _ in open_[:DEPTH])
+                    if len(open_) > DEPTH:
+                        noise, main, deep = open_[-1][2]
+                        path += (f"~{deep:x}" + ("!" if noise else "*" if main else ""),)
+                    out.append((path, text, min(linked, len(text))))
                 parts.clear()
             linked = 0
 
@@ -108,8 +122,8 @@ class Parser:
                     parts.append(" ")
                 if m[4] and not m[2] and tag != "a" and self.label(tag, m[4]).endswith("!"):
                     flush()
-                    open_.append((tag, tag + "!"))
-                elif m[2] and any(t == tag for t, _ in open_[-1:]):
+                    push(tag, tag + "!")
+                elif m[2] and any(x[0] == tag for x in open_[-1:]):
                     flush()
                     open_.pop()
                 continue
@@ -134,7 +148,7 @@ class Parser:
                     if open_[i][0] in bar:
                         break
             if not m[4].rstrip().endswith("/"):
-                open_.append((tag, self.label(tag, m[4])))
+                push(tag, self.label(tag, m[4]))
         else:
             parts.append(page[at:])
         flush()

@@ -34,6 +34,16 @@ def test_wrapper_alignment():
     assert html_extract.align(both, a)[3][0][0] == "div"
 
 
+def test_html_deep_pages(spark):
+    deep = lambda inner: "<div>" * 40 + inner + "</div>" * 40
+    pages = [(1, "http://a.b/1", deep("<nav>menu</nav><p>text</p><div class=comments><p>reader</p></div>"))]
+    pages += [(2, "http://c.d/1", "<p>around</p>" + deep("<section><article><header><h1>head</h1></header><p>inside</p></article></section><p>beside</p>")), (3, "http://c.d/2", "<p>around</p><article><p>flat</p></article>")]
+    pages += [(4, "http://e.f/1", "<section><b>" * 20 + "".join(f"<div>part {k}" for k in range(2000)))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "text", 2: "head\ninside", 3: "flat", 4: "\n".join(f"part {k}" for k in range(2000))}
+    assert len({path for path, _, _ in html_extract.Parser().blocks(pages[-1][2])}) < 40
+
+
 @pytest.mark.parametrize("i", range(3))
 def test_html_whole_table_keeps_articles(spark, i):
     pages = spark.read.parquet(f"{SF}/pages.parquet").where(F.col("page_id") % 3 == i)
