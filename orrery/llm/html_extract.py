@@ -8,7 +8,7 @@ with each other. For each slot the share of link text, its pages and whether its
 
 A slot is main text unless it lies in a menu, header, footer, sidebar, notice, advert, form, script, style or reader
 comments (by element, role, or a word of its class or id). Where the host's wrapper has an article (or main) element only
-slots inside count; otherwise those that are mostly links, or say the same on all of three and more pages, don't count.
+slots inside count; otherwise those that are mostly links, or say the same on all of three and more different pages (by their text outside noise), don't count.
 
 Text: character references are decoded, white space inside a block becomes one space and is trimmed, blocks are joined by
 \\n in page order. Null or empty html gives an empty text; a page with no main slot gives an empty text; a null url has the
@@ -21,6 +21,7 @@ import html as entities
 import json
 import re
 from collections import defaultdict
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -44,7 +45,9 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 MAIN_TAGS = frozenset(("article", "main"))
 #: Elements of a path that are kept as they are; those below are one label, with a hash of theirs.
 DEPTH = 32
-SLOTS = "host string, path string, blocks long, chars long, linked long, first long, last long, page string"
+SLOTS = "host string, path string, blocks long, chars long, linked long, first long, last long, copies array<long>, page string"
+#: A slot is the same on all pages only where so many different pages hold it.
+PAGES = 3
 
 
 def words(value: str) -> set[str]:
@@ -226,24 +229,33 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def slot_rows(pages: DataFrame) -> DataFrame:
-    """SLOTS, summed within each batch: a row for each host and path with its blocks, characters, linked characters and
-    least and greatest text hash, and a row for each host and folded page."""
+    """SLOTS, summed within each batch: a row for each host and path with its blocks, characters, linked characters, least
+    and greatest text hash and the PAGES least hashes of different pages (their text outside noise), and a row for each host and folded page."""
 
     def run(batches):
         parser = Parser()
+        aloud = cache(lambda key: not noisy(key))
         for batch in batches:
+            aloud.cache_clear()
             slots: dict = {}
+            copies: dict = defaultdict(list)
             folded: dict = defaultdict(int)
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 blocks = parser.blocks(page.as_py())
                 folded[host, json.dumps(tidy(fold(blocks)), separators=(",", ":"))] += 1
-                for path, text, linked in blocks:
+                paths = ["/".join(path) for path, _, _ in blocks]
+                copy = xxhash.xxh64_intdigest("\n".join(b[1] for p, b in zip(paths, blocks, strict=True) if aloud(p))) - 2**63
+                for path in set(paths):
+                    held = copies[host, path]
+                    if copy not in held:
+                        copies[host, path] = sorted([*held, copy])[:PAGES]
+                for path, (_, text, linked) in zip(paths, blocks, strict=True):
                     h = xxhash.xxh64_intdigest(text) - 2**63
-                    key = (host, "/".join(path))
+                    key = (host, path)
                     s = slots.get(key)
                     slots[key] = (s[0] + 1, s[1] + len(text), s[2] + linked, min(s[3], h), max(s[4], h)) if s else (1, len(text), linked, h, h)
-            rows = [(*k, *v, None) for k, v in slots.items()] + [(h, None, n, 0, 0, 0, 0, page) for (h, page), n in folded.items()]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[f.split()[0] for f in SLOTS.split(", ")]), schema=pa.schema([("host", pa.string()), ("path", pa.string()), *((c, pa.int64()) for c in ("blocks", "chars", "linked", "first", "last")), ("page", pa.string())]), preserve_index=False)
+            rows = [(*k, *v, copies[k], None) for k, v in slots.items()] + [(h, None, n, 0, 0, 0, 0, None, page) for (h, page), n in folded.items()]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[f.split()[0] for f in SLOTS.split(", ")]), schema=pa.schema([("host", pa.string()), ("path", pa.string()), *((c, pa.int64()) for c in ("blocks", "chars", "linked", "first", "last")), ("copies", pa.list_(pa.int64())), ("page", pa.string())]), preserve_index=False)
 
     return pages.select("host", "html").mapInArrow(run, SLOTS)
 
@@ -263,7 +275,9 @@ def wrappers(pages: DataFrame, salts: int = 64) -> DataFrame:
     kind = "host string, page string, n long"
     parts = streams.groupBy("host", F.pmod(F.xxhash64("page"), F.lit(salts))).applyInPandas(lambda pdf: merge(pdf), kind)
     whole = parts.groupBy("host").applyInPandas(lambda pdf: merge(pdf), kind)
+    copies = found.where("path is not null").select("host", "path", F.explode("copies").alias("copy")).distinct().groupBy("host", "path").agg(F.count("*").alias("copies"))
     slots = found.where("path is not null").groupBy("host", "path").agg(F.sum("blocks").alias("blocks"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (F.min("first") == F.max("last")).alias("same"))
+    slots = slots.join(copies, ["host", "path"]).withColumn("same", F.col("same") & (F.col("copies") >= PAGES))
     by_host = slots.groupBy("host").agg(F.collect_list(F.struct("path", "blocks", "chars", "linked", "same")).alias("slots"))
 
     def choose(batches):
@@ -274,7 +288,7 @@ def wrappers(pages: DataFrame, salts: int = 64) -> DataFrame:
                 fine = [s for s in slots if not noisy(s["path"])]
                 inside = [s for s in fine if "*" in s["path"]]
                 if not inside:
-                    inside = [s for s in fine if 2 * s["linked"] <= s["chars"] and not (s["same"] and s["blocks"] >= 3)]
+                    inside = [s for s in fine if 2 * s["linked"] <= s["chars"] and not s["same"]]
                 rows.append((host, expression(json.loads(page)), json.dumps(sorted(s["path"] for s in inside))))
             yield pd.DataFrame(rows, columns=["host", "wrapper", "main"])
 

@@ -44,6 +44,14 @@ def test_html_deep_pages(spark):
     assert len({path for path, _, _ in html_extract.Parser().blocks(pages[-1][2])}) < 40
 
 
+def test_html_copies_are_one_page(spark):
+    copy = "<h1>title</h1><div><p>lead</p></div><section><p>one</p><p>two</p></section>"
+    pages = [(k, f"http://a.b/{k}", copy + f"<footer>visit {k}</footer>") for k in range(5)] + [(9, "http://c.d/1", "<p>so</p><p>so</p><p>so</p><div>end</div>")]
+    pages += [(20 + k, f"http://e.f/{k}", f"<h1>Site</h1><p>text {k}</p>") for k in range(3)] + [(30, "http://e.f/4", "<h1>Site</h1><p>text 1</p>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)).collect()}
+    assert got == {**{k: "title\nlead\none\ntwo" for k in range(5)}, 9: "so\nso\nso\nend", 20: "text 0", 21: "text 1", 22: "text 2", 30: "text 1"}
+
+
 @pytest.mark.parametrize("i", range(3))
 def test_html_whole_table_keeps_articles(spark, i):
     pages = spark.read.parquet(f"{SF}/pages.parquet").where(F.col("page_id") % 3 == i)
