@@ -1,6 +1,8 @@
 """Pages, URLs, conversations, and the pipeline."""
 
 import hashlib
+import json
+import random
 from collections import Counter
 
 import pytest
@@ -26,12 +28,75 @@ def test_html(spark):
 
 
 def test_wrapper_alignment():
-    parser = html_extract.Parser()
-    tree = lambda s: html_extract.tidy(html_extract.fold(parser.blocks(s)))
+    def tree(page):
+        host = html_extract.Host()
+        host.add(html_extract.Parser().blocks(page))
+        return host.wrapper()
+
     a, b = tree("<div><h1>x</h1><p>a</p><p>b</p></div>"), tree("<div><p>a</p><table><tr><td>q</table><p>z</p></div>")
     both = html_extract.align(a, b)
-    assert html_extract.expression(both) == "<>(<div>(<h1>(#)? <p>(#+)+ <table>(<tr>(<td>(#)))?))".replace("(#+)+", "(#+)+")
-    assert html_extract.align(both, a)[3][0][0] == "div"
+    assert html_extract.expression(both) == "<>(<div>(<h1>(#)? <p>(#+)+ <table>(<tr>(<td>(#)))?))"
+    text = lambda t: [k for k in t[3][0][3] if k[0] == "p"][0][3][0][4]
+    assert text(both)[:3] == [4, 4, 0] and len(text(both)[3]) == 1 and len(text(both)[4]) == 2
+    other = html_extract.align(b, a)
+    assert text(other) == text(both) and sorted(k[0] for k in other[3][0][3]) == ["h1", "p", "table"]
+    many = html_extract.align(tree("".join(f"<div class=c{chr(97 + k // 26)}{chr(97 + k % 26)}>{k}</div>" for k in range(400))), tree("<div class=caa>one</div>"))
+    assert [k[0] for k in many[3]] == ["div.."] and many[3][0][3][0][4][0] == 401
+
+
+def random_hosts(seed):
+    """Pages of hosts whose class names say nothing, with their main texts: navigation of links, a changing teaser, the
+    article with optional and repeated parts, a sidebar of fixed text, a footer."""
+    r = random.Random(seed)
+    name = lambda: "".join(r.choices("bcdfghjklmnpqrstvwxz", k=6))
+    prose = lambda n: " ".join("".join(r.choices("aeioulmnrst", k=r.randint(2, 8))) for _ in range(n))
+    rows = []
+    for h in range(6):
+        c = [name() for _ in range(9)]
+        outer, fixed, foot = r.choice(["form", "div", "section"]), prose(25), prose(12)
+        for _ in range(r.randint(4, 9)):
+            title, paras = prose(5), [prose(r.randint(20, 60)) for _ in range(r.randint(1, 6))]
+            quote, table = (prose(9) if r.random() < 0.4 else ""), [prose(2) for _ in range(r.choice([0, 0, 4]))]
+            body = "".join(f"<p>{x}</p>" for x in paras) + (f"<blockquote class={c[7]}>{quote}</blockquote>" if quote else "") + ("<table>" + "".join(f"<tr><td>{x}" for x in table) + "</table>" if table else "")
+            menu = "".join(f"<li><a href=/{k}>{prose(2)}</a></li>" for k in range(r.randint(3, 9)))
+            page = f'<body class="{c[0]}"><{outer} class={c[1]}><div class="{c[2]}"><ul>{menu}</ul></div><div class={c[3]}>{prose(3)}</div><div class="{c[4]}"><h1>{title}</h1>{body}</div><div class={c[5]}><p>{fixed}</p><p>{foot}</p></div></{outer}></body>'
+            rows.append((len(rows), f"http://{h}.org/{len(rows)}", page, "\n".join([title, *paras, *[quote] * bool(quote), *table])))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_html_of_hosts_with_random_class_names(spark, monkeypatch, seed):
+    rows = random_hosts(seed)
+    df = spark.createDataFrame([x[:3] for x in rows], "page_id long, url string, html string").repartition(5)
+    read = lambda: {x.page_id: x.text for x in html_extract.extract(df).collect()}
+    assert read() == {i: text for i, _, _, text in rows}
+    few = html_extract.wrappers(html_extract.with_host(df), fan=2).select("host", "tree").collect()
+    want = {x.host: html_extract.choose(json.loads(x.tree)) for x in html_extract.wrappers(html_extract.with_host(df.coalesce(1))).collect()}
+    assert {x.host: html_extract.choose(json.loads(x.tree)) for x in few} == want
+
+
+def test_html_needs_the_alignment():
+    rows = [x for x in random_hosts(1) if x[1].startswith("http://0.")]
+    parser = html_extract.Parser()
+
+    def texts(align):
+        tree = None
+        for _, _, page, _ in rows:
+            host = html_extract.Host()
+            host.add(parser.blocks(page))
+            tree = align(tree, host.wrapper()) if tree else host.wrapper()
+        main, known = html_extract.choose(tree), html_extract.wide(tree)
+        return ["\n".join(html_extract.kept(parser.blocks(page), main, known)) for _, _, page, _ in rows]
+
+    assert texts(html_extract.align) == [x[3] for x in rows] != texts(lambda a, b: a)
+
+
+def test_html_words_of_names_do_not_decide(spark):
+    pages = [(k, f"http://a.b/{k}", f"<nav><a href=/>home</a></nav><div class=header-image-wrapper><h2>head {k}</h2><p>text of {k} and more</p><p>second text {k}</p></div><div class=ad>buy {k}</div><footer>end</footer>") for k in range(5)]
+    pages += [(10 + k, f"http://c.d/{k}", f"<form><div class=sidebar-left><p>text {k} of a page</p></div><div class=comments><p>reader {k}</p></div></form>") for k in range(4)]
+    pages += [(20, "http://e.f/", "<p><a href=x' >link</a> it isn't gone, see <a href=\"y\"\" title='a>b'>that</a> and <a href=z?q=\"1>2</a></p>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)).collect()}
+    assert got == {**{k: f"head {k}\ntext of {k} and more\nsecond text {k}" for k in range(5)}, **{10 + k: f"text {k} of a page" for k in range(4)}, 20: "link it isn't gone, see that and 2"}
 
 
 def test_html_deep_pages(spark):
