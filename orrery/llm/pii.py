@@ -4,11 +4,14 @@ Base spans (code points, end exclusive) are e-mail addresses, IP addresses, card
 leftmost matches of each pattern that do not overlap; matches that fail their check are dropped. The patterns are written
 so that no text, however long, makes the matcher backtrack or recurse.
 
-Information-theoretic part: the values found are protected entities. A term (four letters or more) near an entity reveals
-it with P(entity | term) = documents that hold the term near it / documents that hold the term, which is
-log2(P(entity | term) / P(entity)) bits of information. A term is disclosed where it stands near the entity with at least
-``support`` different texts before it and after it, and reaches ``probability`` and ``bits``; its occurrences become spans
-of kind ``term``, generalised in the sanitised text, or removed from ``certain`` on. All counts are over all documents.
+Information-theoretic part, over all documents. Protected entities are the values found, and secrets: runs of letters and
+digits, 16 and more, with both in them, whose own characters carry at least ``SECRET_BITS`` bits (length times entropy).
+A term (four letters or more) near an entity reveals it with P(entity | term) = documents that hold the term near it /
+documents that hold the term, which is log2(P(entity | term) / P(entity)) bits of information. It may also reveal that some
+entity of a kind stands there (key, password: never the same value twice). A term is disclosed where it stands near
+the entity with at least ``support`` different texts before it and after it (for a kind: also near so many different values
+of it) and reaches ``probability`` and ``bits``. Secrets become spans of kind ``secret``; occurrences of disclosed terms
+spans of kind ``term``, generalised in the sanitised text, or ``tell``, removed there, from ``certain`` on.
 
 Null text counts as empty: no spans, and the digest of no text. Repeated rows are treated each and count each. An empty
 table gives no rows; other columns are ignored. Only SQL functions run on the executors.
@@ -32,10 +35,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for the pattern to be tried.
-NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{11}", "phone": r"\+[0-9]"}
+NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{11}", "phone": r"\+[0-9]", "secret": r"[0-9][A-Za-z]|[A-Za-z][0-9]"}
+SECRET = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{16,}+"
+SECRET_BITS = 40.0
 TERM = r"\p{L}{4,}+"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
-MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "term": "[TERM]", "tell": ""}
 
 
 def digits(value: Column) -> Column:
@@ -79,9 +84,27 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.concat(*kept)).drop(*(f"_{k}" for k in PATTERNS))
 
 
+def bits(value: Column) -> Column:
+    """Length times the entropy of a value's characters."""
+    n = F.char_length(value).cast("double")
+    held = lambda c: n - F.char_length(F.replace(value, c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(value, "(?<=.)(?=.)")), F.lit(0.0), lambda a, c: a - held(c) * F.log2(held(c) / n))
+
+
+def with_secrets(based: DataFrame) -> DataFrame:
+    """Adds secrets: SPAN of runs that carry enough bits and don't meet a base span."""
+    fine = lambda s: (bits(s["value"]) >= SECRET_BITS) & ~meets(s, F.col("base"))
+    found = F.when(F.col("text").rlike(NEEDS["secret"]), F.filter(located(F.col("text"), F.lit(SECRET), "secret"), fine))
+    return based.withColumn("secrets", F.coalesce(found, F.array().cast(SPAN)))
+
+
+def meets(span: Column, others: Column) -> Column:
+    return F.exists(others, lambda b: (span["start"] < b["end"]) & (b["start"] < span["end"]))
+
+
 def entity(span: Column) -> Column:
     """One value for the ways an entity is written."""
-    return F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), digits(span["value"])).otherwise(F.lower(span["value"])))
+    return F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), digits(span["value"])).when(span["kind"] == "secret", span["value"]).otherwise(F.lower(span["value"])))
 
 
 def terms_of(text: Column) -> Column:
@@ -98,55 +121,65 @@ def with_hits(docs: DataFrame, terms: DataFrame, most: int = 2000) -> DataFrame:
     return rows.join(hits, "_row", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>"))).drop("_row")
 
 
-def disclosing_terms(based: DataFrame, docs: DataFrame, reach: int = 80, support: int = 3, probability: float = 0.5, bits: float = 6.0) -> DataFrame:
-    """(term, disclosure): terms that give an entity away, with the highest P(entity | term)."""
-    held = save(based.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("doc"), "text", "base"))
-    near = held.select("doc", "text", F.explode("base").alias("s"))
-    before = F.substring("text", F.greatest(F.col("s.start") - reach, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(reach)))
-    after = F.substring("text", F.col("s.end") + 1, F.lit(reach))
-    sides = near.select("doc", entity(F.col("s")).alias("entity"), before.alias("l"), after.alias("r"))
-    found = save(sides.select("doc", "entity", F.xxhash64("l").alias("lh"), F.xxhash64("r").alias("rh"), F.explode(F.array_union(terms_of(F.col("l")), terms_of(F.col("r")))).alias("term")))
+def disclosing_terms(based: DataFrame, docs: DataFrame, reach: int = 80, support: int = 3, probability: float = 0.5, bits: float = 3.0) -> DataFrame:
+    """(term, disclosure): terms that give an entity, or a kind of them, away, with the highest P(entity | term)."""
+    spans = F.concat("base", "secrets")
+    held = save(based.where(F.size(spans) > 0).select(F.monotonically_increasing_id().alias("doc"), "text", spans.alias("spans")))
+    near = held.select("doc", "text", F.explode("spans").alias("s"))
+    # one character more on each side shows where a word is cut; a cut word is none
+    before = F.substring("text", F.greatest(F.col("s.start") - reach - 1, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(reach + 1)))
+    before = F.when(F.char_length(before) > reach, F.regexp_replace(before, r"^(\p{L}+|\P{L})", "")).otherwise(before)
+    after = F.substring("text", F.col("s.end") + 1, F.lit(reach + 1))
+    after = F.when(F.char_length(after) > reach, F.regexp_replace(after, r"(\p{L}++|\P{L})\z", "")).otherwise(after)
+    sides = near.select("doc", entity(F.col("s")).alias("value"), F.concat("s.kind", F.lit(":")).alias("kind"), before.alias("l"), after.alias("r"))
+    keyed = sides.select("doc", "value", F.explode(F.array("value", "kind")).alias("entity"), F.xxhash64("l").alias("lh"), F.xxhash64("r").alias("rh"), F.array_union(terms_of(F.col("l")), terms_of(F.col("r"))).alias("terms"))
+    found = save(keyed.select("doc", "value", "entity", "lh", "rh", F.explode("terms").alias("term")))
     each = lambda c: F.count_distinct(c)
-    pairs = save(found.groupBy("term", "entity").agg(each("doc").alias("both"), F.least(each("lh"), each("rh")).alias("sides")).where(F.col("sides") >= support))
+    counted = found.groupBy("term", "entity").agg(each("doc").alias("both"), F.least(each("lh"), each("rh")).alias("sides"), each("value").alias("values"))
+    of_kind = F.col("entity").endswith(":")
+    pairs = save(counted.where((F.col("sides") >= support) & (~of_kind | (F.col("values") >= support))))
     # documents that hold entities bound the count from below: a term too frequent among them can't reach the probability
     count = lambda rows, terms: with_hits(rows, terms).select(F.explode("hits").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     rare = count(held, pairs.select("term").distinct()).join(pairs, "term").where(F.col("both") >= probability * F.col("n_term"))
     pairs = save(rare.drop("n_term"))
     holding = count(docs, pairs.select("term").distinct())
-    entities = found.groupBy("entity").agg(each("doc").alias("n_entity"))
+    entities = keyed.groupBy("entity").agg(each("doc").alias("n_entity"))
     total = docs.count()
     p = F.col("both") / F.col("n_term")
     known = pairs.join(holding, "term").join(entities, "entity").withColumn("p", p).withColumn("info", F.log2(F.col("p") * total / F.col("n_entity")))
     return known.where((F.col("p") >= probability) & (F.col("info") >= bits)).groupBy("term").agg(F.max("p").alias("disclosure"))
 
 
-def find(docs: DataFrame, **limits) -> DataFrame:
+def find(docs: DataFrame, certain: float = 0.9, **limits) -> DataFrame:
     """doc_id, text, base and extra spans. ``limits``: those of disclosing_terms."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    based = with_base(docs)
+    based = with_secrets(with_base(docs))
     terms = save(disclosing_terms(based, docs, **limits))
-    hit = with_hits(based, terms.select("term"))
     whole = lambda t: F.concat(F.lit(r"(?iu)(?<!\p{L})"), t, F.lit(r"(?!\p{L})"))
-    every = F.flatten(F.transform("hits", lambda t: located(F.col("text"), whole(t), "term")))
-    apart = F.filter(every, lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    return hit.withColumn("extra", F.array_sort(F.when(F.size("hits") > 0, apart).otherwise(F.array().cast(SPAN)))).drop("hits")
+    every = {}
+    for kind, kept in (("term", F.col("disclosure") < certain), ("tell", F.col("disclosure") >= certain)):
+        based = with_hits(based, terms.where(kept).select("term")).withColumnRenamed("hits", f"_{kind}")
+        spans = F.flatten(F.transform(f"_{kind}", partial(lambda k, t: located(F.col("text"), whole(t), k), kind)))
+        every[kind] = F.filter(spans, lambda s: ~meets(s, F.col("base")) & ~meets(s, F.col("secrets")))
+    none = F.array().cast(SPAN)
+    added = F.concat("secrets", *(F.when(F.size(f"_{k}") > 0, v).otherwise(none) for k, v in every.items()))
+    return based.withColumn("extra", F.array_sort(added)).drop("secrets", "_term", "_tell")
 
 
-def sanitise(found: DataFrame, terms: DataFrame | None = None, certain: float = 0.9) -> DataFrame:
-    """Adds sanitised: each span replaced by its kind's mark. ``terms`` (term, disclosure): those from ``certain`` on are removed."""
-    gone = [r[0] for r in terms.where(F.col("disclosure") >= certain).select("term").limit(2000).collect()] if terms is not None else []
+def sanitise(found: DataFrame) -> DataFrame:
+    """Adds sanitised: each span replaced by its kind's mark, which for terms that tell is nothing."""
     marks = F.create_map(*(F.lit(x) for kv in MARKS.items() for x in kv))
     spans = F.array_sort(F.concat("base", "extra"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def put(a, s):
-        mark = F.when((s["kind"] == "term") & F.lower(s["value"]).isin(gone), "").otherwise(marks[s["kind"]]) if gone else marks[s["kind"]]
-        new = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), mark)
+        new = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), marks[s["kind"]])
         fits = s["start"] >= a["at"]
         return F.struct(F.when(fits, new).otherwise(a["out"]).alias("out"), F.when(fits, s["end"]).otherwise(a["at"]).alias("at"))
 
     done = F.aggregate(spans, start, put)
-    return found.withColumn("_done", done).withColumn("sanitised", F.concat("_done.out", F.substring("text", F.col("_done.at") + 1, F.char_length("text")))).drop("_done")
+    replaced = F.concat("_done.out", F.substring("text", F.col("_done.at") + 1, F.char_length("text")))
+    return found.withColumn("_done", F.when(F.size(spans) > 0, done)).withColumn("sanitised", F.coalesce(replaced, "text")).drop("_done")
 
 
 def joined(spans: Column) -> Column:
@@ -154,6 +187,7 @@ def joined(spans: Column) -> Column:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", partial(lambda kind, s: s["kind"] == kind, k))).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "extra")).alias("spans"))
+    found = sanitise(find(table(spark, sf_dir, "documents")))
+    of = lambda spans, *kinds: F.size(F.filter(spans, lambda s: s["kind"].isin(*kinds))).cast("long")
+    counts = [of("base", k).alias(f"n_{k}") for k in PATTERNS] + [of("extra", "secret").alias("n_secret"), of("extra", "term", "tell").alias("n_term")]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "extra")).alias("spans"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
