@@ -245,6 +245,35 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprint.with_next(empty.select("doc_id", "text")).count() == 0
 
 
+def test_edited_texts_by_force(spark):
+    import hashlib
+
+    r = random.Random(3)
+    spread = [(i, prose(r.randint(0, 40), r)) for i in [*range(0, 600, 3), 10**18, -(2**62), 2**63 - 1, -(2**63), 2**53 + 1, 2**53 + 3]]
+    many = [(i, prose(r.randint(0, 30), r)) for i in range(300)] + [(150, f"text {k}") for k in range(300)] + [(None, f"none {k}") for k in range(200)]
+    for rows in (spread, many, [(1, None)], [(5, "é🙂 b c d e f"), (4, "")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("range", F.lit(1)).withColumn("_place", F.lit("x")).repartition(3)
+        got = fingerprint.edited(df, rows=8).select("doc_id", "n_chars", "edited", "sketch", "edited_sketch", "next_sketch", fingerprint.likeness("sketch", "edited_sketch").alias("near_edited"), fingerprint.likeness("sketch", "next_sketch").alias("near_next")).collect()
+        hashes = {x.t: x.h for x in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+        order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), hashes[x[1]]))
+        texts = spark.createDataFrame([(t,) for t in {t for _, t in order}], "t string")
+        sketches = {x.t: x.s for x in fingerprint.with_sketch(texts, "t", "s").select("t", "s").collect()}
+        like = lambda a, b: len(set(a) & set(b)) / min(len(a), len(b)) if a and b else float(len(a) == len(b))
+        want = Counter()
+        for k, (i, t) in enumerate(order):
+            following = order[(k + 1) % len(order)][1]
+            edit = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+            want[i, len(t), hashlib.sha256(edit.encode()).hexdigest(), round(like(sketches[t], sketches[following]), 9)] += 1
+        assert Counter((x.doc_id, x.n_chars, hashlib.sha256(x.edited.encode()).hexdigest(), round(x.near_next, 9)) for x in got) == want
+        assert all(round(like(x.sketch, x.edited_sketch), 9) == round(x.near_edited, 9) for x in got)
+    place, key, _ = fingerprint.ranges(spark.createDataFrame(spread, "doc_id long, text string"), 8)
+    df = spark.createDataFrame(spread, "doc_id long, text string").select("doc_id", F.lit(0).cast("long").alias("_tie"), F.col("doc_id").cast("double").alias("_id"))
+    assert place(df).select(key.alias("k")).groupBy("k").count().agg(F.max("count")).first()[0] <= 40
+    place, key, _ = fingerprint.ranges(spark.createDataFrame(many, "doc_id long, text string"), 8)
+    df = spark.createDataFrame(many, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("_tie"), F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)).alias("_id"))
+    assert place(df).select(key.alias("k")).groupBy("k").count().agg(F.max("count")).first()[0] <= 40
+
+
 def test_predecessors_in_groups(spark):
     keys = [0, 1, 5, 1023, 1024, 5000, 2**40]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
@@ -288,11 +317,65 @@ def test_pii_terms_and_sanitised(spark):
     got = {r.doc_id: r for r in pii.sanitise(found).collect()}
     at = rows[-1][1].index("Zebulon")
     assert [(s.kind, s.start, s.end) for s in got[900].extra] == [("term", at, at + 7)] and got[900].sanitised == "met [TERM] today"
-    assert "[EMAIL]" in got[0].sanitised and mail not in got[0].sanitised and not got[10].extra
+    assert "[EMAIL]" in got[0].sanitised and mail not in got[0].sanitised and not got[10].extra and got[10].sanitised == rows[6][1]
     many = pii.with_hits(df, spark.createDataFrame([("zebulon",), ("nothing",)], "term string"), most=1)
     assert {r.doc_id for r in many.where("size(hits) > 0").collect()} == {0, 1, 2, 3, 4, 5, 900}
 
 
+def terms_by_force(rows, reach=80, support=3, probability=0.5, bits=3.0):
+    """The definition, by Python: terms near e-mail addresses (all that these rows hold)."""
+    near, holds, entities = {}, Counter(), {}
+    for d, text in rows:
+        holds.update({w.lower() for w in re.findall(r"[^\W\d_]{4,}", text)})
+        for m in re.finditer(RX["email"], text):
+            left, right = text[max(0, m.start() - reach - 1) : m.start()], text[m.end() : m.end() + reach + 1]
+            left = re.sub(r"^([^\W\d_]+|.)", "", left, flags=re.S) if len(left) > reach else left
+            right = re.sub(r"([^\W\d_]+|.)\Z", "", right, flags=re.S) if len(right) > reach else right
+            for e in (m[0].lower(), ":"):
+                entities.setdefault(e, set()).add(d)
+                for w in {w.lower() for side in (left, right) for w in re.findall(r"[^\W\d_]{4,}", side)}:
+                    x = near.setdefault((w, e), (set(), set(), set(), set()))
+                    for held, v in zip(x, (d, left, right, m[0].lower()), strict=True):
+                        held.add(v)
+    out = set()
+    for (w, e), (docs, left, right, values) in near.items():
+        p = len(docs) / holds[w]
+        if min(len(left), len(right)) >= support and (e != ":" or len(values) >= support) and p >= probability and np.log2(p * len(rows) / len(entities[e])) >= bits:
+            out.add(w)
+    return out
+
+
+def test_pii_terms_by_force_and_their_recall(spark):
+    """Names that give an address away in most of their documents, words that stand before any address, and names that only
+    sometimes stand near one."""
+    r = random.Random(12)
+    name = lambda: "".join(r.choices("aeiou", k=1) + r.choices("bcdfgklmnprstvz", k=7))
+    rows, telling, plain = [], {name() for _ in range(30)}, {name() for _ in range(30)}
+    for k, w in enumerate(sorted(telling)):
+        rows += [f"{prose(r.randint(3, 20), r)} {w} {prose(2, r)} p{k}@host.org {prose(r.randint(3, 20), r)}" for _ in range(5)] + [f"{prose(9, r)} {w.upper()} {prose(9, r)}"]
+    for k, w in enumerate(sorted(plain)):
+        rows += [f"{prose(8, r)} {w} q{k}@host.org {prose(8, r)}"] + [f"{prose(9, r)} {w} {prose(9, r)}" for _ in range(9)]
+    rows += [f"{prose(8, r)} reachable {r.random():.9f}@any.net {prose(8, r)}" for _ in range(40)] + [prose(30, r) for _ in range(3000)]
+    rows = list(enumerate(rows))
+    based = pii.with_secrets(pii.with_base(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    got = {x.term for x in pii.disclosing_terms(based, based.select("text")).collect()}
+    assert got == terms_by_force(rows) and len(got & telling) >= 0.9 * len(telling) and "reachable" in got and not got & plain
+    assert len(got - telling - {"reachable"}) <= 3
+
+
+def test_pii_secrets_and_what_tells_of_them(spark):
+    r = random.Random(6)
+    hexed = lambda n: "".join(r.choices("0123456789abcdef", k=n - 2)) + "a7"
+    rows = [(i, f"{prose(6)} token = \"{hexed(40)}\" {prose(6)}") for i in range(8)] + [(10 + i, prose(20)) for i in range(400)]
+    rows += [(900, f"aaaaaaaaaaaaaaaaa1 {'9' * 30} verylongwordwithoutdigits x{'a1' * 4} é{hexed(20)}é"), (901, "the token alone"), (902, f"{hexed(18)}@host.org 4111111111111111")]
+    got = {x.doc_id: x for x in pii.sanitise(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    kinds = lambda i: [s.kind for s in got[i].extra]
+    assert kinds(0) == ["secret", "term"] and kinds(900) == ["secret"] and kinds(901) == ["term"] and kinds(902) == [] and kinds(10) == []
+    assert "[SECRET]" in got[0].sanitised and got[901].sanitised == "the [TERM] alone" and got[902].sanitised == "[EMAIL] [CARD]"
+    sure = {x.doc_id: x.sanitised for x in pii.sanitise(pii.find(spark.createDataFrame(rows[:-2], "doc_id long, text string"))).collect()}
+    assert "token" not in sure[0] and "[TERM]" not in sure[0] and "[SECRET]" in sure[0]
+
+
 def test_toxicity_held_out(spark, empty):
     r = random.Random(4)
     bad = ["grunk", "vexil", "morbo", "snarf", "plegh"]
