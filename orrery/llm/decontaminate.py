@@ -6,7 +6,8 @@ template words are hash-joined with those of the benchmark's items. Along each a
 must agree: one value of the item goes with one value of the document and the other way round. So a question whose
 numbers or names were changed throughout is caught, and one that only resembles it is not.
 
-An alignment counts where its windows cover at least ``share`` of the item's words. Items of fewer words than a window
+An alignment counts where its windows cover at least ``share`` of the item's words. Where words were put in or left out,
+the pieces on either side lie on alignments up to ``GAP`` words apart; such neighbours are one alignment too. Items of fewer words than a window
 have one window of all their words and are found anywhere in a text; such an item without a literal word must be there
 with its own values, or be all of the text. Items without words match nothing. Windows with fewer than ``literal`` literal words
 say too little to find an alignment, unless the item has no others; along one that others found, all windows count. Null or empty texts match nothing, repeated rows are
@@ -21,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import MIX, as_long, fmix, pieces, save, small, table
+from orrery.llm.common import MIX, as_long, fmix, pieces, save, small, table, tidied
 
-WINDOW, SHARE, LITERAL = 8, 0.6, 5
+WINDOW, SHARE, LITERAL, GAP = 8, 0.6, 5, 8
 OUTER = ".,;:!?\"'()[]{}<>«»“”…¿¡*#$%&|_-"
 #: Units that follow a number; a fixed list.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs ms day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds liter liters litre litres kmh mph hz khz mhz ghz w kw v a k c f % usd eur gbp dollar dollars euro euros cent cents percent".split())
@@ -36,7 +37,7 @@ NUM, UNIT, NAME = (np.uint64(xxhash.xxh64_intdigest(f"\x00{k}")) for k in ("num"
 EMPTY = np.uint64(xxhash.xxh64_intdigest(""))
 HITS = "doc_id long, key long, pos int, window long"
 ITEMS = "item_id long, item_words int, poor int, shape array<long>, slots array<long>, pos array<int>, window array<long>"
-SPANS = "doc_id long, item long, begin int, its_words int, its_shape array<long>, its_slots array<long>"
+SPANS = "doc_id long, item long, diagonals array<int>, first int, its_words int, its_shape array<long>, its_slots array<long>"
 
 
 def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,11 +124,13 @@ def item_rows(benchmark: DataFrame, size: int, literal_words: int) -> DataFrame:
     return rows.withColumn("item", F.xxhash64("item_id", "shape", "slots")).dropDuplicates(["item"])
 
 
-def windows(docs: DataFrame, size: int, short: list[int], wanted: np.ndarray | None = None) -> DataFrame:
+def windows(docs: DataFrame, size: int, short: list[int], sent=None) -> DataFrame:
     """HITS rows: each window with its place. ``short``: lengths of the items that have fewer words than ``size``;
-    every text gives windows of those lengths too. ``wanted``: sorted hashes; only windows with one of them are given out."""
+    every text gives windows of those lengths too. ``sent``: a broadcast of sorted hashes; only windows with one of them are
+    given out."""
 
     def run(batches):
+        wanted = sent.value if sent is not None else None
         for batch in batches:
             for part in pieces(batch, "text"):
                 shape, _, _, at = templates(part.column("text"))
@@ -144,8 +147,8 @@ def windows(docs: DataFrame, size: int, short: list[int], wanted: np.ndarray | N
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, item, diagonal, item_words), the last three lists -> SPANS rows: a document's words beside an item's,
-    from the item's word ``begin`` on."""
+    """(doc_id, text, item, diagonals, item_words), the last three lists -> SPANS rows: a document's words beside an item's,
+    from its word ``first`` on. A diagonal is a document's place less the item's."""
 
     def run(batches):
         for batch in batches:
@@ -155,14 +158,15 @@ def spans(docs: DataFrame) -> DataFrame:
                 held, rows = 0, []
 
                 def told(rows):
-                    ids, item, begin, n, a, b = zip(*rows, strict=True)
+                    ids, item, diagonals, first, n, a, b = zip(*rows, strict=True)
                     cut = lambda x: lists([x[p:q] for p, q in zip(a, b, strict=True)], pa.int64())
-                    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(item, pa.int64()), pa.array(begin, pa.int32()), pa.array(n, pa.int32()), cut(as_long(shape)), cut(slot)], names=["doc_id", "item", "begin", "its_words", "its_shape", "its_slots"])
+                    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(item, pa.int64()), pa.array(diagonals, pa.list_(pa.int32())), pa.array(first, pa.int32()), pa.array(n, pa.int32()), cut(as_long(shape)), cut(slot)], names=["doc_id", "item", "diagonals", "first", "its_words", "its_shape", "its_slots"])
 
-                for i, (doc, *places) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "item", "diagonal", "item_words")), strict=True)):
-                    for item, diagonal, words in zip(*places, strict=True):
-                        a, b = at[i] + max(0, diagonal), min(at[i] + diagonal + words, at[i + 1])
-                        rows.append((doc, item, max(0, -diagonal), at[i + 1] - at[i], a, b))
+                for i, (doc, *places) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "item", "diagonals", "item_words")), strict=True)):
+                    for item, diagonals, words in zip(*places, strict=True):
+                        first = max(0, min(diagonals))
+                        a, b = at[i] + first, min(at[i] + max(diagonals) + words, at[i + 1])
+                        rows.append((doc, item, diagonals, first, at[i + 1] - at[i], a, b))
                         held += b - a
                         if held > 100_000:
                             yield told(rows)
@@ -173,16 +177,27 @@ def spans(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SPANS)
 
 
-def agreed(shape: np.ndarray, slots: np.ndarray, its_shape: np.ndarray, its_slots: np.ndarray, width: int) -> tuple[int, int, bool, bool]:
-    """Of an item's words and those beside them: windows that are the same, words in them, whether their slots agree, and
-    whether some value is another one."""
-    sums = np.concatenate([[0], np.cumsum(shape == its_shape)])
-    same = sums[width:] - sums[:-width] == width if len(shape) >= width else np.zeros(0, bool)
-    covered = spread(same, width, len(shape))
-    a, b = slots[covered], its_slots[covered]
+def agreed(shape: np.ndarray, slots: np.ndarray, its_shape: np.ndarray, its_slots: np.ndarray, shifts, width: int) -> tuple[int, int, bool, bool]:
+    """Of an item's words and those beside them, so far along: windows that are the same, words in them, whether their
+    slots agree, and whether some value is another one. A word counts along the shift with most such windows."""
+    covered, values, n_same = np.zeros(len(shape), bool), [], 0
+    found = []
+    for s in shifts:
+        lo, hi = max(0, -s), min(len(shape), len(its_shape) - s)
+        if hi - lo >= width:
+            sums = np.concatenate([[0], np.cumsum(shape[lo:hi] == its_shape[lo + s : hi + s])])
+            same = sums[width:] - sums[:-width] == width
+            if same.any():
+                found.append((-int(same.sum()), s, lo, hi, same))
+    for n, s, lo, hi, same in sorted(found, key=lambda f: f[:2]):
+        new = spread(same, width, hi - lo) & ~covered[lo:hi]
+        covered[lo:hi] |= new
+        values.append(np.stack([slots[lo:hi][new], its_slots[lo + s : hi + s][new]]))
+        n_same -= n
+    a, b = np.concatenate(values, axis=1) if values else np.zeros((2, 0), np.int64)
     pairs = np.unique(np.stack([a, b])[:, a != 0], axis=1)
     agree = len(np.unique(pairs[0])) == len(np.unique(pairs[1])) == pairs.shape[1]
-    return int(same.sum()), int(covered.sum()), agree, bool((a != b).any())
+    return n_same, int(covered.sum()), agree, bool((a != b).any())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE, literal: int = LITERAL, most_sent: int = 2_000_000) -> DataFrame:
@@ -194,15 +209,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     wanted = np.unique(seeds.select("window").distinct().toPandas()["window"].to_numpy(np.int64).view(np.uint64)) if seeds.count() <= most_sent else None
     short = sorted(r[0] for r in items.where(F.col("item_words") < size).select("item_words").distinct().collect())
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
-    pairs = windows(docs, size, short, wanted).join(seeds, "window").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    reach = F.flatten(F.collect_set(F.sequence(F.col("item_pos"), F.col("item_pos") + F.least(F.col("item_words"), F.lit(size)) - 1)))
-    lines = pairs.groupBy("doc_id", "key", "item", "diagonal").agg(F.size(F.array_distinct(reach)).alias("covered"), F.max("item_words").alias("item_words"), F.max("poor").alias("poor"))
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)  # most_sent hashes at most
+    pairs = windows(docs, size, short, sent).join(seeds, "window").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    reach = F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("item_pos"), F.col("item_pos") + F.least(F.col("item_words"), F.lit(size)) - 1))))
+    lines = pairs.groupBy("doc_id", "key", "item", "diagonal").agg(reach.alias("reach"), F.max("item_words").alias("item_words"), F.max("poor").alias("poor"))
     # words in other windows may be found as well once the whole item is compared along the diagonal
-    maybe = lines.where(F.col("covered") + F.col("poor") >= F.lit(share) * F.col("item_words"))
-    by_text = maybe.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("item", "diagonal", "item_words")).alias("c"))
-    by_text = small(by_text.select("_id", "_key", "c.item", "c.diagonal", "c.item_words"))
+    enough = lambda covered: covered + F.col("poor") >= F.lit(share) * F.col("item_words")
+    beside = Window.partitionBy("doc_id", "key", "item").orderBy("diagonal")
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(beside) > GAP).cast("int"), F.lit(1))
+    runs = lines.withColumn("apart", apart).withColumn("run", F.sum("apart").over(beside)).groupBy("doc_id", "key", "item", "run")
+    runs = runs.agg(F.sort_array(F.collect_list("diagonal")).alias("diagonals"), F.collect_list(F.when(enough(F.size("reach")), F.array("diagonal"))).alias("ones"), F.size(F.array_distinct(F.flatten(F.collect_list("reach")))).alias("covered"), F.max("item_words").alias("item_words"), F.max("poor").alias("poor"))
+    several = F.when((F.size("diagonals") > 1) & enough(F.col("covered")), F.array("diagonals")).otherwise(F.array().cast("array<array<int>>"))
+    maybe = runs.select("doc_id", "key", "item", "item_words", F.explode(F.concat("ones", several)).alias("diagonals"))
+    by_text = maybe.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("item", "diagonals", "item_words")).alias("c"))
+    by_text = small(by_text.select("_id", "_key", "c.item", "c.diagonals", "c.item_words"))
     needed = docs.join(by_text, docs["doc_id"].eqNullSafe(by_text["_id"]) & docs["key"].eqNullSafe(by_text["_key"]))
-    beside = spans(needed.select("doc_id", "text", "item", "diagonal", "item_words")).join(items.select("item", "item_id", "item_words", "shape", "slots"), "item")
+    beside = spans(needed.select("doc_id", "text", "item", "diagonals", "item_words")).join(items.select("item", "item_id", "item_words", "shape", "slots"), "item")
 
     def compare(batches):
         names = ["doc_id", "item_id", "n_windows", "share", "agree", "changed"]
@@ -211,9 +233,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
             rows = []
             for i in range(len(batch)):
                 shape, slots, its_shape, its_slots = (columns[c][i].values.to_numpy(zero_copy_only=False) for c in ("shape", "slots", "its_shape", "its_slots"))
-                n, at = columns["item_words"][i].as_py(), columns["begin"][i].as_py()
-                end = at + len(its_shape)
-                found, covered, agree, changed = agreed(shape[at:end], slots[at:end], its_shape, its_slots, min(size, n))
+                n, first = columns["item_words"][i].as_py(), columns["first"][i].as_py()
+                found, covered, agree, changed = agreed(shape, slots, its_shape, its_slots, [d - first for d in columns["diagonals"][i].as_py()], min(size, n))
                 # a short item of slots only is held by any text with a number or name, unless the values count
                 said = n >= size or not changed or (slots == 0).any() or columns["its_words"][i].as_py() == n
                 rows.append((found, covered / n, agree and bool(said), changed))
@@ -230,5 +251,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(small(bad), "doc_id", "left_anti").select(docs.columns)
 
 
+@tidied
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
