@@ -5,10 +5,13 @@ document's distinct words and their beginnings of four and five letters. The mod
 labelled rows (at most ``sample`` of each class, chosen by the hash of doc_id); every document is then scored whole.
 
 Grades: a ``severity`` column of the labels if there is one; else 0 for toxic = 0, and toxic documents are graded 1 or 2
-as they hold at most, or more than, the median number of words that hardly ever occur in clean documents.
+as they hold at most, or more than, the median number of words that hardly ever occur in clean documents. Grades 1 and 2 are
+then a stand-in made of the text itself, so that only grade > 0 says something that the labels said.
 
-Null or empty text has no features and gets the thresholds' own grade. Documents that share a text weigh once in the
-fit. Rows with a null label or id are left out of the fit; without any label of one class every document gets grade 0.
+The model keeps features held by ``least_held`` rows of the sample and more, with chi-square of at least ``evidence``, the
+best ``most_features`` of them. Null or empty text has no features and gets the thresholds' own grade. Documents that share a
+text weigh once in the fit. Rows with a null label or id, or whose document is absent or has no words, are left out of the
+fit; where rows of one class only are left, or none, every document gets grade 0.
 Repeated document rows are scored each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import pieces, save, table
+from orrery.llm.common import pieces, save, table, tidied
 
 SCORES = "doc_id long, expected_severity double, grade int, p_toxic double, is_toxic boolean"
 EDGES = ".,;:!?\"'()[]{}*#$%&-_/\\|<>«»“”…¿¡"
@@ -77,15 +80,16 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: n
     return par[:n_features], np.maximum.accumulate(par[n_features:])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_features: int = 4000, evidence: float = 15.0) -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_features: int = 4000, evidence: float = 15.0, least_held: int = 5) -> dict:
     """The model as plain values. ``sample``: labelled rows of each class at most. ``most_features``: kept by chi-square
     of at least ``evidence``; so what reaches the driver is bounded."""
     graded = "severity" in labels.columns
     given = F.col("severity").cast("int") if graded else F.col("toxic").cast("int")
     known = labels.select("doc_id", given.alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     totals = {bool(r["bad"]): r["count"] for r in known.groupBy((F.col("y") > 0).alias("bad")).count().collect()}
+    clean = {"features": [], "weights": [], "thresholds": [30.0]}
     if len(totals) < 2:
-        return {"features": [], "weights": [], "thresholds": [30.0]}
+        return clean
     chosen = [known.where(F.col("y") > 0 if bad else F.col("y") <= 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for bad in (False, True)]
     picked = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 x sample rows
 
@@ -101,10 +105,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_features:
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(picked, "doc_id").withColumn("same", F.xxhash64("text")).dropDuplicates(["same", "y"]).drop("same")
     found = save(texts.mapInArrow(spread, "doc_id long, y int, feature string, word boolean").groupBy("doc_id", "y", "feature").agg(F.count("*").cast("double").alias("v"), F.max("word").alias("word")))
     docs_y = found.select("doc_id", "y").distinct().toPandas()  # at most 2 x sample rows
-    n1 = max(1, int((docs_y["y"] > 0).sum()))
-    n0 = max(1, len(docs_y) - n1)
+    n1 = int((docs_y["y"] > 0).sum())
+    n0 = len(docs_y) - n1
+    if not n0 or not n1:
+        return clean
     a, b = F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)
-    held = found.groupBy("feature", "word").agg(a.alias("a"), b.alias("b")).where("a + b >= 5")
+    held = found.groupBy("feature", "word").agg(a.alias("a"), b.alias("b")).where(f"a + b >= {int(least_held)}")
     n = n0 + n1
     cross = F.col("a") * (n0 - F.col("b")) - F.col("b") * (n1 - F.col("a"))
     chi = n * cross.cast("double") * cross / ((F.col("a") + F.col("b")).cast("double") * (n - F.col("a") - F.col("b")) * n0 * n1)
@@ -173,6 +179,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> D
     return docs.mapInArrow(run, docs.schema)
 
 
+@tidied
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
