@@ -4,7 +4,8 @@ Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z l
 ``#`` or the end. A null URL, or one without ``://``, has an empty host and path. A rule ``host/path`` fits its host and
 all subdomains where the URL's path starts with the rule's; the longest rule that fits decides.
 
-The trees learn from labelled URLs: a bounded sample of those that rules decide (``sample`` of each verdict at most, by
+Suffix statistics are how common a suffix is and how many of the other URLs with it are blocked: a URL's own label is left
+out, so that it can't be read from them. The trees learn from labelled URLs: a bounded sample of those that rules decide (``sample`` of each verdict at most, by
 the hash of page_id). As rules speak of few hosts, as many undecided URLs join them as weak examples of allow
 (``weak`` is their weight), so that a URL is blocked only where it looks more like blocked ones than like the rest.
 Where no URL is blocked, or none is not, the others get ``default``. Repeated rows are judged each; an empty table gives
@@ -20,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import save, small, table
+from orrery.llm.common import save, small, table, tidied
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,10 +75,11 @@ def judge(pages: DataFrame, rules=RULES, sample: int = 10_000, default: str = "a
     base = with_parts(pages.select("page_id", "url")).withColumn("fits", rule_of(rules))
     features = save(lexical(base).drop("url"))
     total = F.lit(float(max(1, features.count())))
-    blocked = F.count_if(F.col("fits.verdict") == "block") / F.count("*")
-    suffixes = features.groupBy("suffix").agg((F.count("*") / total).alias("suffix_share"), blocked.alias("suffix_blocked"))
+    suffixes = features.groupBy("suffix").agg((F.count("*") / total).alias("suffix_share"), F.count("*").alias("_n"), F.count_if(F.col("fits.verdict") == "block").alias("_blocked"))
     endings = features.groupBy("ending").agg((F.count("*") / total).alias("ending_share"))
     full = features.join(small(suffixes), "suffix").join(small(endings), "ending")
+    own = F.coalesce((F.col("fits.verdict") == "block").cast("int"), F.lit(0))
+    full = full.withColumn("suffix_blocked", (F.col("_blocked") - own) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_n", "_blocked")
     label, weight = F.coalesce((F.col("fits.verdict") == "block").cast("double"), F.lit(0.0)), F.when(F.col("fits").isNull(), weak).otherwise(1.0)
     known = full.withColumns({"label": label, "weight": weight})
     parts = [known.where(F.col("fits.verdict") == v) for v in ("allow", "block")] + [known.where("fits is null")]
@@ -97,5 +99,25 @@ def judge(pages: DataFrame, rules=RULES, sample: int = 10_000, default: str = "a
     return old.union(new)
 
 
+@tidied
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
+
+
+@tidied
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: host, path and rule."""
+    pages = with_parts(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return pages.select("page_id", "host", "path", rule_of(RULES)["rule"].alias("rule"), rule_of(RULES)["verdict"].alias("verdict"))
+
+
+RULES_SQL = r"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
+rules(rule, rule_host, rule_path, verdict) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+fits AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM parts
+  JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT page_id, host, path, rule, verdict FROM parts LEFT JOIN fits USING (page_id)
+"""
