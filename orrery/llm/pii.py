@@ -19,12 +19,12 @@ table gives no rows; other columns are ignored. Only SQL functions run on the ex
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import save, table
+from orrery.llm.common import save, table, tidied
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: In the order in which kinds are listed; possessive, and anchored where a run begins, so that each is found in one walk.
@@ -76,12 +76,14 @@ def located(text: Column, pattern: Column, kind: str) -> Column:
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """Adds base: SPAN of all kinds in the listed order. A text that lacks what a pattern needs isn't searched for it."""
+    """Adds base: SPAN of all kinds in the listed order, and whether the text has what any span needs (_some). A text that
+    lacks what a pattern needs isn't searched for it."""
     none = F.array().cast(SPAN)
+    docs = docs.withColumn("_some", F.col("text").rlike("[0-9@]"))
     for kind, pattern in PATTERNS.items():
-        docs = docs.withColumn(f"_{kind}", F.when(F.col("text").rlike(NEEDS[kind]), located(F.col("text"), F.lit(pattern), kind)).otherwise(none))
+        docs = docs.withColumn(f"_{kind}", F.when(F.col("_some") & F.col("text").rlike(NEEDS[kind]), located(F.col("text"), F.lit(pattern), kind)).otherwise(none))
     kept = [F.filter(f"_{k}", partial(lambda kind, s: valid(kind, s["value"]), k)) for k in PATTERNS]
-    return docs.withColumn("base", F.concat(*kept)).drop(*(f"_{k}" for k in PATTERNS))
+    return docs.withColumn("base", F.when(F.col("_some"), F.concat(*kept)).otherwise(none)).drop(*(f"_{k}" for k in PATTERNS))
 
 
 def bits(value: Column) -> Column:
@@ -94,8 +96,8 @@ def bits(value: Column) -> Column:
 def with_secrets(based: DataFrame) -> DataFrame:
     """Adds secrets: SPAN of runs that carry enough bits and don't meet a base span."""
     fine = lambda s: (bits(s["value"]) >= SECRET_BITS) & ~meets(s, F.col("base"))
-    found = F.when(F.col("text").rlike(NEEDS["secret"]), F.filter(located(F.col("text"), F.lit(SECRET), "secret"), fine))
-    return based.withColumn("secrets", F.coalesce(found, F.array().cast(SPAN)))
+    found = F.when(F.col("_some") & F.col("text").rlike(NEEDS["secret"]), F.filter(located(F.col("text"), F.lit(SECRET), "secret"), fine))
+    return based.withColumn("secrets", F.coalesce(found, F.array().cast(SPAN))).drop("_some")
 
 
 def meets(span: Column, others: Column) -> Column:
@@ -111,14 +113,20 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def with_hits(docs: DataFrame, terms: DataFrame, most: int = 2000) -> DataFrame:
-    """Adds hits: which of the distinct terms each text holds. Up to ``most`` terms go along with the plan; more are joined."""
+def with_hits(docs: DataFrame, terms: DataFrame, most: int = 2000, few: int = 16) -> DataFrame:
+    """Adds hits: which of the distinct terms each text holds. Up to ``most`` terms go along with the plan; more are joined.
+    Where they are ``few`` only texts that have one somewhere are taken apart into words."""
     known = [r[0] for r in terms.limit(most + 1).collect()]
+    none = F.array().cast("array<string>")
     if len(known) <= most:
-        return docs.withColumn("hits", F.array_intersect(terms_of(F.col("text")), F.lit(known)) if known else F.array().cast("array<string>"))
+        held = F.array_intersect(terms_of(F.col("text")), F.lit(known)) if known else none
+        if 0 < len(known) <= few:
+            docs = docs.withColumn("_low", F.lower("text"))
+            held = F.when(reduce(Column.__or__, [F.contains("_low", F.lit(t)) for t in known]), held).otherwise(none)
+        return docs.withColumn("hits", held).drop("_low")
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     hits = rows.select("_row", F.explode(terms_of(F.col("text"))).alias("term")).join(terms, "term").groupBy("_row").agg(F.collect_set("term").alias("hits"))
-    return rows.join(hits, "_row", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>"))).drop("_row")
+    return rows.join(hits, "_row", "left").withColumn("hits", F.coalesce("hits", none)).drop("_row")
 
 
 def disclosing_terms(based: DataFrame, docs: DataFrame, reach: int = 80, support: int = 3, probability: float = 0.5, bits: float = 3.0) -> DataFrame:
@@ -186,8 +194,23 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@tidied
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise(find(table(spark, sf_dir, "documents")))
     of = lambda spans, *kinds: F.size(F.filter(spans, lambda s: s["kind"].isin(*kinds))).cast("long")
     counts = [of("base", k).alias(f"n_{k}") for k in PATTERNS] + [of("extra", "secret").alias("n_secret"), of("extra", "term", "tell").alias("n_term")]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "extra")).alias("spans"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
+
+
+@tidied
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: how many e-mail addresses and phone numbers a text holds."""
+    found = with_base(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")))
+    return found.select("doc_id", *(F.size(F.filter("base", partial(lambda kind, s: s["kind"] == kind, k))).cast("long").alias(f"n_{k}") for k in ("email", "phone")))
+
+
+COUNTS_SQL = r"""
+SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]'), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) AS n_phone
+FROM documents
+"""
