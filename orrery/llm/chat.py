@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import table, tidied
 from orrery.llm.packing import default_files, encoder
 
 BUDGET, HISTORY, AROUND = 2048, 256, 8  # AROUND: tokens of the template for each turn
@@ -178,6 +178,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+@tidied
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")

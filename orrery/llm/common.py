@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +14,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SAVED: list[tuple[SparkSession, str]] = []
+#: The working tables of the operator that runs.
+_SAVED: ContextVar[list[str]] = ContextVar("saved")
 _LOCAL: dict[str, str] = {}
 
+#: Spark's setting by which a query's shuffle files go once it is done, as those of a written table may.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Values by which rolling hashes of words are mixed; odd, so that multiplication loses nothing.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bounded(spark: SparkSession, batch: str = "4m") -> None:
     """Arrow batches between executors and their Python workers hold so many bytes at most, on both sides; by default they
-    are sixteen times as large, whatever the length of texts."""
+    are sixteen times as large, whatever the length of texts. Spark has this setting for a session only."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
 
 
@@ -32,10 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set, as in local tests."""
+    """The shared folder the cluster names; a temporary one only where none is set and all runs on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _LOCAL:
         _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="orrery-")
@@ -46,31 +53,56 @@ def save(df: DataFrame) -> DataFrame:
     """Cut lineage: write to a table in the shared folder and read it again. Lost executors lose none of it."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/orrery/{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
-    _SAVED.append((spark, path))
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "snappy").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before or "false")
+    if (held := _SAVED.get(None)) is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let go of the shuffle files of what has been saved: Spark deletes them once nothing refers to them any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def read_by(df: DataFrame, paths: list[str]) -> set[str]:
+    """Those of the working tables that a DataFrame will read."""
+    names = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    return {p for p in paths if p.rpartition("/")[2] in names}
+
+
+def tidied(f):
+    """An operator that deletes its working tables when it returns, but for those that its result reads. The caller may
+    ``release`` these once it has written the result."""
+
+    @wraps(f)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        mine: list[str] = []
+        around = _SAVED.get(None)
+        token = _SAVED.set(mine)
+        try:
+            out = f(spark, *args, **kwargs)
+        finally:
+            _SAVED.reset(token)
+        needed = read_by(out, mine)
+        delete(spark, [p for p in mine if p not in needed])
+        if around is not None:
+            around.extend(needed)
+        return out
+
+    return run
 
 
-def saved() -> list[tuple[SparkSession, str]]:
-    """The working tables made so far."""
-    return list(_SAVED)
+def release(df: DataFrame) -> None:
+    """Deletes the working tables that a DataFrame reads; for callers that have written it."""
+    folder = work_dir(df.sparkSession).rpartition(":")[2].rstrip("/") + "/orrery/"
+    delete(df.sparkSession, {f.rpartition("/")[0] for f in df.inputFiles() if folder in f})
 
 
-def release(tables: list[tuple[SparkSession, str]]) -> None:
-    """Delete working tables; for callers that have written the results built on them."""
-    for entry in tables:
-        spark, path = entry
-        jvm = spark.sparkContext._jvm
+def delete(spark: SparkSession, paths) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        if entry in _SAVED:
-            _SAVED.remove(entry)
 
 
 def pieces(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):

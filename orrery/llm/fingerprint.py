@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import table, tidied
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FRACTION, WORDS = 1 / 8, 5
@@ -114,11 +114,13 @@ def edited(docs: DataFrame, rows: int = 256) -> DataFrame:
     return with_sketch(df.drop("text", "next_text"), "edited", "edited_sketch")
 
 
+@tidied
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = edited(table(spark, sf_dir, "documents"))
     return df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("sketch").alias("fingerprint"), as_text("edited_sketch").alias("edited_fingerprint"), likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"))
 
 
+@tidied
 def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op6: the edited texts."""
     return edited(table(spark, sf_dir, "documents")).select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import save, small, table
+from orrery.llm.common import save, small, table, tidied
 
 #: An attribute's value is quoted only where the quote follows the equals sign; any other quote is a plain character.
 ATTRIBUTES = r"""(?:=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?|[^=>])*+"""
@@ -511,5 +511,6 @@ def kept(blocks: list, main: dict, known: set[str]) -> list[str]:
     return [text for path, text, _ in blocks if fine(places[path], text)]
 
 
+@tidied
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import as_long, chain, hash_strings, pieces, save, small, table
+from orrery.llm.common import as_long, chain, hash_strings, pieces, save, small, table, tidied
 
 WORDS = 20
 LINES = "doc_id long, same long, lines array<long>, words array<int>, seeds array<long>"
@@ -175,18 +175,34 @@ def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return found.select("doc_id", "same", F.explode("gone").alias("line")).groupBy("doc_id", "same").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
-def cleaned(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents with all their columns, ``text`` without repeated lines, plus ``gone`` (null: none). Where all lines
-    that hold words are gone the text is empty."""
-    gone = small(repeated_lines(docs, words).select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), "gone"))
+def free(name: str, columns: list[str]) -> str:
+    """A column name that isn't taken."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    met = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (same_text("text") == F.col("_same")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i))
+
+def cleaned(docs: DataFrame, words: int = WORDS, mark: str = "gone") -> DataFrame:
+    """The documents with all their columns, ``text`` without repeated lines, plus the places of the lines deleted (null:
+    none), in a column named ``mark`` (with _ behind it where the documents have one of that name). Where all lines that
+    hold words are gone the text is empty."""
+    names = [free(n, docs.columns) for n in (mark, "_id", "_same")]
+    gone = small(repeated_lines(docs.select("doc_id", "text"), words).toDF(names[1], names[2], names[0]))
+    met = docs.join(gone, (F.col("doc_id") == F.col(names[1])) & (same_text("text") == F.col(names[2])), "left").drop(*names[1:])
+    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(names[0], i))
     text = F.array_join(kept, "\n")
-    new = F.when(F.col("gone").isNull(), F.col("text")).when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("")
-    return met.withColumn("_new", new).select(*(F.col("_new").alias(c) if c == "text" else docs[c] for c in docs.columns), "gone")
+    return met.withColumn("text", F.when(F.col(names[0]).isNull(), F.col("text")).when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(""))
+
+
+def clean_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The documents less repeated lines, with their own columns (``n_chars`` counted again); those that had nothing else go."""
+    mark = free("gone", docs.columns)
+    kept = cleaned(docs, words).where(F.col(mark).isNull() | (F.col("text") != ""))
+    return kept.select(*(F.char_length("text").cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, kind in docs.dtypes))
 
 
+@tidied
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return cleaned(docs).select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), F.coalesce(F.size("gone"), F.lit(0)).alias("lines_removed"), "gone")

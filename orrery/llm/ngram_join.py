@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import as_long, components, fmix, hash_strings, pieces, save, settle, shingle_hashes, small, table, words_of
+from orrery.llm.common import as_long, components, fmix, hash_strings, pieces, save, shingle_hashes, small, table, tidied, words_of
 
 PERCENT, WORDS = 75, 5
 BLOCK_SETS, BLOCK_SHINGLES, HUBS = 2048, 4_000_000, 32
@@ -370,7 +370,6 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     if large.isEmpty():
         return first.select("set", "component").distinct()
 
-    settle(sets.sparkSession)
     members = save(sets.select("set", "n", "shingles").join(small(large), "set"))
 
     def across(t: pa.Table) -> pa.Table:
@@ -443,7 +442,6 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, most_common:
     edges, met = meeting(known, words, shingles, k, percent)
     clusters = save(components(edges))
     classes = sets.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
-    settle(docs.sparkSession)
     able = save(clusters.select(F.col("node").alias("set"), F.col("component").alias("cluster")).join(classes, "set").join(met, "set").where(meets_enough(percent)).select("set", "cluster", F.col("least").alias("doc_id")))
     several = able.groupBy("cluster").agg(F.count("*").alias("k")).where("k > 1").select("cluster")
     wanted = small(able.join(several, "cluster").select("set", "cluster", "doc_id"))
@@ -467,10 +465,22 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, most_common:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the least doc_id, with all its columns; rows without an id stay."""
-    gone = linked(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
-
-
+    """Of each component the document with the least doc_id, with all its columns; of rows with one id and text one row;
+    rows without an id stay."""
+    ids = save(linked(docs).select("doc_id", "component_id"))
+    gone = ids.where("component_id <> doc_id").select("doc_id").distinct()
+    left = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    again = ids.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    again = save(again)
+    if again.isEmpty():
+        return left
+    rank = "_rank"
+    while rank in docs.columns:
+        rank += "_"
+    twice = left.join(small(again), "doc_id", "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))).where(F.col(rank) == 1)
+    return left.join(small(again), "doc_id", "left_anti").union(twice.select(docs.columns)).select(docs.columns)
+
+
+@tidied
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))

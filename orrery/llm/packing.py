@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import save, table
+from orrery.llm.common import save, table, tidied
 
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -211,5 +211,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, files:
     return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long").unionByName(full)
 
 
+@tidied
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))

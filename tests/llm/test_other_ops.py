@@ -178,3 +178,27 @@ def test_pipeline(spark):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     rows.update(out[key].itertuples(index=False, name=None))
     assert rows == Counter(again[key].itertuples(index=False, name=None))
+
+
+def test_pipeline_on_hard_rows(spark, tmp_path):
+    """Nulls, empties, repeated rows and clashing columns; two runs before the first is read; an empty table."""
+    import corpus_pipeline as P
+    from orrery.llm import common
+
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(n))
+    text = prose(60)
+    rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (None, prose(30)), (5, prose(9) + "\n" + prose(40)), (6, " \n\t"), (7, "x " * 20000)] + [(10 + k, prose(25)) for k in range(40)] + [(60 + k, "vexil grunk " + prose(12)) for k in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "g", 1, 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, gone string, _id int, item long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/full/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for d in ("full", "none"):
+        spark.createDataFrame([(i, 1, int(i >= 60)) for i, _ in rows if i and i >= 10], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{d}/labels.parquet")
+        spark.createDataFrame([(1, "A question of Tom on 5 apples and the price that he paid for all of them")], "item_id long, text string").write.parquet(f"{tmp_path}/{d}/benchmark.parquet")
+    first, second = P.run(spark, f"{tmp_path}/full"), P.run(spark, f"{tmp_path}/full")
+    of = lambda df: Counter(tuple(x) for x in df.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
+    assert of(first) == of(second)
+    ids = Counter(x.doc_id for x in first.where("piece = 0").collect())
+    assert {None, 1, 3, 4, 5, 6, 7} <= set(ids) and ids[1] == 1 and 2 not in ids and not any(i and i >= 60 for i in ids)
+    common.release(second)
+    assert of(first) and P.run(spark, f"{tmp_path}/none").count() == 0

@@ -124,6 +124,22 @@ def test_a_set_that_many_tasks_sent_counts_once(spark):
     assert (got.n_met0, got.n_met1, got.n_met2) == (4 * (2**21 - 1),) * 3
 
 
+def test_copies_of_a_long_text_in_many_tasks(spark):
+    """Counts of one set's meetings, sent by many tasks, stay right where the text is long and common."""
+    r = random.Random(1)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(9_000))
+    df = spark.range(40).repartition(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 20, F.lit(long + " end")).otherwise(F.lit(long)).alias("text"))
+    rows = ngram_join.linked(df).collect()
+    assert len(rows) == 40 and {x.component_id for x in rows} == {0}
+
+
+def test_one_of_each_of_repeated_rows(spark):
+    text = prose(30)
+    rows = [(1, text, 0)] * 3 + [(2, text, 0), (None, text, 1), (None, text, 1), (4, None, 2), (4, None, 2), (5, "", 3), (6, prose(20), 4), (6, prose(20), 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _rank long").repartition(4)
+    assert Counter(x.doc_id for x in ngram_join.one_of_each(df).collect()) == Counter({1: 1, None: 2, 4: 1, 5: 1, 6: 2})
+
+
 def test_packing(spark, docs, empty):
     got = packing.pack(docs).toPandas()
     encode = packing.encoder(*packing.default_files())
@@ -171,6 +187,12 @@ def test_line_dedup(spark, empty):
     assert got[3] == "" and got[2] == f"{c}\n{short}" and a not in got[7] and got[11] == "" and got[12] == "more words"
     assert a not in got[9] and got[9]
     assert line_dedup.cleaned(empty).count() == 0
+    names = ("gone", "gone_", "_new", "_id", "_same", "same", "lines", "owner", "_rank")
+    clashing = df.select("doc_id", "text", *(F.lit(7).alias(c) for c in names))
+    again = line_dedup.cleaned(clashing)
+    assert again.columns == ["doc_id", "text", *names, "gone__"] and {r.doc_id: r.text for r in again.collect()} == got
+    kept = line_dedup.clean_documents(clashing)
+    assert kept.columns == clashing.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in df.collect()} - {3, 11}
 
 
 def test_patience_alignment():
@@ -226,6 +248,72 @@ def test_decontamination_of_items_without_literal_windows(spark, most_sent):
     assert {(r.doc_id, r.item_id, r.share) for r in decontaminate.contaminated(df, bench, most_sent=most_sent).collect()} == {(1, 1, 1.0)}
 
 
+def decontaminated_by_force(docs, items, share=0.6, size=8, literal=5, gap=8):
+    """All pairs of documents and items, by loops over their template words."""
+    import pyarrow as pa
+
+    def words(text):
+        shape, value, plain, _ = decontaminate.templates(pa.array([text]))
+        return shape.tolist(), [0 if p else v for v, p in zip(value.tolist(), plain.tolist(), strict=True)]
+
+    out = set()
+    for d, text in docs:
+        its, its_slots = words(text)
+        for i, item in items:
+            mine, slots = words(item)
+            n = len(mine)
+            width = min(size, n)
+            if not n:
+                continue
+            rich = [p for p in range(n - width + 1) if sum(s == 0 for s in slots[p : p + width]) >= literal] or list(range(n - width + 1))
+            of = lambda g, q, p: mine[p : p + width] == its[q : q + width]
+            lines = sorted({q - p for p in rich for q in range(len(its) - width + 1) if of(0, q, p)})
+            runs = [[g] for g in lines]
+            for g in lines:
+                if runs and len(runs) > len(lines) and g - runs[-1][-1] <= gap:
+                    runs[-1].append(g)
+                else:
+                    runs.append([g])
+            for run in runs:
+                same = {g: [p for p in range(n - width + 1) if 0 <= p + g <= len(its) - width and of(0, p + g, p)] for g in run}
+                pairs = {}
+                for g in sorted(run, key=lambda g: (-len(same[g]), g)):
+                    for k in sorted({p + j for p in same[g] for j in range(width)} - set(pairs)):
+                        pairs[k] = (slots[k], its_slots[k + g])
+                used = {p for p in pairs.values() if p[0]}
+                changed = any(a != b for a, b in pairs.values())
+                agree = len({a for a, _ in used}) == len({b for _, b in used}) == len(used)
+                said = n >= size or not changed or any(s == 0 for s in slots) or len(its) == n
+                if len(pairs) >= share * n and agree and said:
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("most_sent", [2_000_000, 0])
+def test_decontamination_by_force(spark, most_sent):
+    r = random.Random(21)
+    names, units = ["Tom", "Anna", "Berlin", "Quito"], ["kg", "km", "hours", ""]
+    word = lambda: r.choice([r.choice(VOCAB), r.choice(VOCAB), r.choice(VOCAB), r.choice(names), f"{r.randint(1, 99)} {r.choice(units)}"])
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([2, 4, 6, 8, 9, 12, 15, 18, 20, 25, 30, 40])]
+    rows = []
+    for k, text in items:
+        for how in ("copy", "numbers", "inserted", "left out", "half"):
+            w = text.split()
+            if how == "numbers":
+                w = [str(1000 + int(x)) if x.isdigit() else x for x in w]
+            if how == "inserted":
+                w[len(w) // 2 : len(w) // 2] = ["newly", "added"]
+            if how == "left out":
+                del w[len(w) // 3 : len(w) // 3 + 1]
+            if how == "half":
+                w = w[: len(w) // 2]
+            rows.append((len(rows), f"{prose(20, r)}. {' '.join(w)} {prose(9, r)}"))
+    rows += [(500 + k, prose(60, r)) for k in range(20)] + [(600, ""), (601, " ".join(t for _, t in items))]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), most_sent=most_sent).collect()}
+    assert got == decontaminated_by_force(rows, items)
+    assert all((k * 5 + j, k) in got for k, text in items for j in (0, 1)) and all((k * 5 + 2, k) in got for k in (9, 10, 11))
+
+
 def test_fingerprints(spark, docs, empty):
     rows = sorted([(i, t or "") for i, t, *_ in corpus()], key=lambda r: -r[0])
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"])
@@ -398,6 +486,28 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score(empty, model).count() == 0
     none = toxicity.train(df, labels.where("toxic = 0"))
     assert toxicity.score(df, none).where("is_toxic").count() == 0
+    for texts in (df.withColumn("text", F.lit("")), df.withColumn("text", F.lit(None).cast("string")), df.where("doc_id > 9999"), df.where("doc_id % 6 <> 0")):
+        model = toxicity.train(texts, labels)
+        assert {x.grade for x in toxicity.score(df, model).collect()} == {0} and toxicity.clean_documents(df, labels.limit(0)).count() == df.count()
+
+
+def test_toxicity_grades_held_out(spark):
+    r = random.Random(14)
+    words = {1: ["dumb", "silly"], 2: ["vexil", "grunk"], 3: ["plegh", "morbo"]}
+    rows = []
+    for i in range(1200):
+        grade = r.choice([0, 0, 0, 1, 2, 3])
+        own = prose(r.randint(5, 60), r).split() + ([r.choice(words[grade]) for _ in range(3)] if grade else [])
+        r.shuffle(own)
+        rows.append((i, " ".join(own), grade))
+    df = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows if i % 2], "doc_id long, severity int")
+    model = toxicity.train(df, labels)
+    got = {x.doc_id: x for x in toxicity.score(df, model).collect()}
+    held_out = [(g, got[i]) for i, _, g in rows if not i % 2]
+    assert len(model["thresholds"]) == 3 and sum(g == x.grade for g, x in held_out) >= 0.95 * len(held_out)
+    means = [np.mean([x.expected_severity for g, x in held_out if g == k]) for k in range(4)]
+    assert means == sorted(means)
 
 
 def test_heaviest_run():
