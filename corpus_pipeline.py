@@ -2,8 +2,9 @@
 
 Every stage works on all rows that the stage before it kept, which are written and read again in between; all but the
 last return the columns of ``documents``. Documents found toxic go; repeated lines go, and with them documents that have
-nothing else; of each group of near duplicates the document with the least id stays; documents that hold a benchmark item
-go; what is left is packed.
+nothing else; of each group of near duplicates the document with the least id stays, and of rows with one id and text one
+row; documents that hold a benchmark item go; what is left is packed. Null and empty texts pass all stages and pack as one
+end mark each; an empty table gives no rows; other columns go along up to the last stage.
 """
 
 from __future__ import annotations
@@ -15,20 +16,15 @@ from pyspark.sql import functions as F
 
 from orrery.llm import common, decontaminate, line_dedup, ngram_join, packing, toxicity
 
-_made: list = []
 
 
 def stage(f):
-    """A stage that first deletes the working tables of the one before, whose rows have been written by then."""
+    """A stage that leaves no more working tables than its result reads."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.bounded(spark)
-        common.release(_made)
-        before = common.saved()
-        out = f(spark, docs, sf_dir)
-        _made[:] = [x for x in common.saved() if x not in before]
-        return out
+        return common.tidied(f)(spark, docs, sf_dir)
 
     return run_stage
 
@@ -40,8 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.cleaned(docs).where("gone is null or text <> ''")
-    return kept.select(*(F.char_length("text").cast(kind).alias(c) if c == "n_chars" else F.col(c) for c, kind in docs.dtypes))
+    return line_dedup.clean_documents(docs)
 
 
 @stage
@@ -72,7 +67,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The packed documents. Each run has its own tables; those of a stage go when the next stage's rows are written."""
+    docs, held = common.table(spark, sf_dir, "documents"), None
     for _, f in STAGES[:-1]:
-        docs = common.save(f(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        found = f(spark, docs, sf_dir)
+        docs = common.save(found)
+        common.release(found)
+        held = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    if held is not None and not common.read_by(out, [x.rpartition("/")[0] for x in held.inputFiles()]):
+        common.release(held)
+    return out
