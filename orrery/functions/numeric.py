@@ -24,6 +24,19 @@ def defined(x, null=None) -> Column:
     return out if null is None else F.when(x != F.lit(null), out)
 
 
+def plus(a, b) -> Column:
+    """Sum; NULL where it overflows. So are minus and times."""
+    return F.try_add(_c(a), _c(b))
+
+
+def minus(a, b) -> Column:
+    return F.try_subtract(_c(a), _c(b))
+
+
+def times(a, b) -> Column:
+    return F.try_multiply(_c(a), _c(b))
+
+
 def int_div(a, b) -> Column:
     """Division of whole numbers, cut toward zero."""
     a, b = _c(a).cast("long"), _c(b).cast("long")

@@ -28,21 +28,35 @@ def column_diff(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ()) -> Dat
     return spark.createDataFrame(rows, "name string, only_in string, type_a string, type_b string")
 
 
-def table_diff(a: DataFrame, b: DataFrame, key: str = "_row", tolerance: float = 0.0, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """(key, column_name, value_a, value_b) of every cell that differs, rows paired by the key."""
+def _paired(a: DataFrame, b: DataFrame, key: str, ignore: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """Rows of both by the key, with only_in (a, b, or null where both have it), and the fields that both have."""
     common = [f for f in a.schema.fields if f.name in b.columns and f.name != key and f.name not in ignore]
-    both = a.select(key, *(F.col(f.name).alias(f"a_{f.name}") for f in common)).join(b.select(key, *(F.col(f.name).alias(f"b_{f.name}") for f in common)), key)
-    cells = [F.when(differ(F.col(f"a_{f.name}"), F.col(f"b_{f.name}"), f.dataType, tolerance), F.struct(F.lit(f.name).alias("column_name"), F.col(f"a_{f.name}").cast("string").alias("value_a"), F.col(f"b_{f.name}").cast("string").alias("value_b"))) for f in common]
-    return both.select(key, F.explode(F.array_compact(F.array(*cells))).alias("d")).select(key, "d.*")
+    side = lambda d, s: d.select(F.col(key).alias(f"_{s}_key"), F.lit(True).alias(f"_in_{s}"), *(F.col(f.name).alias(f"{s}_{f.name}") for f in common))
+    both = side(a, "a").join(side(b, "b"), F.col("_a_key").eqNullSafe(F.col("_b_key")), "full")
+    only = F.when(F.col("_in_b").isNull(), "a").when(F.col("_in_a").isNull(), "b")
+    return both.withColumns({key: F.coalesce("_a_key", "_b_key"), "only_in": only}), common
+
+
+def table_diff(a: DataFrame, b: DataFrame, key: str = "_row", tolerance: float = 0.0, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(key, column_name, value_a, value_b, only_in) of every cell that differs, rows paired by the key (NULL keys with each
+    other). A row that only one table has is one row, with ``only_in`` a or b and no column name."""
+    both, common = _paired(a, b, key, ignore)
+    text = lambda c: F.col(c).cast("string")
+    cell = lambda name, x, y: F.struct(name.cast("string").alias("column_name"), x.cast("string").alias("value_a"), y.cast("string").alias("value_b"))
+    cells = [F.when(differ(F.col(f"a_{f.name}"), F.col(f"b_{f.name}"), f.dataType, tolerance), cell(F.lit(f.name), text(f"a_{f.name}"), text(f"b_{f.name}"))) for f in common]
+    none = F.lit(None)
+    found = F.when(F.col("only_in").isNotNull(), F.array(cell(none, none, none))).otherwise(F.array_compact(F.array(*cells)) if cells else F.array().cast("array<struct<column_name:string,value_a:string,value_b:string>>"))
+    return both.select(key, F.explode(found).alias("d"), "only_in").select(key, "d.*", "only_in")
 
 
 def diff_summary(a: DataFrame, b: DataFrame, key: str = "_row", tolerance: float = 0.0, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """One row: differing cells and rows, and the share of all cells that differ."""
-    common = [f for f in a.schema.fields if f.name in b.columns and f.name != key and f.name not in ignore]
-    both = a.select(key, *(F.col(f.name).alias(f"a_{f.name}") for f in common)).join(b.select(key, *(F.col(f.name).alias(f"b_{f.name}") for f in common)), key)
-    n = reduce(lambda x, y: x + y, (differ(F.col(f"a_{f.name}"), F.col(f"b_{f.name}"), f.dataType, tolerance).cast("long") for f in common))
-    rows = both.select(n.alias("n"))
-    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells_differ"), F.count_if(F.col("n") > 0).alias("rows_differ"), F.coalesce(F.try_divide(F.sum("n").cast("double"), F.count("*") * len(common)), F.lit(0.0)).alias("ratio"))
+    """One row: cells and rows that differ, rows that only one table has, and the share of all cells of rows that both have
+    that differ."""
+    both, common = _paired(a, b, key, ignore)
+    n = reduce(lambda x, y: x + y, (differ(F.col(f"a_{f.name}"), F.col(f"b_{f.name}"), f.dataType, tolerance).cast("long") for f in common), F.lit(0).cast("long"))
+    rows = both.select(F.when(F.col("only_in").isNull(), n).alias("n"), "only_in")
+    total = F.count("n") * len(common)
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells_differ"), F.count_if(F.col("n") > 0).alias("rows_differ"), F.count_if(F.col("only_in") == "a").alias("rows_only_a"), F.count_if(F.col("only_in") == "b").alias("rows_only_b"), F.coalesce(F.try_divide(F.sum("n").cast("double"), total), F.lit(0.0)).alias("ratio"))
 
 
 def header_diff(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = (), ignore_comments: bool = False) -> DataFrame:

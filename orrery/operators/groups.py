@@ -74,8 +74,9 @@ def carry_forward(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:
 
 
 def housekeeping(df: DataFrame, time: str, parameter: str, value: str, parameters: list[str]) -> DataFrame:
-    """A row a time with a column a parameter; one that isn't reported at a time keeps its last value."""
-    wide = df.groupBy(time).pivot(parameter, parameters).agg(F.last(value))
+    """A row a time with a column a parameter; one that isn't reported at a time keeps its last value. Of several values of a
+    parameter at one time the greatest counts."""
+    wide = df.groupBy(time).pivot(parameter, parameters).agg(F.max(value))
     return carry_forward(wide, parameters, time)
 
 

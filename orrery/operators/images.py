@@ -19,6 +19,21 @@ def pixels_of_cell(df: DataFrame, column: str, shape: tuple[int, ...], *keys: st
     return flat.select(*keys, *places, "value")
 
 
+def to_tiles(pixels: DataFrame, width: int, height: int, *keys: str) -> DataFrame:
+    """Pixels (i1, i2 from 1, value) of the images told apart by ``keys`` -> (keys, t1, t2, values): a row a tile, its pixels
+    row after row, NULL where the tile has a gap. Stored as Parquet, tiles are compressed by its codecs."""
+    tile = [F.expr(f"(i1 - 1) div {width}").cast("int").alias("t1"), F.expr(f"(i2 - 1) div {height}").cast("int").alias("t2")]
+    at = F.expr(f"(i2 - 1) % {height} * {width} + (i1 - 1) % {width}").cast("int")
+    held = pixels.groupBy(*keys, *tile).agg(F.map_from_entries(F.collect_list(F.struct(at, "value"))).alias("_m"))
+    return held.select(*keys, "t1", "t2", F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.try_element_at("_m", i)).alias("values"))
+
+
+def of_tiles(tiles: DataFrame, width: int, height: int, *keys: str) -> DataFrame:
+    """The pixels of tiles; gaps are left out."""
+    flat = tiles.select(*keys, "t1", "t2", F.posexplode("values").alias("_at", "value")).where("value is not null")
+    return flat.select(*keys, F.expr(f"t1 * {width} + _at % {width} + 1").cast("int").alias("i1"), F.expr(f"t2 * {height} + _at div {width} + 1").cast("int").alias("i2"), "value")
+
+
 def parse_section(text: str, shape: tuple[int, ...]) -> list[tuple[int, int, int]]:
     """"2:20:3,*,-*" -> (first, last, step) of each axis, from 1, both ends included; first over last flips."""
     parts = [p.strip() for p in text.split(",")]

@@ -1,35 +1,58 @@
-"""Times in good intervals: a range join on buckets of time.
+"""Times in good intervals: a range join on dyadic buckets of time.
 
-Every interval is listed under the buckets it touches, every time falls in one bucket, so rows meet by an equi-join that
-shuffles or broadcasts as their sizes ask; both ends of an interval belong to it.
+An interval is listed on one level, whose buckets are as wide as it is long or up to twice that, so under two buckets at most,
+however long it is. A time falls in one bucket of each level that holds intervals; levels go by powers of two, so there
+are few of them. Rows meet by an equi-join on level and bucket that shuffles or broadcasts as their sizes ask; both ends of an
+interval belong to it. Intervals that end before they start, or lack an end, hold nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def _bucketed(intervals: DataFrame, start: str, stop: str, width: float | None) -> tuple[DataFrame, float]:
-    if width is None:  # about one interval a bucket
-        lo, hi, n = intervals.agg(F.min(F.col(start).cast("double")), F.max(F.col(stop).cast("double")), F.count("*")).first()
-        width = max((hi - lo) / max(1, n), 1e-9) if n else 1.0
-    first, last = (F.floor(F.col(c).cast("double") / width).cast("long") for c in (start, stop))
-    return intervals.where(F.col(start) <= F.col(stop)).withColumn("_bucket", F.explode(F.sequence(first, last))), width
-
-
-def in_intervals(df: DataFrame, time: str, intervals: DataFrame, start: str = "start", stop: str = "stop", shift: float = 0.0, keep: bool = True, width: float | None = None) -> DataFrame:
-    """Rows whose time (plus ``shift``) lies in some interval; ``keep`` False: in none."""
-    listed, width = _bucketed(intervals.select(F.col(start).alias("_start"), F.col(stop).alias("_stop")), "_start", "_stop", width)
-    at = F.col(time).cast("double") + shift
-    rows = df.withColumn("_b", F.floor(at / width).cast("long"))
-    inside = (F.col("_b") == F.col("_bucket")) & (at >= F.col("_start").cast("double")) & (at <= F.col("_stop").cast("double"))
-    return rows.join(listed, inside, "left_semi" if keep else "left_anti").drop("_b")
+import math
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def with_interval(df: DataFrame, time: str, intervals: DataFrame, start: str = "start", stop: str = "stop", width: float | None = None) -> DataFrame:
+LEVELS = 40
+
+
+def _listed(intervals: DataFrame, start: str, stop: str) -> tuple[DataFrame, Column | None]:
+    """The intervals with _level and _bucket, and what a time (_at) falls in: an array of such pairs."""
+    a, b = (F.col(c).cast("double") for c in (start, stop))
+    fine = intervals.where(a <= b)
+    length = b - a
+    lo, hi, least = fine.agg(F.min(a), F.max(b), F.min(F.when(length > 0, length))).first()
+    if lo is None:
+        return fine.withColumns({"_level": F.lit(0), "_bucket": F.lit(0).cast("long")}), None
+    unit = 2.0 ** math.ceil(math.log2(max(least or 0.0, (hi - lo) * 2.0**-LEVELS, max(abs(lo), abs(hi)) * 2.0**-52, 1e-300)))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(unit)) / unit))).cast("int")
+    width = F.pow(F.lit(2.0), F.col("_level")) * unit
+    placed = fine.withColumn("_level", level)
+    levels = sorted(r[0] for r in placed.select("_level").distinct().collect())  # a few dozen at most
+    listed = placed.withColumn("_bucket", F.explode(F.sequence(F.floor(a / width).cast("long"), F.floor(b / width).cast("long"))))
+    falls = F.array(*(F.struct(F.lit(n).alias("level"), F.floor(F.col("_at") / (2.0**n * unit)).cast("long").alias("bucket")) for n in levels))
+    return listed, F.when(F.col("_at").between(lo, hi), falls)
+
+
+def in_intervals(df: DataFrame, time: str, intervals: DataFrame, start: str = "start", stop: str = "stop", shift: float = 0.0, keep: bool = True) -> DataFrame:
+    """Rows whose time (plus ``shift``) lies in some interval; ``keep`` False: in none. Distinct times are matched, then
+    rows kept by their time."""
+    listed, falls = _listed(intervals.select(F.col(start).alias("_start"), F.col(stop).alias("_stop")), "_start", "_stop")
+    if falls is None:
+        return df.limit(0) if keep else df
+    rows = df.withColumn("_at", F.col(time).cast("double") + shift)
+    times = rows.select("_at").distinct().select("_at", F.explode(falls).alias("_p")).select("_at", "_p.level", "_p.bucket")
+    inside = (F.col("level") == F.col("_level")) & (F.col("bucket") == F.col("_bucket")) & F.col("_at").between(F.col("_start").cast("double"), F.col("_stop").cast("double"))
+    held = times.join(listed, inside, "left_semi").select("_at").distinct()
+    return rows.join(held, "_at", "left_semi" if keep else "left_anti").select(*df.columns)
+
+
+def with_interval(df: DataFrame, time: str, intervals: DataFrame, start: str = "start", stop: str = "stop") -> DataFrame:
     """A row for each pair of a row and an interval that holds its time."""
-    listed, width = _bucketed(intervals, start, stop, width)
-    at = F.col(time).cast("double")
-    rows = df.withColumn("_b", F.floor(at / width).cast("long"))
-    return rows.join(listed, (F.col("_b") == F.col("_bucket")) & (at >= F.col(start).cast("double")) & (at <= F.col(stop).cast("double"))).drop("_b", "_bucket")
+    listed, falls = _listed(intervals, start, stop)
+    rows = df.withColumn("_at", F.col(time).cast("double"))
+    if falls is None:
+        return rows.join(listed, F.lit(False)).drop("_at", "_level", "_bucket")
+    dealt = rows.withColumn("_p", F.explode(falls))
+    inside = (F.col("_p.level") == F.col("_level")) & (F.col("_p.bucket") == F.col("_bucket")) & F.col("_at").between(F.col(start).cast("double"), F.col(stop).cast("double"))
+    return dealt.join(listed, inside).drop("_at", "_p", "_level", "_bucket")

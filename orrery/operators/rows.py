@@ -30,11 +30,21 @@ def with_row(df: DataFrame, *keys: str) -> DataFrame:
     return ranged.withColumn("_row", local.cast("long")).join(F.broadcast(before), "_range").withColumn("_row", F.col("_row") + F.col("_before")).drop("_range", "_before")
 
 
-def offset(df: DataFrame, column: str, by: int, name: str, missing=None) -> DataFrame:
-    """Adds the value of the row ``by`` rows on (back if negative); beyond the table's ends ``missing``."""
-    other = df.select((F.col("_row") - by).alias("_row"), F.col(column).alias("_v"), F.lit(True).alias("_there"))
-    value = F.when(F.col("_there"), F.col("_v")).otherwise(F.lit(missing))
-    return df.join(other, "_row", "left").withColumn(name, value).drop("_v", "_there")
+def offset(df: DataFrame, column: str, by: int, name: str, missing=None, block: int = 65536, most: int = 1_000_000) -> DataFrame:
+    """Adds the value of the row ``by`` rows on (back if negative); beyond the table's ends, or where no such row is,
+    ``missing``. Rows meet in blocks of consecutive numbers: a block holds copies of the rows beyond its end that it asks
+    for, so the table is shuffled once. Offsets beyond ``most`` rows meet by a join."""
+    if abs(by) > most:
+        other = df.select((F.col("_row") - by).alias("_row"), F.col(column).alias("_v"), F.lit(True).alias("_there"))
+        return df.join(other, "_row", "left").withColumn(name, F.when(F.col("_there"), F.col("_v")).otherwise(F.lit(missing))).drop("_v", "_there")
+    size = max(block, 8 * abs(by))
+    of = lambda row: F.floor((row - 1) / F.lit(size)).cast("long")
+    mine = df.withColumns({"_block": of(F.col("_row")), "_copy": F.lit(False)})
+    asked = df.withColumns({"_block": of(F.col("_row") - by), "_copy": F.lit(True)}).where(F.col("_block") != of(F.col("_row")))
+    beside = Window.partitionBy("_block").orderBy("_row").rangeBetween(by, by)
+    there = F.count(F.lit(1)).over(beside) > 0
+    found = mine.union(asked).withColumn(name, F.when(there, F.first(column).over(beside)).otherwise(F.lit(missing)))
+    return found.where(~F.col("_copy")).drop("_block", "_copy")
 
 
 def accumulate(df: DataFrame, column: str, name: str, keys: tuple[str, ...] = ("_row",)) -> DataFrame:

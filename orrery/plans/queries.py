@@ -22,7 +22,7 @@ from orrery.operators import images as P
 from orrery.operators import intervals as I
 from orrery.operators import rows as W
 from orrery.plans.tables import table, work_dir
-from orrery.sources import fits, text, tiles
+from orrery.sources import fits, text
 from orrery.streaming.append import QuotaWriter, filtered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,6 +332,22 @@ def interval_join(spark, d):
     return I.with_interval(e.select("event_id", "t"), "t", g).select("event_id", "gid")
 
 
+@query("""SELECT e.event_id, count(*) AS n_intervals, min(g.gid) AS first_gid FROM events e JOIN (SELECT event_id AS gid, epoch(ts) AS a, epoch(ts) + CASE WHEN event_id % 7 = 0 THEN 10000000 WHEN event_id % 7 = 1 THEN 0 ELSE event_id % 500 END AS b FROM events WHERE event_type = 'purchase') g ON epoch(e.ts) BETWEEN g.a AND g.b GROUP BY 1""")
+def interval_join_long(spark, d):
+    """Intervals of very different lengths; each is listed in two buckets at most."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    length = F.when(F.col("event_id") % 7 == 0, 10_000_000).when(F.col("event_id") % 7 == 1, 0).otherwise(F.col("event_id") % 500)
+    g = e.where("event_type = 'purchase'").select(F.col("event_id").alias("gid"), F.col("t").alias("start"), (F.col("t") + length).alias("stop"))
+    return I.with_interval(e.select("event_id", "t"), "t", g).groupBy("event_id").agg(F.count("*").alias("n_intervals"), F.min("gid").alias("first_gid"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey + 5 END AS total, o_orderkey - 7 AS less, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderkey * 3 END AS product FROM orders""")
+def overflow_is_null(spark, d):
+    top, k = 2**63 - 1, F.col("o_orderkey")
+    big = lambda cond: F.when(cond, F.lit(top))
+    return table(spark, d, "orders").select("o_orderkey", N.plus(k, big(k % 3 == 0).otherwise(5)).alias("total"), N.minus(k, F.lit(7)).alias("less"), N.times(k, big(k % 2 == 0).otherwise(3)).alias("product"))
+
+
 @query("""SELECT a._row, coalesce(n_name, '') AS n_name, coalesce(n_nationkey, 0)::INT AS n_nationkey, coalesce(r_name, '') AS r_name, coalesce(r_regionkey, 0)::INT AS r_regionkey FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS _row FROM nation) a FULL JOIN (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS _row FROM region) b ON a._row = b._row""")
 def zip_merge(spark, d):
     a = W.with_row(table(spark, d, "nation").select("n_name", "n_nationkey"), "n_nationkey")
@@ -373,21 +389,51 @@ def members_of(spark, d):
 # --- reports
 
 
-@query("""SELECT p_partkey, 'p_retailprice' AS column_name, a AS value_a, b AS value_b FROM (SELECT p_partkey, p_retailprice AS a, CASE WHEN p_partkey % 97 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS b FROM part) WHERE a <> b
-UNION ALL SELECT p_partkey, 'p_size', p_size, p_size + 2 FROM part WHERE p_partkey % 89 = 0""")
+@query("""SELECT p_partkey, 'p_retailprice' AS column_name, a AS value_a, b AS value_b, NULL::VARCHAR AS only_in FROM (SELECT p_partkey, p_retailprice AS a, CASE WHEN p_partkey % 97 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS b FROM part) WHERE a <> b
+UNION ALL SELECT p_partkey, 'p_size', p_size, p_size + 2, NULL FROM part WHERE p_partkey % 89 = 0""")
 def table_diff(spark, d):
     p = table(spark, d, "part")
     q = p.withColumns({"p_retailprice": F.when(F.col("p_partkey") % 97 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice")), "p_size": F.when(F.col("p_partkey") % 89 == 0, F.col("p_size") + 2).otherwise(F.col("p_size"))})
     return D.table_diff(p, q, "p_partkey").withColumns({c: F.col(c).cast("double") for c in ("value_a", "value_b")})
 
 
-@query("""SELECT sum(n)::BIGINT AS cells_differ, count(*) FILTER (n > 0) AS rows_differ, round(sum(n) / (count(*) * 4.0), 8) AS ratio FROM (SELECT (abs(s_acctbal - (s_acctbal + s_suppkey % 7)) > abs(s_acctbal + s_suppkey % 7) * 0.001)::INT AS n FROM supplier)""")
+@query("""SELECT sum(n)::BIGINT AS cells_differ, count(*) FILTER (n > 0) AS rows_differ, 0::BIGINT AS rows_only_a, 0::BIGINT AS rows_only_b, round(sum(n) / (count(*) * 4.0), 8) AS ratio FROM (SELECT (abs(s_acctbal - (s_acctbal + s_suppkey % 7)) > abs(s_acctbal + s_suppkey % 7) * 0.001)::INT AS n FROM supplier)""")
 def diff_summary(spark, d):
     s = table(spark, d, "supplier")
     t = s.withColumn("s_acctbal", F.col("s_acctbal") + F.col("s_suppkey") % 7).withColumn("extra", F.lit(1))
     return D.diff_summary(s.withColumn("extra", F.lit(1)), t, "s_suppkey", tolerance=0.001).withColumn("ratio", F.round("ratio", 8))
 
 
+@query("""SELECT coalesce(p.s_suppkey, q.s_suppkey) AS s_suppkey, CASE WHEN p.s_suppkey IS NOT NULL AND q.s_suppkey IS NOT NULL THEN 's_name' END AS column_name,
+CASE WHEN p.s_suppkey IS NOT NULL AND q.s_suppkey IS NOT NULL THEN p.s_name END AS value_a, CASE WHEN p.s_suppkey IS NOT NULL AND q.s_suppkey IS NOT NULL THEN q.s_name END AS value_b,
+CASE WHEN q.s_suppkey IS NULL THEN 'a' WHEN p.s_suppkey IS NULL THEN 'b' END AS only_in
+FROM (SELECT * FROM supplier WHERE s_suppkey % 10 <> 3) p FULL JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 1 THEN s_name || '!' ELSE s_name END AS s_name FROM supplier WHERE s_suppkey % 10 <> 7) q ON p.s_suppkey = q.s_suppkey
+WHERE p.s_name IS DISTINCT FROM q.s_name""")
+def table_diff_rows(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    other = s.where("s_suppkey % 10 <> 7").withColumn("s_name", F.when(F.col("s_suppkey") % 4 == 1, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")))
+    return D.table_diff(s.where("s_suppkey % 10 <> 3"), other, "s_suppkey")
+
+
+@query("""WITH a AS (SELECT upper(p_type) AS keyword, (row_number() OVER (PARTITION BY upper(p_type) ORDER BY p_partkey) - 1)::INT AS n, p_name AS value, p_brand AS comment FROM part WHERE p_partkey % 11 <> 0),
+b AS (SELECT upper(p_type) AS keyword, (row_number() OVER (PARTITION BY upper(p_type) ORDER BY p_partkey) - 1)::INT AS n, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE p_name END AS value, p_brand AS comment FROM part)
+SELECT keyword, n, a.value AS value_a, b.value AS value_b, a.comment AS comment_a, b.comment AS comment_b, CASE WHEN a.n IS NULL THEN 'only in b' WHEN b.n IS NULL THEN 'only in a' WHEN a.value <> b.value THEN 'value' ELSE 'comment' END AS kind
+FROM a FULL JOIN b USING (keyword, n) WHERE a.n IS NULL OR b.n IS NULL OR a.value <> b.value OR a.comment <> b.comment""")
+def header_diff(spark, d):
+    cards = table(spark, d, "part").select(F.lit(0).alias("hdu"), F.col("p_partkey").alias("place"), F.col("p_type").alias("keyword"), F.lit(0).alias("n"), F.col("p_name").alias("value"), F.col("p_brand").alias("comment"))
+    changed = cards.withColumn("value", F.when(F.col("place") % 5 == 0, "x").otherwise(F.col("value")))
+    return D.header_diff(A.numbered(cards.where("place % 11 <> 0")), A.numbered(changed))
+
+
+@query("""WITH a AS (SELECT vec_id AS x, i AS y, v[i] AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) r(i) WHERE i <> 9),
+b AS (SELECT vec_id AS x, i AS y, CASE WHEN (vec_id + i) % 50 = 0 THEN v[i] + 1 ELSE v[i] END AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) r(i))
+SELECT x, y::INT AS y, a.value AS value_a, b.value AS value_b FROM a FULL JOIN b USING (x, y) WHERE a.value IS DISTINCT FROM b.value""")
+def image_diff(spark, d):
+    pixels = table(spark, d, "embeddings").select(F.col("vec_id").alias("x"), F.posexplode("embedding").alias("y", "value")).select("x", (F.col("y") + 1).alias("y"), F.col("value").cast("double").alias("value"))
+    other = pixels.withColumn("value", F.when((F.col("x") + F.col("y")) % 50 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    return D.image_diff(pixels.where("y <> 9"), other)
+
+
 @query("""SELECT CASE WHEN s = 0 THEN 0 WHEN s % 4294967295 = 0 THEN 4294967295 ELSE s % 4294967295 END::BIGINT AS datasum FROM (SELECT sum((l_partkey * 1000003) % 4294967296)::HUGEINT AS s FROM lineitem)""")
 def folded_checksum(spark, d):
     return table(spark, d, "lineitem").agg(G.folded_sum((F.col("l_partkey") * 1000003) % 4294967296).alias("datasum"))
@@ -425,6 +471,14 @@ def random_numbers(spark, d):
     return table(spark, d, "region").select("r_regionkey", N.uniform(1).alias("u"), N.normal(2).alias("n"), N.poisson(F.lit(4.0), 3).alias("p"))
 
 
+@query("""SELECT count(*) AS n, true AS within, true AS mean_u, true AS mean_n, true AS spread_n, true AS mean_p FROM lineitem""")
+def random_number_bounds(spark, d):
+    """Random numbers by what holds of any: their range, means and spread."""
+    r = table(spark, d, "lineitem").select(N.uniform(1).alias("u"), N.normal(2).alias("n"), N.poisson(F.lit(4.0), 3).alias("p"))
+    near = lambda c, x, by: F.abs(c - x) < by
+    return r.agg(F.count("*").alias("n"), F.bool_and((F.col("u") >= 0) & (F.col("u") < 1) & (F.col("p") >= 0)).alias("within"), near(F.avg("u"), 0.5, 0.02).alias("mean_u"), near(F.avg("n"), 0.0, 0.05).alias("mean_n"), near(F.stddev("n"), 1.0, 0.05).alias("spread_n"), near(F.avg("p"), 4.0, 0.1).alias("mean_p"))
+
+
 # --- images and headers
 
 
@@ -482,9 +536,11 @@ def text_round_trip(spark, d):
 
 @query("SELECT vec_id AS tile, list_sum(list_transform(embedding::DOUBLE[], lambda x: trunc(x * 1000)))::BIGINT AS total FROM embeddings")
 def tile_round_trip(spark, d):
-    arrays = table(spark, d, "embeddings").select(F.col("vec_id").alias("tile"), F.transform("embedding", lambda x: (x.cast("double") * 1000).cast("int")).alias("values"))
-    back = tiles.decompress(tiles.compress(arrays, "GZIP_2"))
-    return back.select("tile", V.vec_sum("values", "long").alias("total"))
+    """Vectors as images of 8 x 8 pixels, cut into tiles, stored compressed, and put together again."""
+    whole = table(spark, d, "embeddings").select(F.col("vec_id").alias("tile"), F.transform("embedding", lambda x: (x.cast("double") * 1000).cast("int")).alias("v"))
+    path = f"{work_dir(spark)}/orrery/{uuid.uuid4().hex}"
+    P.to_tiles(P.pixels_of_cell(whole, "v", (8, 8), "tile"), 4, 4, "tile").write.option("compression", "gzip").parquet(path)
+    return P.of_tiles(spark.read.parquet(path), 4, 4, "tile").groupBy("tile").agg(F.sum("value").alias("total"))
 
 
 @query("SELECT event_id, user_id, round(value * 2, 6) AS twice FROM events WHERE event_type = 'click' AND value > 10")

@@ -3,7 +3,10 @@
 Reading: ``spark.read.format("fits").option("path", ...).option("ext", n or name).load()``. Headers are read on the driver;
 each task reads a range of rows of one file. ``path`` may be a folder or a pattern: files of one schema. Kinds: binary and
 ASCII tables, images (a row a pixel: i1 .. iN from 1, value), random groups. gzip and bzip2 files are one partition each.
-Writing: every partition writes a complete binary-table file of its own into the folder, so nothing is merged anywhere.
+Undefined values are NULL: NaN, integers equal to TNULL or BLANK, strings that begin with NUL (option ``nulls`` false: as stored).
+Writing: every partition writes a complete binary-table file of its own into the folder, so nothing is merged anywhere; a
+partition's rows are held by its task, so partitions should be of the size files are meant to have. NULL comes back as NULL;
+text that is not ASCII and whole numbers equal to the mark of NULL raise an error. Each file has DATASUM and CHECKSUM.
 Paths must be open to Python's open() on driver and executors; for other stores read bytes with ``binaryFile`` and use
 ``tables_from_bytes``.
 """
@@ -18,9 +21,10 @@ import math
 import os
 import re
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -56,8 +60,10 @@ def parse_card(card: str) -> tuple[str, object, str]:
 
 
 def format_card(keyword: str, value, comment: str = "") -> str:
+    """One card, or several: long commentary takes more cards, and a long string goes on in CONTINUE cards."""
     if keyword in ("COMMENT", "HISTORY", "", "END"):
-        return f"{keyword:8}{value or ''}"[:CARD].ljust(CARD)
+        text = "" if value is None else str(value)
+        return "".join(f"{keyword:8}{text[i : i + 72]}".ljust(CARD) for i in range(0, max(1, len(text)), 72))
     if isinstance(value, bool):
         text = f"{'T' if value else 'F':>20}"
     elif isinstance(value, (int, np.integer)):
@@ -66,8 +72,34 @@ def format_card(keyword: str, value, comment: str = "") -> str:
         text = f"{value:.16G}"
         text = f"{text if '.' in text or 'E' in text else text + '.0':>20}"
     else:
-        text = f"'{str(value).replace(chr(39), chr(39) * 2):8}'".ljust(20)
-    return (f"{keyword:8}= {text}" + (f" / {comment}" if comment else ""))[:CARD].ljust(CARD)
+        quoted = str(value).replace("'", "''")
+        if len(quoted) > 68:
+            parts, rest = [], quoted
+            while rest:
+                end = 67 if len(rest) > 68 else 68
+                end -= rest[:end].endswith("'") and (len(rest[:end]) - len(rest[:end].rstrip("'"))) % 2
+                parts.append(rest[:end])
+                rest = rest[end:]
+            cards = [f"{'CONTINUE' if i else keyword:8}{'  ' if i else '= '}'{p}{'&' if i < len(parts) - 1 else ''}'" for i, p in enumerate(parts)]
+            if comment and len(cards[-1]) + 3 + len(comment) <= CARD:
+                cards[-1] += f" / {comment}"
+            return "".join(c.ljust(CARD) for c in cards)
+        text = f"'{quoted:8}'".ljust(20)
+    card = f"{keyword:8}= {text}" + (f" / {comment}" if comment else "")
+    return card[: max(CARD, len(f"{keyword:8}= {text}"))].ljust(CARD)
+
+
+def joined_cards(cards: list[tuple]) -> list[tuple]:
+    """Strings that end in & and go on in CONTINUE cards, as one card each."""
+    out: list[tuple] = []
+    for k, v, c in cards:
+        if k == "CONTINUE" and out and isinstance(out[-1][1], str) and out[-1][1].endswith("&"):
+            m = re.match(r"\s*'((?:[^']|'')*)'\s*(?:/(.*))?", v or "")
+            if m:
+                out[-1] = (out[-1][0], out[-1][1][:-1] + m[1].replace("''", "'").rstrip(), (m[2] or "").strip() or out[-1][2])
+                continue
+        out.append((k, v, c))
+    return out
 
 
 def pad(data: bytes, fill: bytes = b"\0") -> bytes:
@@ -75,7 +107,58 @@ def pad(data: bytes, fill: bytes = b"\0") -> bytes:
 
 
 def header_bytes(cards: list[tuple]) -> bytes:
-    return pad("".join(format_card(*c) for c in [*cards, ("END", "")]).encode("ascii", "replace"), b" ")
+    """Cards as blocks. Text that is not ASCII raises UnicodeEncodeError."""
+    return pad("".join(format_card(*c) for c in [*cards, ("END", "")]).encode("ascii"), b" ")
+
+
+def word_sum(data: bytes, before: int = 0) -> int:
+    """The ones' complement sum of the big-endian 32-bit words of bytes, filled up with zeros."""
+    total = before + int(np.frombuffer(data + b"\0" * (-len(data) % 4), ">u4").sum(dtype=np.uint64))
+    while total >> 32:
+        total = (total & 0xFFFFFFFF) + (total >> 32)
+    return total
+
+
+def checksum_text(total: int) -> str:
+    """Sixteen letters and digits that make the sum of a unit with them all ones. Each byte of the complement is spread over
+    four characters; pairs move apart until no punctuation is left."""
+    bytes_ = (~total & 0xFFFFFFFF).to_bytes(4, "big")
+    columns = []
+    for v in bytes_:
+        quarter, rest = divmod(v, 4)
+        four = [quarter + 48 + (rest if i == 0 else 0) for i in range(4)]
+        odd = set(range(0x3A, 0x41)) | set(range(0x5B, 0x61))
+        while any(c in odd for c in four):
+            for i in (0, 2):
+                if four[i] in odd or four[i + 1] in odd:
+                    four[i], four[i + 1] = four[i] + 1, four[i + 1] - 1
+        columns.append(four)
+    text = "".join(chr(columns[j][i]) for i in range(4) for j in range(4))
+    return text[-1] + text[:-1]
+
+
+def with_checksum(cards: list[tuple], data: bytes) -> bytes:
+    """A header with DATASUM and CHECKSUM, and its data, padded."""
+    data = pad(data)
+    datasum = word_sum(data)
+    make = lambda text: header_bytes([*cards, ("DATASUM", str(datasum)), ("CHECKSUM", text)])
+    return make(checksum_text(word_sum(make("0" * 16), datasum))) + data
+
+
+def verify_checksums(path: str) -> list[tuple[int, str, bool | None, bool | None]]:
+    """(unit, name, data sum right, checksum right) of each unit; None where the card is missing."""
+    out = []
+    with open_file(path) as f:
+        for h in walk(f):
+            f.seek(h.start)
+            datasum, left = 0, h.size + -h.size % BLOCK
+            while left > 0 and (part := f.read(min(left, BLOCK * 1024))):
+                datasum, left = word_sum(part, datasum), left - len(part)
+            f.seek(h.begin)
+            whole = word_sum(f.read(h.start - h.begin), datasum)
+            told = str(h.header["DATASUM"]).strip() if "DATASUM" in h.header else None
+            out.append((h.index, h.name, None if told is None else int(told) == datasum, whole in (0, 0xFFFFFFFF) if "CHECKSUM" in h.header else None))
+    return out
 
 
 @dataclass
@@ -85,6 +168,7 @@ class Hdu:
     header: dict
     start: int  # of the data
     size: int  # of the data without padding
+    begin: int = 0  # of the header
 
     @property
     def name(self) -> str:
@@ -118,6 +202,7 @@ def walk(f) -> list[Hdu]:
     out, at = [], 0
     while True:
         f.seek(at)
+        begin = at
         cards, done = [], False
         while not done:
             block = f.read(BLOCK)
@@ -130,23 +215,25 @@ def walk(f) -> list[Hdu]:
                     done = True
                     break
                 cards.append(parse_card(card))
-        header = {}
+        cards, header = joined_cards(cards), {}
         for k, v, _ in cards:
             header.setdefault(k, v)
         axes = [int(header.get(f"NAXIS{i + 1}", 0)) for i in range(int(header.get("NAXIS", 0) or 0))]
         n = math.prod(axes[1:] if header.get("GROUPS") is True and axes and axes[0] == 0 else axes) if axes else 0
         size = abs(int(header.get("BITPIX", 8))) // 8 * int(header.get("GCOUNT", 1) or 1) * (int(header.get("PCOUNT", 0) or 0) + n)
-        out.append(Hdu(len(out), cards, header, at, size))
+        out.append(Hdu(len(out), cards, header, at, size, begin))
         at += size + (-size % BLOCK)
 
 
 def find_hdu(hdus: list[Hdu], ext) -> Hdu:
-    """By number, or by name without case; without either the first that is a table, else the first with data."""
+    """By number, or by name without case, with ",version" behind it where several have the name; without either the first
+    that is a table, else the first with data."""
     if ext is None or ext == "":
         return next((h for h in hdus if h.kind in ("bintable", "table")), next((h for h in hdus if h.size), hdus[0]))
     if str(ext).isdigit():
         return hdus[int(ext)]
-    found = [h for h in hdus if h.name.lower() == str(ext).lower()]
+    name, _, version = str(ext).partition(",")
+    found = [h for h in hdus if h.name.lower() == name.strip().lower() and (not version or int(h.header.get("EXTVER", 1) or 1) == int(version))]
     if len(found) != 1:
         raise KeyError(f"{'several extensions' if found else 'no extension'} {ext!r}")
     return found[0]
@@ -225,8 +312,19 @@ def schema_of(h: Hdu) -> T.StructType:
     return T.StructType([T.StructField(f"i{i + 1}", T.IntegerType()) for i in range(int(h.header.get("NAXIS", 0)))] + [T.StructField("value", kind)])
 
 
-def _plain(f: Field, values: np.ndarray) -> list:
-    """Stored numbers of one cell or column as Python values."""
+def _plain(f: Field, values: np.ndarray, null_as_null: bool = True) -> list:
+    """Stored numbers of one cell or column as Python values; NaN and those equal to TNULL are None."""
+    out, code, null = _values(f, values), f.variable or f.code, f.metadata.get("null")
+    if not null_as_null:
+        return out
+    if code in "ED":
+        return [None if v != v else v for v in out]
+    if null is not None and code in "BIJK":
+        return [None if r == null else v for r, v in zip(values.tolist(), out, strict=True)]
+    return out
+
+
+def _values(f: Field, values: np.ndarray) -> list:
     code = f.variable or f.code
     if code == "L":
         return [None if v == 0 else v == 84 for v in values.tolist()]
@@ -239,23 +337,34 @@ def _plain(f: Field, values: np.ndarray) -> list:
     return (values.astype(float) * f.scale + f.zero).tolist() if f.scale != 1 or f.zero != 0 else values.tolist()
 
 
-def read_rows(f, h: Hdu, first: int, count: int, null_as_null: bool = True):
-    """Tuples of rows first .. first + count - 1 (pixels of an image)."""
+def arrow_type(t: T.DataType) -> pa.DataType:
+    if isinstance(t, T.ArrayType):
+        return pa.list_(arrow_type(t.elementType))
+    if isinstance(t, T.StructType):
+        return pa.struct([(f.name, arrow_type(f.dataType)) for f in t.fields])
+    plain = {T.BooleanType: pa.bool_(), T.ShortType: pa.int16(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.FloatType: pa.float32(), T.DoubleType: pa.float64(), T.StringType: pa.string()}
+    return pa.decimal128(20, 0) if isinstance(t, T.DecimalType) else plain[type(t)]
+
+
+def read_batches(f, h: Hdu, first: int, count: int, null_as_null: bool = True, step: int = 50_000):
+    """Arrow batches of rows first .. first + count - 1 (pixels of an image)."""
+    schema = pa.schema([(x.name, arrow_type(x.dataType)) for x in schema_of(h).fields])
+    for a in range(first, first + count, step):
+        yield pa.RecordBatch.from_arrays(_columns(f, h, a, min(step, first + count - a), schema, null_as_null), schema=schema)
+
+
+def _columns(f, h: Hdu, first: int, count: int, schema: pa.Schema, null_as_null: bool) -> list[pa.Array]:
     if h.kind in ("bintable", "table"):
         width = int(h.header["NAXIS1"])
         f.seek(h.start + first * width)
         data = f.read(count * width)
         fields = fields_of(h)
         if h.kind == "table":
-            for r in range(count):
-                row = data[r * width : (r + 1) * width].decode("ascii", "replace")
-                yield tuple(_ascii(x, row[x.start : x.start + x.width]) for x in fields)
-            return
+            lines = [data[r * width : (r + 1) * width].decode("ascii", "replace") for r in range(count)]
+            return [pa.array([_ascii(x, line[x.start : x.start + x.width]) for line in lines], t) for x, t in zip(fields, schema.types, strict=True)]
         rows = np.frombuffer(data, np.dtype([x.raw() for x in fields]), count)
         heap = h.start + int(h.header.get("THEAP", width * int(h.header["NAXIS2"])))
-        columns = [_column(f, x, rows[x.name], heap, null_as_null) for x in fields]
-        yield from zip(*columns, strict=True)
-        return
+        return [_array(f, x, rows[x.name], heap, t, null_as_null) for x, t in zip(fields, schema.types, strict=True)]
     kind = PIXELS[int(h.header["BITPIX"])][0]
     scale, zero, blank = float(h.header.get("BSCALE", 1)), float(h.header.get("BZERO", 0)), h.header.get("BLANK")
     axes = [int(h.header[f"NAXIS{i + 1}"]) for i in range(int(h.header.get("NAXIS", 0)))]
@@ -263,19 +372,31 @@ def read_rows(f, h: Hdu, first: int, count: int, null_as_null: bool = True):
     if h.kind == "groups":
         p, n = int(h.header["PCOUNT"]), math.prod(axes[1:])
         f.seek(h.start + first * (p + n) * item)
-        for row in np.frombuffer(f.read(count * (p + n) * item), kind).reshape(count, p + n):
-            params = [float(v) * float(h.header.get(f"PSCAL{i + 1}", 1)) + float(h.header.get(f"PZERO{i + 1}", 0)) for i, v in enumerate(row[:p])]
-            yield (*params, (row[p:].astype(float) * scale + zero).tolist() if scale != 1 or zero != 0 else row[p:].tolist())
-        return
+        rows = np.frombuffer(f.read(count * (p + n) * item), kind).reshape(count, p + n)
+        params = [pa.array(rows[:, i].astype(float) * float(h.header.get(f"PSCAL{i + 1}", 1)) + float(h.header.get(f"PZERO{i + 1}", 0))) for i in range(p)]
+        cells = _scaled(rows[:, p:].reshape(-1), kind, scale, zero, blank, schema.types[-1].value_type, null_as_null)
+        return [*params, pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * n), cells)]
     f.seek(h.start + first * item)
     values = np.frombuffer(f.read(count * item), kind)
-    plain = (values.astype(float) * scale + zero).tolist() if scale != 1 or zero != 0 else values.tolist()
-    for k, (raw, v) in enumerate(zip(values.tolist(), plain, strict=True)):
-        at, place = first + k, []
-        for n in axes:
-            place.append(at % n + 1)
-            at //= n
-        yield (*place, None if blank is not None and kind[-2] != "f" and raw == blank else v)
+    at, places = np.arange(first, first + count), []
+    for n in axes:
+        places.append(pa.array((at % n + 1).astype(np.int32)))
+        at = at // n
+    return [*places, _scaled(values, kind, scale, zero, blank, schema.types[-1], null_as_null)]
+
+
+def _scaled(raw: np.ndarray, kind: str, scale: float, zero: float, null, t: pa.DataType, null_as_null: bool) -> pa.Array:
+    """Stored numbers as an array: NaN, and whole numbers equal to ``null``, are NULL."""
+    gone = np.isnan(raw) if kind[-2] == "f" else (raw == int(null)) if null is not None else None
+    values = raw.astype(float) * scale + zero if scale != 1 or zero != 0 else raw.astype(raw.dtype.newbyteorder("="))
+    return pa.array(values, mask=gone if null_as_null else None).cast(t)
+
+
+def _array(f, x: Field, raw: np.ndarray, heap: int, t: pa.DataType, null_as_null: bool) -> pa.Array:
+    """One column of a binary table; plain numbers never become Python objects."""
+    if not x.variable and x.repeat == 1 and x.code in "BIJKED" and not x.whole_zero:
+        return _scaled(raw.reshape(-1), KINDS[x.code][0], x.scale, x.zero, x.metadata.get("null") if x.code in "BIJK" else None, t, null_as_null)
+    return pa.array(_column(f, x, raw, heap, null_as_null), t)
 
 
 def _ascii(f: Field, text: str):
@@ -305,19 +426,15 @@ def _column(f, x: Field, raw: np.ndarray, heap: int, null_as_null: bool) -> list
             elif x.variable == "X":
                 out.append(np.unpackbits(np.frombuffer(data, "u1"))[:n].astype(bool).tolist())
             else:
-                out.append(_plain(x, np.frombuffer(data, COMPLEX.get(x.variable) or KINDS[x.variable][0])))
+                out.append(_plain(x, np.frombuffer(data, COMPLEX.get(x.variable) or KINDS[x.variable][0]), null_as_null))
         return out
     if x.code == "A":
-        return [v.rstrip(b"\0 ").decode("ascii", "replace") for v in raw.tolist()]
+        return [None if null_as_null and v[:1] in (b"", b"\0") else v.rstrip(b"\0 ").decode("ascii", "replace") for v in raw.tolist()]
     if x.code == "X":
         return [r[: x.repeat].astype(bool).tolist() for r in np.unpackbits(raw, axis=1)]
     if x.repeat == 1:
-        flat = _plain(x, raw.reshape(-1))
-        null = x.metadata.get("null")
-        if null_as_null and null is not None and x.code in "BIJK":
-            return [None if r == null else v for r, v in zip(raw.reshape(-1).tolist(), flat, strict=True)]
-        return flat
-    return [_plain(x, r) for r in raw]
+        return _plain(x, raw.reshape(-1), null_as_null)
+    return [_plain(x, r, null_as_null) for r in raw]
 
 
 def row_count(h: Hdu) -> int:
@@ -327,8 +444,8 @@ def row_count(h: Hdu) -> int:
 
 
 class _Rows(InputPartition):
-    def __init__(self, path: str, hdu: int, first: int, count: int):
-        self.path, self.hdu, self.first, self.count = path, hdu, first, count
+    def __init__(self, path: str, unit: Hdu | None, first: int, count: int):
+        self.path, self.unit, self.first, self.count = path, unit, first, count
 
 
 class FitsReader(DataSourceReader):
@@ -340,15 +457,15 @@ class FitsReader(DataSourceReader):
         out = []
         for path in self.paths:
             with open_file(path) as f:
-                h = find_hdu(walk(f), self.ext)
+                h = replace(find_hdu(walk(f), self.ext), cards=[])
             n, step = row_count(h), self.chunk if splittable(path) else 1 << 62
-            out += [_Rows(path, h.index, a, min(step, n - a)) for a in range(0, n, step)]
-        return out or [_Rows("", 0, 0, 0)]
+            out += [_Rows(path, h, a, min(step, n - a)) for a in range(0, n, step)]
+        return out or [_Rows("", None, 0, 0)]
 
     def read(self, part: _Rows):
         if part.count:
             with open_file(part.path) as f:
-                yield from read_rows(f, walk(f)[part.hdu], part.first, part.count, self.null_as_null)
+                yield from read_batches(f, part.unit, part.first, part.count, self.null_as_null)
 
 
 def form_of(t: T.DataType, width: int) -> str:
@@ -364,10 +481,10 @@ def table_bytes(schema: T.StructType, rows: list, name: str) -> bytes:
     for i, f in enumerate(schema.fields):
         values = [r[i] for r in rows]
         if isinstance(f.dataType, T.StringType):
-            raw = [(v or "").encode("ascii", "replace") for v in values]
-            width = max([1, *map(len, raw)])
+            raw = [None if v is None else v.encode("ascii") for v in values]
+            width = max([1, *(len(v) for v in raw if v)])
             forms.append((form_of(f.dataType, width), None))
-            columns.append(np.array(raw, f"S{width}"))
+            columns.append(np.array([b"\0" if v is None else v.ljust(width) for v in raw], f"S{width}"))
         elif isinstance(f.dataType, T.ArrayType):
             form = form_of(f.dataType, 1)
             kind, places = KINDS[form[1]][0], []
@@ -384,6 +501,8 @@ def table_bytes(schema: T.StructType, rows: list, name: str) -> bytes:
             if form[-1] == "L":
                 columns.append(np.array([0 if v is None else 84 if v else 70 for v in values], "i1"))
             else:
+                if null is not None and any(v is None for v in values) and any(v == null for v in values):
+                    raise ValueError(f"column {f.name!r} holds {null}, which would mark its NULLs")
                 columns.append(np.array([(null if null is not None else np.nan) if v is None else v.timestamp() if hasattr(v, "timestamp") else v for v in values], kind))
             forms.append((form, null if any(v is None for v in values) else None))
     dtype = np.dtype([(f"c{i}", c.dtype, c.shape[1:]) for i, c in enumerate(columns)])
@@ -394,7 +513,7 @@ def table_bytes(schema: T.StructType, rows: list, name: str) -> bytes:
     for i, (f, (form, null)) in enumerate(zip(schema.fields, forms, strict=True), 1):
         cards += [(f"TTYPE{i}", f.name), (f"TFORM{i}", form), *([(f"TNULL{i}", null)] if null is not None else []), *([(f"TUNIT{i}", f.metadata["unit"])] if "unit" in f.metadata else [])]
     primary = header_bytes([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True)])
-    return primary + header_bytes([*cards, ("EXTNAME", name)]) + pad(table.tobytes() + bytes(heap))
+    return primary + with_checksum([*cards, ("EXTNAME", name)], table.tobytes() + bytes(heap))
 
 
 @dataclass
@@ -479,13 +598,12 @@ def tables_from_bytes(files: DataFrame, ext, schema: T.StructType) -> DataFrame:
     """Rows of one extension of whole files in a binary column ``content``, as ``binaryFile`` reads them from any store."""
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for content in pdf["content"]:
-                f = io.BytesIO(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
+        for batch in batches:
+            for content in batch.column("content"):
+                data = content.as_py()
+                f = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bz2.decompress(data) if data[:3] == b"BZh" else data)
                 h = find_hdu(walk(f), ext)
-                for a in range(0, row_count(h), 50_000):
-                    yield pd.DataFrame(read_rows(f, h, a, min(50_000, row_count(h) - a)), columns=schema.names)
+                for part in read_batches(f, h, 0, row_count(h)):
+                    yield part.rename_columns(schema.names)
 
-    return files.select("content").mapInPandas(run, schema)
+    return files.select("content").mapInArrow(run, schema)

@@ -101,7 +101,9 @@ def test_intervals_and_diff(spark):
     t = spark.createDataFrame([(1.0,), (2.0,), (3.5,), (None,)], "t double")
     g = spark.createDataFrame([(1.0, 2.0), (9.0, 3.0)], "start double, stop double")
     assert sorted(r.t for r in I.in_intervals(t, "t", g).collect()) == [1.0, 2.0]
-    assert I.in_intervals(t, "t", g.limit(0)).count() == 0
+    assert I.in_intervals(t, "t", g.limit(0)).count() == 0 and I.in_intervals(t, "t", g.limit(0), keep=False).count() == 4
+    assert I.with_interval(t, "t", g.limit(0)).count() == 0 and sorted(r.t for r in I.in_intervals(t, "t", g, keep=False).where("t is not null").collect()) == [3.5]
+    assert I.in_intervals(t, "t", g, keep=False).count() == 2
     a = spark.createDataFrame([(1, 1.0, "x", [1.0]), (2, math.nan, None, None)], "k int, f double, s string, v array<double>")
     assert D.table_diff(a, a, "k").count() == 0
     b = spark.createDataFrame([(1, 1.05, "y", [2.0]), (2, math.nan, None, None)], "k int, f double, s string, v array<double>")
@@ -113,6 +115,36 @@ def test_intervals_and_diff(spark):
     assert sorted(r.kind for r in D.header_diff(cards, other).collect()) == ["comment", "value"]
 
 
+def test_long_intervals_are_listed_twice_at_most(spark):
+    import random
+
+    r = random.Random(1)
+    spans = [(x := r.uniform(-1e6, 1e6), x + r.choice([0, 1e-3, 1, 50, 1e5, 1e6]) * r.random()) for _ in range(300)]
+    times = [r.uniform(-1e6, 1e6) for _ in range(200)] + [s for s, _ in spans[:50]] + [e for _, e in spans[50:100]]
+    g, t = spark.createDataFrame(spans, "start double, stop double"), spark.createDataFrame([(x,) for x in times], "t double")
+    listed, _ = I._listed(g, "start", "stop")
+    assert listed.count() <= 2 * len(spans)
+    want = sorted((x, s, e) for x in times for s, e in spans if s <= x <= e)
+    assert sorted(tuple(x) for x in I.with_interval(t, "t", g).select("t", "start", "stop").collect()) == want
+    assert sorted(x.t for x in I.in_intervals(t, "t", g).collect()) == sorted(x for x in times if any(s <= x <= e for s, e in spans))
+
+
+def test_offsets_over_blocks_and_gaps(spark):
+    rows = [(k, k * 10) for k in range(1, 60) if k % 7]
+    df = spark.createDataFrame(rows, "_row long, v int").repartition(3)
+    for by in (1, -1, 3, -8, 100):
+        want = sorted((k, v, dict(rows).get(k + by, -1)) for k, v in rows)
+        assert sorted(tuple(x) for x in W.offset(df, "v", by, "o", missing=-1, block=8).collect()) == want
+        assert sorted(tuple(x) for x in W.offset(df, "v", by, "o", missing=-1, most=0).select("_row", "v", "o").collect()) == want
+
+
+def test_diffs_of_rows_that_one_table_lacks(spark):
+    a, b = (spark.createDataFrame(x, "k int, v int") for x in ([(1, 1), (2, 2), (None, 5)], [(2, 3), (4, 4), (None, 5)]))
+    got = {tuple(x) for x in D.table_diff(a, b, "k").collect()}
+    assert got == {(1, None, None, None, "a"), (2, "v", "2", "3", None), (4, None, None, None, "b")}
+    assert D.diff_summary(a, b, "k").first().asDict() == {"cells_differ": 1, "rows_differ": 1, "rows_only_a": 1, "rows_only_b": 1, "ratio": 0.5}
+
+
 def test_checksum_words(spark):
     df = spark.createDataFrame([(bytearray(b"\xff\xff\xff\xff\x00\x00\x00\x02\x01"),)], "b binary")
     words = df.select(F.explode(G.words_of(F.col("b"))).alias("w"))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.sources import fits, text, tiles
+from orrery.operators import images
+from orrery.sources import fits, text
 from orrery.streaming.append import QuotaWriter, counted, filtered
 
 
@@ -86,13 +87,48 @@ def test_text_round_trip(spark, tmp_path):
     assert sorted(text.load(spark, f"{tmp_path}/data", f"{tmp_path}/columns").collect()) == sorted(df.collect())
 
 
-@pytest.mark.parametrize("codec", ["GZIP_1", "GZIP_2"])
-def test_tiles(spark, codec):
-    df = spark.createDataFrame([(i, [i, -i, 70000 + i]) for i in range(5)], "tile long, values array<int>")
-    assert sorted(tiles.decompress(tiles.compress(df, codec)).collect()) == sorted(df.collect())
-    px = spark.createDataFrame([(x, y, x * 10 + y) for x in range(1, 5) for y in range(1, 5)], "x int, y int, value int")
-    first = tiles.to_tiles(px, 2, 2).where("tx = 0 and ty = 1").first()
-    assert first["values"] == [13, 23, 14, 24]
+def test_tiles(spark):
+    px = spark.createDataFrame([(x, y, x * 10 + y) for x in range(1, 6) for y in range(1, 4) if (x, y) != (2, 2)], "i1 int, i2 int, value int")
+    tiles = images.to_tiles(px, 2, 2)
+    assert tiles.count() == 6 and tiles.where("t1 = 0 and t2 = 0").first()["values"] == [11, 21, 12, None]
+    assert sorted(images.of_tiles(tiles, 2, 2).collect()) == sorted(px.collect())
+
+
+def test_nulls_text_and_checksums(fs, tmp_path):
+    schema = "x double, s string, v array<double>, k long"
+    rows = [(None, None, [1.0, None], 5), (1.5, "", [], None), (-2.0, " a b", None, -7)]
+    fs.createDataFrame(rows, schema).coalesce(1).write.format("fits").option("path", f"{tmp_path}/t").mode("append").save()
+    back = fs.read.format("fits").option("path", f"{tmp_path}/t").load()
+    assert sorted(map(tuple, back.collect()), key=str) == sorted([(None, None, [1.0, None], 5), (1.5, "", [], None), (-2.0, " a b", [], -7)], key=str)
+    file = next((tmp_path / "t").glob("*.fits"))
+    assert [x[2:] for x in fits.verify_checksums(str(file))] == [(None, None), (True, True)]
+    data = bytearray(file.read_bytes())
+    data[-2000] ^= 1
+    (tmp_path / "broken.fits").write_bytes(data)
+    assert fits.verify_checksums(str(tmp_path / "broken.fits"))[1][2:] == (False, False)
+    for bad in ([("é",)], "s string"), ([(None,), (-(2**63),)], "k long"):
+        with pytest.raises(Exception):
+            fs.createDataFrame(*bad).coalesce(1).write.format("fits").option("path", f"{tmp_path}/bad").mode("overwrite").save()
+
+
+@pytest.mark.parametrize("total", [0, 1, 0xFFFFFFFF, 0x12345678, 868229149, 2**31, 2503531142])
+def test_checksum_text(total):
+    text = fits.checksum_text(total)
+    assert text.isalnum() and len(text) == 16
+    aligned = text[1:] + text[:1]
+    zeros = fits.word_sum(b"0" * 16)
+    spread = fits.word_sum(aligned.encode())
+    assert fits.word_sum((total).to_bytes(4, "big"), spread - zeros if spread >= zeros else spread + 0xFFFFFFFF - zeros) in (0, 0xFFFFFFFF)
+
+
+def test_long_strings_go_on(fs, tmp_path):
+    long = "it's " * 40 + "end"
+    cards = [("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("LONG", long, "what"), ("EDGE", "'" * 40 + "x" * 80), ("SHORT", "a/b", "c"), ("HISTORY", "h" * 100)]
+    (tmp_path / "long.fits").write_bytes(fits.header_bytes(cards))
+    with fits.open_file(str(tmp_path / "long.fits")) as f:
+        h = fits.walk(f)[0]
+    assert h.header["LONG"] == long and h.header["EDGE"] == "'" * 40 + "x" * 80 and h.header["SHORT"] == "a/b"
+    assert [v for k, v, _ in h.cards if k == "HISTORY"] == ["h" * 72, "h" * 28]
 
 
 def test_stream_quota(spark, tmp_path):
