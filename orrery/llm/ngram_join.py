@@ -13,8 +13,9 @@ words give their whole sequence as one). Documents link where 100 * intersection
    by m - 1 shingles, linked sets meet for m of them at least; sets that meet others less often are left out.
 3. A cluster's sets are stored in a compressed trie, ordered by how many sets share a shingle, and each set walks it,
    sharing the overlap along common beginnings and leaving subtrees that cannot reach the threshold any more.
-4. Clusters beyond one block first lose the sets that share too little with all others. Then they are joined within blocks; then with their hubs, the sets with most links; and then every set
-   outside the largest component with every block. So a large group of near copies costs a walk for each set, not all pairs.
+4. Clusters beyond one block are parted again, by how many of their own sets have each shingle. What is larger still is
+   joined within blocks; then with its hubs, the sets with most links; and then every set outside the largest component with
+   every block. So a large group of near copies costs a walk for each set, not all pairs.
 
 Null text and texts without words have an empty set, link with nothing and are their own component. A null doc_id has a
 null component and takes no part. Repeated rows share a class. An empty table gives no rows; other columns are ignored.
@@ -355,7 +356,9 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     sizes = save(sets.groupBy("cluster").agg(blocks.alias("blocks")))
     if not sizes.where("blocks > 1").isEmpty():
-        sets = sets.join(small(hopeless(sets.join(small(sizes.where("blocks > 1").select("cluster")), "cluster"), percent)), "set", "left_anti")
+        large = small(sizes.where("blocks > 1").select("cluster"))
+        parted = sets.join(large, "cluster").drop("cluster").join(small(parts_of(sets.join(large, "cluster"), percent)), "set")
+        sets = sets.join(large, "cluster", "left_anti").unionByName(parted)
         sizes = save(sets.groupBy("cluster").agg(blocks.alias("blocks")))
     placed = sets.join(small(sizes), "cluster").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
 
@@ -411,8 +414,10 @@ def link_clusters(sets: DataFrame, percent: int) -> DataFrame:
     return final.select("set", F.coalesce("root", "component").alias("component")).distinct()
 
 
-def hopeless(sets: DataFrame, percent: int) -> DataFrame:
-    """(set) of sets too many of whose shingles no other set of their cluster has."""
+def parts_of(sets: DataFrame, percent: int) -> DataFrame:
+    """(set, cluster): smaller clusters of the sets of each cluster, without those that link with none. Within a cluster it is
+    known how many sets have each shingle, and by that order, rarest first, linked sets again share one of their beginnings;
+    shingles of one set only are no meeting place. So sets that share common passages only part here."""
 
     def spread(batches):
         for batch in batches:
@@ -421,8 +426,13 @@ def hopeless(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i.as_py(), np.int64)), pa.array(as_long(h))], names=["set", "shingle"])
 
     rows = sets.select("cluster", "set", "shingles").mapInArrow(spread, "set long, shingle long")
-    alone = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("set").alias("set")).where("k = 1").groupBy("set").agg(F.count("*").alias("alone"))
-    return sets.select("set", "n").join(alone, "set").where((F.col("n") - F.col("alone")) * 100 < percent * F.col("n")).select("set")
+    shared = rows.withColumn("k", F.count("*").over(Window.partitionBy("shingle")).cast("int")).where("k > 1")
+    mine = Window.partitionBy("set")
+    ranked = shared.withColumns({"place": F.row_number().over(mine.orderBy("k", "shingle")), "held": F.count("*").over(mine)})
+    # of n shingles those of one set only come first in the order, then the shared ones that are held
+    begin = ranked.join(sets.select("set", "n"), "set").where(F.col("place") <= F.col("held") - F.ceil(F.col("n") * percent / 100) + 1)
+    met = begin.select("set", F.min("set").over(Window.partitionBy("shingle")).alias("b")).where("set <> b").distinct()
+    return components(met.select(F.col("set").alias("a"), "b")).select(F.col("node").alias("set"), F.col("component").alias("cluster"))
 
 
 def named_roots(edges: DataFrame) -> DataFrame:
