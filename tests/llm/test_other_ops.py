@@ -138,6 +138,36 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judge(df.where("url is null")).collect()} == {"allow"}
 
 
+def test_url_trees_held_out(spark):
+    """Rules decide some hosts; the trees judge others that look like them, and a third kind of URL."""
+    r = random.Random(9)
+    word = lambda n: "".join(r.choices("abcdefghijklmnop", k=n))
+    bad = lambda host: f"http://{host}/{r.randrange(10**9)}/{r.randrange(10**6)}?id={r.randrange(10**8)}&x={r.randrange(10**5)}"
+    good = lambda host: f"https://{host}/{word(6)}/{word(8)}-{word(5)}.html"
+    rows = [bad("a.spam.biz") for _ in range(250)] + [good("www.paper.com") for _ in range(250)] + [bad(f"{word(6)}.info") for _ in range(60)] + [good(f"{word(6)}.org") for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").repartition(3)
+    got = {x.page_id: x for x in url_filter.judge(df, rules=(("spam.biz/", "block"), ("com/", "allow"))).collect()}
+    blocked = {i for i in range(500, len(rows)) if got[i].verdict == "block"}
+    assert all(got[i].rule == "spam.biz/" for i in range(250)) and all(got[i].rule is None for i in range(500, len(rows)))
+    truth = set(range(500, 560))
+    assert len(blocked & truth) >= 0.9 * len(truth) and len(blocked - truth) <= 0.02 * 400
+
+
+def test_queries_with_sql(spark):
+    """What SQL can say of the operators, against DuckDB."""
+    import duckdb
+
+    from orrery.llm import queries
+
+    duck, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("documents", "pages"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        df, rel = queries.QUERIES[name](spark, sf), duck.sql(sql)
+        assert sorted(df.columns) == sorted(rel.columns), name
+        assert Counter(tuple(x) for x in df.select(*sorted(df.columns)).collect()) == Counter(rel.select(*sorted(rel.columns)).fetchall()), name
+
+
 def test_chat_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\nhi", "<\\|x <\\\\| [\\INST] [\\\\/INST] <</SYS>>", "", None, "é🙂\r\n" * 50]
     rows = [(7, k, r, t) for k, (r, t) in enumerate([("system", "be <|kind|>"), *[(("user", "assistant")[k % 2], t) for k, t in enumerate(hard * 6)]])]
