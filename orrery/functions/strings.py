@@ -40,6 +40,15 @@ def _each(a, b, one) -> Column:
     return F.array_join(F.zip_with(F.split(a, "(?<=.)(?=.)"), F.split(b, "(?<=.)(?=.)"), one), "")
 
 
+def bits_literal(text: str) -> Column:
+    """b101x, o17 (three bits a digit) or hFF (four bits a digit) as a bit string; x or X stands for any bit."""
+    base = {"b": 1, "o": 3, "h": 4}.get(text[:1].lower())
+    digits = text[1:].lower()
+    if not base or not digits or any(c != "x" and (c not in "0123456789abcdef" or int(c, 16) >> base) for c in digits):
+        raise ValueError(f"not a bit string: {text!r}")
+    return F.lit("".join("x" * base if c == "x" else f"{int(c, 16):0{base}b}" for c in digits))
+
+
 def bits_and(a, b) -> Column:
     return _each(a, b, lambda x, y: F.when((x == "1") & (y == "1"), "1").otherwise("0"))
 

@@ -60,9 +60,11 @@ def diff_summary(a: DataFrame, b: DataFrame, key: str = "_row", tolerance: float
 
 
 def header_diff(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = (), ignore_comments: bool = False) -> DataFrame:
-    """(keyword, n, value_a, value_b, comment_a, comment_b, kind) of header cards, paired by keyword and occurrence."""
-    cards = lambda d, s: d.where(~F.upper("keyword").isin(*[i.upper() for i in ignore]) if ignore else F.lit(True)).select(F.upper("keyword").alias("keyword"), "n", F.col("value").alias(f"value_{s}"), F.col("comment").alias(f"comment_{s}"), F.lit(True).alias(f"_{s}"))
-    both = cards(a, "a").join(cards(b, "b"), ["keyword", "n"], "full")
+    """(keyword, n, value_a, value_b, comment_a, comment_b, kind) of header cards, paired by keyword and occurrence, and by hdu
+    (which the result then has too) where both have that column."""
+    keys = [*(["hdu"] if "hdu" in a.columns and "hdu" in b.columns else []), "keyword", "n"]
+    cards = lambda d, s: d.where(~F.upper("keyword").isin(*[i.upper() for i in ignore]) if ignore else F.lit(True)).select(*keys[:-2], F.upper("keyword").alias("keyword"), "n", F.col("value").alias(f"value_{s}"), F.col("comment").alias(f"comment_{s}"), F.lit(True).alias(f"_{s}"))
+    both = cards(a, "a").join(cards(b, "b"), keys, "full")
     kind = F.when(F.col("_a").isNull(), "only in b").when(F.col("_b").isNull(), "only in a").when(~F.col("value_a").eqNullSafe(F.col("value_b")), "value")
     kind = kind if ignore_comments else kind.when(~F.col("comment_a").eqNullSafe(F.col("comment_b")), "comment")
     return both.withColumn("kind", kind).where("kind is not null").drop("_a", "_b")

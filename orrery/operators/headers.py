@@ -20,6 +20,14 @@ def select_cards(header: DataFrame, pattern: str) -> DataFrame:
     return header.where(F.upper("keyword").rlike(f"^{rx}$"))
 
 
+def value_of(header: DataFrame, hdu: int, keyword: str, n: int = 0) -> str | None:
+    """One card's value as text; KeyError where there is no such card."""
+    row = header.where((F.col("hdu") == hdu) & is_keyword(keyword) & (F.col("n") == n)).select("value").first()
+    if row is None:
+        raise KeyError(keyword)
+    return row[0]
+
+
 def numbered(header: DataFrame) -> DataFrame:
     """Places and occurrences anew, in order of place; a header is small, so one task for each of them."""
     unit = Window.partitionBy("hdu").orderBy("place")

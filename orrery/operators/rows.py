@@ -57,6 +57,15 @@ def accumulate(df: DataFrame, column: str, name: str, keys: tuple[str, ...] = ("
     return ranged.withColumn("_local", local).join(F.broadcast(before), "_range").withColumn(name, F.col("_local") + F.col("_before")).drop("_range", "_local", "_before")
 
 
+def accumulate_vectors(df: DataFrame, column: str, name: str, keys: tuple[str, ...] = ("_row",)) -> DataFrame:
+    """Adds the running sum over the elements of a vector column, on from row to row; NULL elements add nothing."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+    summed = accumulate(df.withColumn("_sum", F.coalesce(total(F.col(column)), F.lit(0.0))), "_sum", "_end", keys)
+    start = F.struct(F.array().cast("array<double>").alias("v"), (F.col("_end") - F.col("_sum")).alias("s"))
+    step = lambda a, x: F.struct(F.array_append(a["v"], a["s"] + F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"), (a["s"] + F.coalesce(x.cast("double"), F.lit(0.0))).alias("s"))
+    return summed.withColumn(name, F.aggregate(column, start, step, lambda a: a["v"])).drop("_sum", "_end")
+
+
 def difference(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the step from the row before; the first row's step is from 0, a step from or to NULL is NULL."""
     shifted = offset(df, column, -1, "_prev")
@@ -100,6 +109,13 @@ def delete_rows(df: DataFrame, ranges: str) -> DataFrame:
     return df.where(~in_ranges(ranges))
 
 
+def insert_rows(df: DataFrame, new: DataFrame, after: int) -> DataFrame:
+    """The rows of ``new`` (numbered too) behind row ``after``, and all numbers anew; columns go by name."""
+    n = new.count()
+    moved = df.withColumn("_row", F.when(F.col("_row") > after, F.col("_row") + n).otherwise(F.col("_row")))
+    return moved.unionByName(new.withColumn("_row", F.col("_row") + after))
+
+
 def calculate_on_rows(df: DataFrame, column: str, value: Column, ranges: str) -> DataFrame:
     """The column with new values in some rows."""
     return df.withColumn(column, F.when(in_ranges(ranges), value).otherwise(F.col(column)))

@@ -15,6 +15,7 @@ from orrery.functions import strings as S
 from orrery.functions import vectors as V
 from orrery.operators import columns as C
 from orrery.operators import diff as D
+from orrery.operators import expressions as X
 from orrery.operators import groups as G
 from orrery.operators import headers as A
 from orrery.operators import histogram as H
@@ -128,6 +129,21 @@ def string_functions(spark, d):
     return table(spark, d, "part").select("p_partkey", S.join("p_brand", "p_type").alias("both"), S.middle("p_name", F.col("p_size") % 4, F.lit(5)).alias("mid"), S.find("p_type", "S").alias("at"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) ** 2 AS rev, l_orderkey // 7 AS part FROM lineitem WHERE (l_quantity BETWEEN 10 AND 20 AND NOT l_discount > 0.05) OR abs(l_tax - 0.08) < 0.001""")
+def filter_and_calculate_text(spark, d):
+    """A filter and columns given as text."""
+    X.register(spark)
+    rows = X.rows_where(table(spark, d, "lineitem"), "l_quantity BETWEEN 10 AND 20 AND NOT l_discount > 0.05 OR near(l_tax, 0.08, 0.001)")
+    return X.calculated(rows, rev="l_extendedprice * pow(1 - l_discount, 2)", part="int_div(l_orderkey, 7)").select("l_orderkey", "l_linenumber", "rev", "part")
+
+
+@query("""SELECT p_partkey, p_brand || p_type AS both, CASE WHEN p_size % 4 <> 0 THEN substr(p_name, (p_size % 4)::INT, 5) END AS mid, nullif(strpos(p_type, 'S'), 0)::INT AS at, pow(p_size - 20, 2) + pow(p_partkey % 50 - 20, 2) <= 100 AS inside, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS class FROM part""")
+def text_functions(spark, d):
+    X.register(spark)
+    made = X.calculated(table(spark, d, "part"), both="p_brand || p_type", mid="middle(p_name, p_size % 4, 5)", at="find(p_type, 'S')", inside="circle(20, 20, 10, p_size, p_partkey % 50)", **{"class": "if(p_size > 25, 'large', 'small')"})
+    return made.select("p_partkey", "both", "mid", "at", "inside", "class")
+
+
 @query("""SELECT o_orderkey, CASE WHEN _row BETWEEN 100 AND 200 OR _row = 205 OR _row >= 1400 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS _row FROM orders)""")
 def calc_row_range(spark, d):
     return W.calculate_on_rows(W.with_row(table(spark, d, "orders"), "o_orderkey"), "o_totalprice", F.col("o_totalprice") * 2, "100-200,205,1400-").select("o_orderkey", "o_totalprice")
@@ -174,6 +190,19 @@ def row_difference(spark, d):
     return W.difference(W.with_row(e, "event_id"), "n", "step").select("event_id", "step")
 
 
+@query("""SELECT vec_id, sum(total) OVER (ORDER BY vec_id) AS last_value, sum(total) OVER (ORDER BY vec_id) - total + first AS first_value FROM (SELECT vec_id, list_sum(list_transform(embedding::DOUBLE[], lambda x: round(x * 1000))) AS total, round(embedding[1]::DOUBLE * 1000) AS first FROM embeddings)""")
+def accumulate_vectors(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000)).alias("v"))
+    return W.accumulate_vectors(e, "v", "total", ("vec_id",)).select("vec_id", F.element_at("total", -1).alias("last_value"), F.element_at("total", 1).alias("first_value"))
+
+
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY place) AS _row FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey))::DOUBLE AS place FROM orders UNION ALL SELECT -o_orderkey, 5.5 + (row_number() OVER (ORDER BY o_orderkey)) / 1000.0 FROM orders WHERE o_orderkey <= 40)""")
+def insert_rows(spark, d):
+    rows = W.with_row(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    new = W.with_row(table(spark, d, "orders").where("o_orderkey <= 40").select("o_orderkey"), "o_orderkey").withColumn("o_orderkey", -F.col("o_orderkey"))
+    return W.insert_rows(rows, new, 5).select("o_orderkey", "_row")
+
+
 # --- histograms
 
 
@@ -341,9 +370,9 @@ def interval_join_long(spark, d):
     return I.with_interval(e.select("event_id", "t"), "t", g).groupBy("event_id").agg(F.count("*").alias("n_intervals"), F.min("gid").alias("first_gid"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey + 5 END AS total, o_orderkey - 7 AS less, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderkey * 3 END AS product FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN k % 3 = 0 THEN NULL ELSE k + 5 END AS total, k - 7 AS less, CASE WHEN k % 2 = 0 THEN NULL ELSE k * 3 END AS product FROM (SELECT o_orderkey, o_orderkey + 2 AS k FROM orders)""")
 def overflow_is_null(spark, d):
-    top, k = 2**63 - 1, F.col("o_orderkey")
+    top, k = 2**63 - 1, F.col("o_orderkey") + 2
     big = lambda cond: F.when(cond, F.lit(top))
     return table(spark, d, "orders").select("o_orderkey", N.plus(k, big(k % 3 == 0).otherwise(5)).alias("total"), N.minus(k, F.lit(7)).alias("less"), N.times(k, big(k % 2 == 0).otherwise(3)).alias("product"))
 
@@ -422,7 +451,7 @@ FROM a FULL JOIN b USING (keyword, n) WHERE a.n IS NULL OR b.n IS NULL OR a.valu
 def header_diff(spark, d):
     cards = table(spark, d, "part").select(F.lit(0).alias("hdu"), F.col("p_partkey").alias("place"), F.col("p_type").alias("keyword"), F.lit(0).alias("n"), F.col("p_name").alias("value"), F.col("p_brand").alias("comment"))
     changed = cards.withColumn("value", F.when(F.col("place") % 5 == 0, "x").otherwise(F.col("value")))
-    return D.header_diff(A.numbered(cards.where("place % 11 <> 0")), A.numbered(changed))
+    return D.header_diff(A.numbered(cards.where("place % 11 <> 0")), A.numbered(changed)).drop("hdu")
 
 
 @query("""WITH a AS (SELECT vec_id AS x, i AS y, v[i] AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), range(1, 65) r(i) WHERE i <> 9),
@@ -527,6 +556,17 @@ def fits_vectors(spark, d):
     return spark.read.format("fits").option("path", path).load().select("vec_id", F.round(F.col("v")[0], 6).alias("first_value"), F.size("v").alias("n"))
 
 
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS s_acctbal, CASE WHEN s_suppkey % 4 <> 0 THEN s_name END AS s_name, CASE WHEN s_suppkey % 5 <> 0 THEN s_nationkey END AS s_nationkey FROM supplier WHERE s_suppkey > 3 AND (s_suppkey % 3 = 0 OR s_acctbal > 0)""")
+def fits_nulls_and_filter(spark, d):
+    """NULLs of all kinds through a file, read with a filter and columns as text."""
+    fits.register(spark)
+    path = f"{work_dir(spark)}/orrery/{uuid.uuid4().hex}"
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(k, *(F.when(k % n != 0, F.col(c)).alias(c) for c, n in (("s_acctbal", 3), ("s_name", 4), ("s_nationkey", 5))))
+    rows.repartition(2).write.format("fits").option("path", path).mode("append").save()
+    return fits.open_rows(spark, path, where="s_suppkey > 3 AND coalesce(s_acctbal > 0, true)", columns=["s_suppkey", "s_acctbal", "s_name", "s_nationkey"])
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def text_round_trip(spark, d):
     path = f"{work_dir(spark)}/orrery/{uuid.uuid4().hex}"

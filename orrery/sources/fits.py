@@ -2,7 +2,8 @@
 
 Reading: ``spark.read.format("fits").option("path", ...).option("ext", n or name).load()``. Headers are read on the driver;
 each task reads a range of rows of one file. ``path`` may be a folder or a pattern: files of one schema. Kinds: binary and
-ASCII tables, images (a row a pixel: i1 .. iN from 1, value), random groups. gzip and bzip2 files are one partition each.
+ASCII tables, images (a row a pixel: i1 .. iN from 1, value), random groups. gzip, bzip2 and zip files are one partition each. Option
+``number`` true adds _row, the row's number in its file from 1.
 Undefined values are NULL: NaN, integers equal to TNULL or BLANK, strings that begin with NUL (option ``nulls`` false: as stored).
 Writing: every partition writes a complete binary-table file of its own into the folder, so nothing is merged anywhere; a
 partition's rows are held by its task, so partitions should be of the size files are meant to have. NULL comes back as NULL;
@@ -21,14 +22,18 @@ import math
 import os
 import re
 import uuid
+import zipfile
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from orrery.operators.diff import column_diff, header_diff, table_diff
+
 BLOCK, CARD = 2880, 80
 #: Letters of table formats: bytes, numpy kind, Spark type. Fixed values of the file format.
 KINDS = {"L": ("i1", T.BooleanType()), "B": ("u1", T.ShortType()), "I": (">i2", T.ShortType()), "J": (">i4", T.IntegerType()), "K": (">i8", T.LongType()), "E": (">f4", T.FloatType()), "D": (">f8", T.DoubleType())}
@@ -188,13 +193,16 @@ def open_file(path: str):
     path = path.removeprefix("file://").removeprefix("file:")
     with open(path, "rb") as f:
         magic = f.read(3)
+    if magic[:2] == b"PK":
+        with zipfile.ZipFile(path) as z:
+            return z.open(z.namelist()[0])
     return gzip.open(path) if magic[:2] == b"\x1f\x8b" else bz2.open(path) if magic == b"BZh" else open(path, "rb")
 
 
 def splittable(path: str) -> bool:
     with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
         magic = f.read(3)
-    return magic[:2] != b"\x1f\x8b" and magic != b"BZh"
+    return magic[:2] not in (b"\x1f\x8b", b"PK") and magic != b"BZh"
 
 
 def walk(f) -> list[Hdu]:
@@ -443,6 +451,10 @@ def row_count(h: Hdu) -> int:
     return int(h.header.get("GCOUNT", 1)) if h.kind == "groups" else math.prod(int(h.header[f"NAXIS{i + 1}"]) for i in range(int(h.header.get("NAXIS", 0)))) if h.size else 0
 
 
+def wants_numbers(options) -> bool:
+    return str(options.get("number", "false")).lower() == "true"
+
+
 class _Rows(InputPartition):
     def __init__(self, path: str, unit: Hdu | None, first: int, count: int):
         self.path, self.unit, self.first, self.count = path, unit, first, count
@@ -452,6 +464,7 @@ class FitsReader(DataSourceReader):
     def __init__(self, options: dict, paths: list[str]):
         self.paths, self.ext, self.chunk = paths, options.get("ext"), int(options.get("rows", 200_000))
         self.null_as_null = str(options.get("nulls", "true")).lower() == "true"
+        self.number = wants_numbers(options)
 
     def partitions(self):
         out = []
@@ -465,7 +478,10 @@ class FitsReader(DataSourceReader):
     def read(self, part: _Rows):
         if part.count:
             with open_file(part.path) as f:
-                yield from read_batches(f, part.unit, part.first, part.count, self.null_as_null)
+                at = part.first
+                for batch in read_batches(f, part.unit, part.first, part.count, self.null_as_null):
+                    yield batch.append_column("_row", pa.array(np.arange(at + 1, at + 1 + len(batch)))) if self.number else batch
+                    at += len(batch)
 
 
 def form_of(t: T.DataType, width: int) -> str:
@@ -562,7 +578,8 @@ class FitsDataSource(DataSource):
 
     def schema(self):
         with open_file(self.paths()[0]) as f:
-            return schema_of(find_hdu(walk(f), self.options.get("ext")))
+            found = schema_of(find_hdu(walk(f), self.options.get("ext")))
+        return found.add("_row", T.LongType()) if wants_numbers(self.options) else found
 
     def reader(self, schema):
         return FitsReader(dict(self.options), self.paths())
@@ -587,6 +604,67 @@ def header(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "hdu int, place int, keyword string, n int, value string, comment string")
 
 
+def header_text(cards: list[tuple]) -> str:
+    """Cards (keyword, value, comment) as text of 80 columns a line, END at the end."""
+    whole = header_bytes(cards).decode("ascii")
+    lines = [whole[i : i + CARD].rstrip() for i in range(0, len(whole), CARD)]
+    return "\n".join(lines[: lines.index("END") + 1])
+
+
+def header_from_text(text: str) -> list[tuple]:
+    """Cards of text with a card a line; lines after END don't count."""
+    cards = []
+    for line in text.splitlines():
+        if line.rstrip() == "END":
+            break
+        cards.append(parse_card(line[:CARD].ljust(CARD)))
+    return joined_cards(cards)
+
+
+def unit_diff(spark: SparkSession, a: str, b: str, ignore: tuple[str, ...] = ("CHECKSUM", "DATASUM")) -> DataFrame:
+    """(hdu, what, value_a, value_b): units that one file lacks, and units of another kind, name, size or number of rows, or
+    whose cards differ; cards are compared by ``diff.header_diff``, rows by ``diff.table_diff`` on _row (see file_diff)."""
+    units = []
+    for path in (a, b):
+        with open_file(path) as f:
+            units.append({h.index: h for h in walk(f)})
+    rows = []
+    for i in sorted({*units[0], *units[1]}):
+        x, y = units[0].get(i), units[1].get(i)
+        if x is None or y is None:
+            rows.append((i, "unit", x and x.name, y and y.name))
+            continue
+        for what, of in (("kind", lambda h: h.kind), ("name", lambda h: h.name), ("rows", lambda h: str(row_count(h))), ("size", lambda h: str(h.size))):
+            if of(x) != of(y):
+                rows.append((i, what, of(x), of(y)))
+    cards = header_diff(header(spark, a), header(spark, b), ignore)
+    structure = spark.createDataFrame(rows, "hdu int, what string, value_a string, value_b string")
+    return structure.union(cards.select("hdu", F.concat(F.lit("card "), "keyword"), "value_a", "value_b"))
+
+
+def file_diff(spark: SparkSession, a: str, b: str, tolerance: float = 0.0) -> DataFrame:
+    """unit_diff, and cells and rows that differ in the tables that both files have, named by column and row."""
+    found = unit_diff(spark, a, b)
+    with open_file(a) as f, open_file(b) as g:
+        both = [(x.index, schema_of(x) == schema_of(y)) for x, y in zip(walk(f), walk(g)) if x.kind == y.kind and x.kind in ("bintable", "table")]
+    for i, same in both:
+        x, y = (spark.read.format("fits").option("path", p).option("ext", str(i)).option("number", "true").load() for p in (a, b))
+        cells = table_diff(x, y, "_row", tolerance)
+        what = F.concat_ws(" ", F.lit("row"), "_row", "column_name")
+        found = found.union(cells.select(F.lit(i).alias("hdu"), what, F.when(F.col("only_in") == "a", "there").otherwise(F.col("value_a")), F.when(F.col("only_in") == "b", "there").otherwise(F.col("value_b"))))
+        if not same:
+            found = found.union(column_diff(x, y).select(F.lit(i).alias("hdu"), F.concat(F.lit("column "), "name"), "type_a", "type_b"))
+    return found
+
+
+def open_rows(spark: SparkSession, path: str, ext=None, where: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Rows of one extension, with a filter and columns given as text (Spark SQL)."""
+    df = spark.read.format("fits").option("path", path)
+    df = (df.option("ext", str(ext)) if ext is not None else df).load()
+    df = df.where(where) if where else df
+    return df.selectExpr(*columns) if columns else df
+
+
 def info(spark: SparkSession, path: str) -> DataFrame:
     """A row a header-data unit: number, name, version, kind, cards, rows, dimensions."""
     with open_file(path) as f:

@@ -167,6 +167,24 @@ def test_headers(spark):
     assert {(r.keyword, r.check) for r in A.verify(h).collect()} == {("BITPIX", "BITPIX value")}
 
 
+def test_text_expressions(spark):
+    from orrery.operators import expressions as X
+
+    X.register(spark)
+    df = spark.createDataFrame([(1, 2.0, "ab"), (2, None, None)], "k int, x double, s string")
+    kinds = {"k + 1": "int", "k + 1L": "bigint", "k / 2": "double", "k > 1 OR x < 3 AND NOT k = 2": "boolean", "k * x": "double", "s || 'c'": "string", "near(x, 2, 0.1)": "boolean", "int_div(k, 0)": "bigint"}
+    assert {t: X.result_type(df, t) for t in kinds} == kinds
+    got = X.calculated(df, a="1 + 2 * k", b="-k % 2", c="x > 1 AND k = 1 OR k = 2", d="int_div(k, 0)", e="default_null(x, -1)").orderBy("k").collect()
+    assert [tuple(r)[3:] for r in got] == [(3, -1, True, None, 2.0), (5, 0, True, None, -1.0)]
+    assert [r.k for r in X.rows_where(df, "x > 0").collect()] == [1]
+    with pytest.raises(Exception):
+        X.result_type(df, "s + nothing")
+    assert one(spark, S.bits_literal("o17"), S.bits_literal("hFx"), S.bits_literal("b10x")) == ("001111", "1111xxxx", "10x")
+    for bad in ("o8", "b2", "z1", "h"):
+        with pytest.raises(ValueError):
+            S.bits_literal(bad)
+
+
 def test_image_sections():
     from orrery.operators import images as P
 

@@ -121,6 +121,21 @@ def test_checksum_text(total):
     assert fits.word_sum((total).to_bytes(4, "big"), spread - zeros if spread >= zeros else spread + 0xFFFFFFFF - zeros) in (0, 0xFFFFFFFF)
 
 
+def test_diff_of_files(fs, tmp_path):
+    for name, rows in (("a", [(1, 2.0), (2, 3.0), (3, 4.0)]), ("b", [(1, 2.0), (2, 3.5)])):
+        fs.createDataFrame(rows, "k int, x double").coalesce(1).orderBy("k").coalesce(1).write.format("fits").option("path", f"{tmp_path}/{name}").mode("append").save()
+    a, b = (str(next((tmp_path / n).glob("*.fits"))) for n in "ab")
+    assert fits.file_diff(fs, a, a).count() == 0
+    got = {tuple(r) for r in fits.file_diff(fs, a, b).collect()}
+    assert (1, "rows", "3", "2") in got and (1, "card NAXIS2", "3", "2") in got and (1, "row 2 x", "3.0", "3.5") in got and (1, "row 3", "there", None) in got
+    assert fits.header_from_text(fits.header_text([("A", 1, "c"), ("B", "x" * 100, "")]))[:2] == [("A", 1, "c"), ("B", "x" * 100, "")]
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "z.fits", "w") as z:
+        z.write(a, "inner.fits")
+    assert fs.read.format("fits").option("path", str(tmp_path / "z.fits")).option("ext", "table,1").load().count() == 3
+
+
 def test_long_strings_go_on(fs, tmp_path):
     long = "it's " * 40 + "end"
     cards = [("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("LONG", long, "what"), ("EDGE", "'" * 40 + "x" * 80), ("SHORT", "a/b", "c"), ("HISTORY", "h" * 100)]
