@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import sys
 import tempfile
 import uuid
 from contextvars import ContextVar
@@ -14,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and ctypes.util.find_library("c") == "libc.so.6" else None
 #: The working tables of the operator that runs.
 _SAVED: ContextVar[list[str]] = ContextVar("saved")
 _LOCAL: dict[str, str] = {}
@@ -25,9 +29,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bounded(spark: SparkSession, batch: str = "4m") -> None:
+def bounded(spark: SparkSession, batch: str = "2m") -> None:
     """Arrow batches between executors and their Python workers hold so many bytes at most, on both sides; by default they
-    are sixteen times as large, whatever the length of texts. Spark has this setting for a session only."""
+    are many times as large, whatever the length of texts. Spark has this setting for a session only."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
 
 
@@ -105,7 +109,14 @@ def delete(spark: SparkSession, paths) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def pieces(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
+def trim() -> None:
+    """Give memory that is free back to the machine: a worker lives on for tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def pieces(batch: pa.RecordBatch, column: str, chars: int = 1_000_000):
     """Parts of a batch whose texts hold about so many bytes, so that memory does not follow the batch's size. They are
     copies: some Arrow string kernels misread views that do not begin at the start of their buffers."""
     part = lambda a, b: batch.take(pa.array(np.arange(a, b)))
@@ -119,7 +130,7 @@ def pieces(batch: pa.RecordBatch, column: str, chars: int = 2_000_000):
         held += int(n)
     if begin < len(lengths):
         yield part(begin, len(lengths))
-        pa.default_memory_pool().release_unused()
+        trim()
 
 
 def fmix(h: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import save, table, tidied
+from orrery.llm.common import save, table, tidied, trim
 
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -70,6 +70,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
                 bounds = [0, *range(first, len(ids) + 1, capacity)]
                 rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"piece": "int32", "doc_id": "Int64"}), preserve_index=False)
+        del encode
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
