@@ -4,8 +4,8 @@ Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z l
 ``#`` or the end. A null URL, or one without ``://``, has an empty host and path. A rule ``host/path`` fits its host and
 all subdomains where the URL's path starts with the rule's; the longest rule that fits decides.
 
-Suffix statistics are how common a suffix is and how many of the other URLs with it are blocked: a URL's own label is left
-out, so that it can't be read from them. The trees learn from labelled URLs: a bounded sample of those that rules decide (``sample`` of each verdict at most, by
+Suffix statistics are how common a suffix is and what share of the URLs with it are blocked, counted over the hosts of the
+other half (by the hosts' hash; over all suffixes where it has none): so no label can be read from its own statistics. The trees learn from labelled URLs: a bounded sample of those that rules decide (``sample`` of each verdict at most, by
 the hash of page_id). As rules speak of few hosts, as many undecided URLs join them as weak examples of allow
 (``weak`` is their weight), so that a URL is blocked only where it looks more like blocked ones than like the rest.
 Where no URL is blocked, or none is not, the others get ``default``. Repeated rows are judged each; an empty table gives
@@ -75,11 +75,15 @@ def judge(pages: DataFrame, rules=RULES, sample: int = 10_000, default: str = "a
     base = with_parts(pages.select("page_id", "url")).withColumn("fits", rule_of(rules))
     features = save(lexical(base).drop("url"))
     total = F.lit(float(max(1, features.count())))
-    suffixes = features.groupBy("suffix").agg((F.count("*") / total).alias("suffix_share"), F.count("*").alias("_n"), F.count_if(F.col("fits.verdict") == "block").alias("_blocked"))
+    half = F.pmod(F.xxhash64("host"), F.lit(2))
+    sums = save(features.groupBy("suffix", half.alias("half")).agg(F.count("*").alias("n"), F.count_if(F.col("fits.verdict") == "block").alias("b")))
+    every = sums.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("n")), F.lit(0.0))).first()[0]
+    other = sums.select("suffix", (1 - F.col("half")).alias("half"), (F.col("b") / F.col("n")).alias("blocked"))
+    shares = sums.groupBy("suffix").agg((F.sum("n") / total).alias("suffix_share"))
+    halves = sums.select("suffix", "half").join(other, ["suffix", "half"], "left").join(shares, "suffix")
+    suffixes = halves.select("suffix", "half", "suffix_share", F.coalesce("blocked", F.lit(float(every))).alias("suffix_blocked"))
     endings = features.groupBy("ending").agg((F.count("*") / total).alias("ending_share"))
-    full = features.join(small(suffixes), "suffix").join(small(endings), "ending")
-    own = F.coalesce((F.col("fits.verdict") == "block").cast("int"), F.lit(0))
-    full = full.withColumn("suffix_blocked", (F.col("_blocked") - own) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_n", "_blocked")
+    full = features.withColumn("half", half).join(small(suffixes), ["suffix", "half"]).join(small(endings), "ending")
     label, weight = F.coalesce((F.col("fits.verdict") == "block").cast("double"), F.lit(0.0)), F.when(F.col("fits").isNull(), weak).otherwise(1.0)
     known = full.withColumns({"label": label, "weight": weight})
     parts = [known.where(F.col("fits.verdict") == v) for v in ("allow", "block")] + [known.where("fits is null")]
