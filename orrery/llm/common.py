@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import ctypes.util
-import sys
 import tempfile
 import uuid
 from contextvars import ContextVar
@@ -17,7 +15,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and ctypes.util.find_library("c") == "libc.so.6" else None
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another system; its allocator is left alone
+    _libc = None
 #: The working tables of the operator that runs.
 _SAVED: ContextVar[list[str]] = ContextVar("saved")
 _LOCAL: dict[str, str] = {}
@@ -112,7 +113,7 @@ def delete(spark: SparkSession, paths) -> None:
 def trim() -> None:
     """Give memory that is free back to the machine: a worker lives on for tasks of other kinds."""
     pa.default_memory_pool().release_unused()
-    if _libc is not None:
+    if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
 
 
